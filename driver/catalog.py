@@ -1,0 +1,489 @@
+"""The registered queries: each operator on the given tables."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stayrate.config import Settings
+from stayrate.functions.encode import flag, tenure_years, whole_months_until
+from stayrate.operators import distribution, encode, evaluate, model, price, profile, segments, split
+from stayrate.plans import features as feature_plan
+from stayrate.plans import modelling, report
+from stayrate.session import ensure_checkpoint_dir
+from stayrate.sinks.files import prediction_table
+from stayrate.sources.files import parse_dates, read_csv
+
+from .views import LAYOUT, SNAPSHOT, bills, clients, discounts, prices, scored, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+SETTINGS = replace(
+    Settings(),
+    reference_date=SNAPSHOT,
+    min_category_count=60,
+    trees=20,
+    max_depth=5,
+)
+ID, LABEL = LAYOUT.id, LAYOUT.label
+DIGITS = 6
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = DIGITS) -> DataFrame:
+    """Round results whose last digits depend on the order of summation."""
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
+
+
+def text_dates(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
+def id_hash() -> Column:
+    return split.integer_hash(ID)
+
+
+# --- exploration -----------------------------------------------------------
+
+
+def dataset_profile(spark: SparkSession, folder: str) -> DataFrame:
+    return profile.overview(clients(spark, folder), "client", LABEL).unionByName(
+        profile.overview(prices(spark, folder), "price")
+    )
+
+
+def column_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    return profile.column_gaps(clients(spark, folder))
+
+
+def class_share(spark: SparkSession, folder: str) -> DataFrame:
+    return profile.class_share(clients(spark, folder, margin=False), LABEL)
+
+
+def price_by_churn(spark: SparkSession, folder: str) -> DataFrame:
+    return profile.price_by_label(
+        clients(spark, folder, margin=False),
+        prices(spark, folder),
+        ID,
+        LABEL,
+        LAYOUT.price_prefix,
+    )
+
+
+def group_means(spark: SparkSession, folder: str) -> DataFrame:
+    # pow_max is the only binary float among these columns.
+    found = clients(spark, folder).withColumn("pow_max", F.col("pow_max").cast("decimal(15,2)"))
+    return profile.group_means(found, LABEL, LAYOUT.mean_columns)
+
+
+def rate_by_channel(spark: SparkSession, folder: str) -> DataFrame:
+    return profile.rate_by_descending(clients(spark, folder, margin=False), "channel_sales", LABEL)
+
+
+def rate_by_gas(spark: SparkSession, folder: str) -> DataFrame:
+    return profile.rate_by(clients(spark, folder, margin=False), "has_gas", LABEL)
+
+
+def rate_by_gas_encoded(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = feature_plan.flag_features(clients(spark, folder, margin=False), LAYOUT)
+    return profile.rate_by(encoded, "has_gas", LABEL)
+
+
+def rate_by_tenure_top5(spark: SparkSession, folder: str) -> DataFrame:
+    aged = clients(spark, folder, margin=False).withColumn(
+        "tenure", tenure_years("date_activ", "date_end")
+    )
+    return profile.rate_by_descending(aged, "tenure", LABEL, top=5)
+
+
+# --- price features --------------------------------------------------------
+
+
+def monthly_price(spark: SparkSession, folder: str) -> DataFrame:
+    return text_dates(price.monthly_prices(prices(spark, folder), LAYOUT), "price_date")
+
+
+def price_change_first_last(spark: SparkSession, folder: str) -> DataFrame:
+    return price.price_change(prices(spark, folder), LAYOUT)
+
+
+def price_mean_spread(spark: SparkSession, folder: str) -> DataFrame:
+    return price.price_mean_spread(prices(spark, folder), LAYOUT)
+
+
+def price_max_spread(spark: SparkSession, folder: str) -> DataFrame:
+    return price.price_max_spread(prices(spark, folder), LAYOUT)
+
+
+def price_features(spark: SparkSession, folder: str) -> DataFrame:
+    return price.price_features(prices(spark, folder), LAYOUT)
+
+
+def price_volatility(spark: SparkSession, folder: str) -> DataFrame:
+    found = price.price_level(prices(spark, folder), LAYOUT)
+    return rounded(found, *[f"{c}_volatility" for c in LAYOUT.price_columns], digits=4)
+
+
+def price_mom(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ["price_off_peak_var", "price_off_peak_fix"]
+    monthly = price.monthly_prices(prices(spark, folder), LAYOUT, columns)
+    return text_dates(price.month_on_month(monthly, columns, LAYOUT), "price_date")
+
+
+def rise_before_churn(spark: SparkSession, folder: str) -> DataFrame:
+    found = clients(spark, folder, margin=False)
+    return price.rise_before(found, prices(spark, folder), "price_off_peak_var", 3, LAYOUT)
+
+
+def elasticity_monthly(spark: SparkSession, folder: str) -> DataFrame:
+    found = price.elasticity(bills(spark, folder), "unit_price", "quantity", LAYOUT)
+    return text_dates(rounded(found, "elasticity"), "price_date")
+
+
+def elasticity(spark: SparkSession, folder: str) -> DataFrame:
+    monthly = price.elasticity(bills(spark, folder), "unit_price", "quantity", LAYOUT)
+    found = clients(spark, folder, margin=False)
+    return rounded(
+        price.elasticity_by_segment(found, monthly, "channel_sales", LAYOUT), "median_elasticity"
+    )
+
+
+# --- entity features -------------------------------------------------------
+
+
+def tenure(spark: SparkSession, folder: str) -> DataFrame:
+    return clients(spark, folder, margin=False).select(
+        ID, tenure_years("date_activ", "date_end").alias("tenure")
+    )
+
+
+def months_to_ref(spark: SparkSession, folder: str) -> DataFrame:
+    return clients(spark, folder, margin=False).select(
+        ID,
+        *[
+            (whole_months_until(SNAPSHOT, column) * sign).cast("double").alias(name)
+            for name, (column, sign) in LAYOUT.month_features.items()
+        ],
+    )
+
+
+def bool_encode(spark: SparkSession, folder: str) -> DataFrame:
+    return clients(spark, folder, margin=False).select(ID, flag("has_gas").alias("has_gas"))
+
+
+def category_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    return encode.frequent_categories(
+        clients(spark, folder, margin=False), LAYOUT.category_columns, SETTINGS.min_category_count
+    )
+
+
+def one_hot_long(spark: SparkSession, folder: str) -> DataFrame:
+    return encode.one_hot_long(
+        clients(spark, folder, margin=False),
+        ID,
+        LAYOUT.category_columns,
+        SETTINGS.min_category_count,
+    )
+
+
+def one_hot_wide(spark: SparkSession, folder: str) -> DataFrame:
+    found = clients(spark, folder, margin=False).select(ID, *LAYOUT.category_columns)
+    lists = encode.category_lists(
+        found, LAYOUT.category_columns, SETTINGS.min_category_count, SETTINGS.max_categories
+    )
+    return encode.one_hot_wide(found, lists)
+
+
+def log10p1(spark: SparkSession, folder: str) -> DataFrame:
+    found = clients(spark, folder, margin=False).select(ID, *LAYOUT.log_columns)
+    return rounded(feature_plan.log_features(found, LAYOUT), *LAYOUT.log_columns)
+
+
+def log_invalid(spark: SparkSession, folder: str) -> DataFrame:
+    return distribution.log_summary(clients(spark, folder, margin=False), LAYOUT.log_columns)
+
+
+def _features(spark: SparkSession, folder: str) -> DataFrame:
+    return feature_plan.build_features(
+        clients(spark, folder), prices(spark, folder), LAYOUT, SETTINGS
+    )
+
+
+def feature_table(spark: SparkSession, folder: str) -> DataFrame:
+    found = _features(spark, folder)
+    names = model.feature_names(found, [ID, LABEL])
+    typed = found.select(ID, LABEL, *[F.col(f"`{c}`").cast("double").alias(c) for c in names])
+    return rounded(typed, *LAYOUT.log_columns)
+
+
+def feature_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return feature_plan.feature_summary(_features(spark, folder), LAYOUT)
+
+
+# --- distributions ---------------------------------------------------------
+
+
+def histogram50(spark: SparkSession, folder: str) -> DataFrame:
+    return distribution.histogram(
+        clients(spark, folder), LAYOUT.histogram_columns, LABEL, SETTINGS.histogram_bins
+    )
+
+
+def histogram_log(spark: SparkSession, folder: str) -> DataFrame:
+    logs = feature_plan.log_features(clients(spark, folder, margin=False), LAYOUT)
+    return rounded(distribution.histogram(logs, LAYOUT.density_columns, bins=30), "bin_start")
+
+
+def histogram_bins(spark: SparkSession, folder: str) -> DataFrame:
+    found = clients(spark, folder, margin=False)
+    return distribution.auto_bins(found, "cons_12m").unionByName(
+        distribution.auto_bins(found, "cons_balance")
+    )
+
+
+def kde_log(spark: SparkSession, folder: str) -> DataFrame:
+    logs = feature_plan.log_features(clients(spark, folder, margin=False), LAYOUT)
+    return rounded(distribution.density(logs, LAYOUT.density_columns), "x", "density")
+
+
+def corr_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ["cons_balance", "cons_12m", "pow_max", "nb_prod_act", "num_years_antig", "net_margin"]
+    return rounded(distribution.correlations(clients(spark, folder), columns), "corr")
+
+
+# --- split and evaluation --------------------------------------------------
+
+
+def stratified_split(spark: SparkSession, folder: str) -> DataFrame:
+    found = clients(spark, folder, margin=False).select(ID, LABEL)
+    return split.stratified_split(found, ID, LABEL, hash=id_hash())
+
+
+def class_weights(spark: SparkSession, folder: str) -> DataFrame:
+    return split.class_weights(clients(spark, folder, margin=False), LABEL)
+
+
+def oversample(spark: SparkSession, folder: str) -> DataFrame:
+    found = clients(spark, folder, margin=False).select(ID, LABEL)
+    return split.oversample(found, ID, LABEL, hash=id_hash())
+
+
+def confusion(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.confusion(scored(spark, folder), "label", "prediction")
+
+
+def binary_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.binary_metrics(scored(spark, folder), "label", "prediction")
+
+
+def class_report(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.class_report(scored(spark, folder), "label", "prediction")
+
+
+def roc_auc(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.roc_auc(scored(spark, folder), "label", "score")
+
+
+def roc_points(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.roc_points(scored(spark, folder), "label", "score")
+
+
+def pr_points(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.precision_recall_points(scored(spark, folder), "label", "score")
+
+
+def threshold_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.threshold_sweep(scored(spark, folder), "label", "score", SETTINGS.thresholds)
+
+
+def score_deciles(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.score_deciles(scored(spark, folder), "label", "score")
+
+
+def retention_list(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.retention_list(scored(spark, folder), "id", "score", 20)
+
+
+# --- segments --------------------------------------------------------------
+
+
+def segment_rates(spark: SparkSession, folder: str) -> DataFrame:
+    found = clients(spark, folder, margin=False)
+    sizes = {"size": "pow_max", "usage": "cons_12m", "age": "num_years_antig"}
+    parts = [
+        segments.segment_rates(found, column, LABEL).select(
+            F.lit(name).alias("dimension"), "segment", "n", "label_rate"
+        )
+        for name, column in sizes.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def bill_burden(spark: SparkSession, folder: str) -> DataFrame:
+    return segments.bill_burden(
+        clients(spark, folder, margin=False), bills(spark, folder), ID, LABEL, "bill"
+    )
+
+
+def discount_rates(spark: SparkSession, folder: str) -> DataFrame:
+    found = clients(spark, folder, margin=False).join(discounts(spark, folder), ID)
+    return segments.rate_by_condition(found, F.col("mean_discount") > 0.05, LABEL, "discounted")
+
+
+def at_risk_list(spark: SparkSession, folder: str) -> DataFrame:
+    return segments.at_risk(
+        clients(spark, folder), ID, "net_margin", "num_years_antig", "cons_last_month", "cons_12m"
+    )
+
+
+# --- sources and sinks -----------------------------------------------------
+
+
+def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers written as CSV with gaps as 'NA', and scanned back with types."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/csv-{uuid.uuid4()}"
+    source = table(spark, folder, "customer")
+    gap = F.when(F.col("c_acctbal") < 0, "NA").otherwise(F.col("c_acctbal").cast("string"))
+    source.withColumn("c_acctbal", gap).write.option("header", True).csv(path)
+    return read_csv(spark, path, source.schema)
+
+
+def date_parse(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.date_format("o_orderdate", "yyyy-MM-dd")
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderstatus") == "P", "pending").otherwise(text).alias("lenient"),
+        text.alias("strict"),
+    )
+    parsed = parse_dates(parse_dates(orders, ["lenient"]), ["strict"], strict=True)
+    return text_dates(parsed, "lenient", "strict")
+
+
+# --- models ----------------------------------------------------------------
+
+
+def _prepared(spark: SparkSession, folder: str) -> modelling.Prepared:
+    return modelling.prepare(_features(spark, folder), LAYOUT, SETTINGS, id_hash())
+
+
+def rf_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    parts = _prepared(spark, folder)
+    fitted = modelling.fit_and_score(parts, LAYOUT, SETTINGS)
+    return prediction_table(fitted.scored, LABEL, parts.features, ID)
+
+
+def cv_auc(spark: SparkSession, folder: str) -> DataFrame:
+    return modelling.cross_validation(_prepared(spark, folder), LAYOUT, SETTINGS)
+
+
+def importance_top20(spark: SparkSession, folder: str) -> DataFrame:
+    fitted = modelling.fit_and_score(_prepared(spark, folder), LAYOUT, SETTINGS)
+    return model.top_importances(fitted.importance, SETTINGS.top_features)
+
+
+def price_share(spark: SparkSession, folder: str) -> DataFrame:
+    fitted = modelling.fit_and_score(_prepared(spark, folder), LAYOUT, SETTINGS)
+    return report.price_share(fitted.importance, SETTINGS)
+
+
+def report_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    parts = _prepared(spark, folder)
+    fitted = modelling.fit_and_score(parts, LAYOUT, SETTINGS)
+    per_fold = modelling.cross_validation(parts, LAYOUT, SETTINGS)
+    return report.report_metrics(fitted.scored, per_fold, fitted.importance, LAYOUT, SETTINGS)
+
+
+def grid_search(spark: SparkSession, folder: str) -> DataFrame:
+    parts = _prepared(spark, folder)
+    base = modelling.classifier(LAYOUT, SETTINGS)
+    grid = ParamGridBuilder().addGrid(base.maxDepth, [3, 5]).addGrid(base.numTrees, [10, 20]).build()
+    return model.grid_search(
+        parts.train, parts.features, base, grid, ID, LABEL, SETTINGS.folds, parallelism=4
+    )
+
+
+def model_compare(spark: SparkSession, folder: str) -> DataFrame:
+    parts = _prepared(spark, folder)
+    candidates = {
+        "random_forest": modelling.classifier(LAYOUT, SETTINGS),
+        "boosted_trees": model.boosted_trees(LABEL, 10, 3, SETTINGS.seed),
+    }
+    return model.compare_models(parts.train, parts.test, parts.features, candidates, ID, LABEL)
+
+
+def permutation_importance(spark: SparkSession, folder: str) -> DataFrame:
+    parts = _prepared(spark, folder)
+    fitted = modelling.fit_and_score(parts, LAYOUT, SETTINGS)
+    return model.permutation_importance(fitted.model, parts.test, parts.features, ID, LABEL)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        dataset_profile,
+        column_gaps,
+        class_share,
+        price_by_churn,
+        group_means,
+        rate_by_channel,
+        rate_by_gas,
+        rate_by_gas_encoded,
+        rate_by_tenure_top5,
+        monthly_price,
+        price_change_first_last,
+        price_mean_spread,
+        price_max_spread,
+        price_features,
+        price_volatility,
+        price_mom,
+        rise_before_churn,
+        elasticity_monthly,
+        elasticity,
+        tenure,
+        months_to_ref,
+        bool_encode,
+        category_frequency,
+        one_hot_long,
+        one_hot_wide,
+        log10p1,
+        log_invalid,
+        feature_table,
+        feature_summary,
+        histogram50,
+        histogram_log,
+        histogram_bins,
+        kde_log,
+        corr_matrix,
+        stratified_split,
+        class_weights,
+        oversample,
+        confusion,
+        binary_metrics,
+        class_report,
+        roc_auc,
+        roc_points,
+        pr_points,
+        threshold_sweep,
+        score_deciles,
+        retention_list,
+        segment_rates,
+        bill_burden,
+        discount_rates,
+        at_risk_list,
+        csv_round_trip,
+        date_parse,
+        rf_predictions,
+        cv_auc,
+        importance_top20,
+        price_share,
+        report_metrics,
+        grid_search,
+        model_compare,
+        permutation_importance,
+    )
+}

@@ -1,0 +1,181 @@
+"""Customer, price and scored views over the given tables.
+
+The views bring TPC-H-like tables into the shape of a customer table and a
+monthly price series. Only orders before the snapshot feed the features; the
+label says whether a customer placed no order on or after it.
+
+Money is summed as decimals, so every mean is the same in every run.
+"""
+
+from __future__ import annotations
+
+from dataclasses import replace
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stayrate.config import Layout
+from stayrate.sources.files import read_parquet
+
+SNAPSHOT = date(2000, 1, 1)
+# Line flags stand for the three price periods.
+PERIOD_FLAGS = {"off_peak": "A", "peak": "N", "mid_peak": "R"}
+LAYOUT = replace(
+    Layout(),
+    log_columns=("cons_12m", "cons_last_month", "cons_balance"),
+    density_columns=("cons_12m", "cons_last_month", "cons_balance"),
+)
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return read_parquet(spark, f"{folder}/{name}.parquet")
+
+
+def snapshot() -> Column:
+    return F.lit(SNAPSHOT.isoformat()).cast("timestamp_ntz")
+
+
+def money(column: str) -> Column:
+    return F.col(column).cast("decimal(15,2)")
+
+
+def rate(column: str) -> Column:
+    return F.col(column).cast("decimal(4,2)")
+
+
+def past_orders(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "orders").where(F.col("o_orderdate") < snapshot())
+
+
+def month_of(column: str) -> Column:
+    return F.trunc(F.col(column).cast("date"), "month")
+
+
+def prices(spark: SparkSession, folder: str) -> DataFrame:
+    """One sparse price row per order line: the flag says which period it is for."""
+    orders = past_orders(spark, folder).select(
+        "o_orderkey", F.col("o_custkey").alias("id"), month_of("o_orderdate").alias("price_date")
+    )
+    values = {
+        "var": (F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(15,7)"),
+        "fix": (money("l_extendedprice") * rate("l_tax")).cast("decimal(15,7)"),
+    }
+    lines = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"),
+        *[
+            F.when(F.col("l_returnflag") == flag, values[kind]).alias(LAYOUT.price_column(period, kind))
+            for kind in LAYOUT.kinds
+            for period, flag in PERIOD_FLAGS.items()
+        ],
+    )
+    return orders.join(lines, "o_orderkey").drop("o_orderkey")
+
+
+def _margins(spark: SparkSession, folder: str) -> DataFrame:
+    """Discounted value per order, reduced to one row per order before any join."""
+    value = money("l_extendedprice") * (1 - rate("l_discount"))
+    return (
+        table(spark, folder, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
+        .agg(F.sum(value).alias("margin"))
+    )
+
+
+def clients(spark: SparkSession, folder: str, margin: bool = True) -> DataFrame:
+    """One row per customer with an order before the snapshot."""
+    at = snapshot()
+    orders = table(spark, folder, "orders")
+    before = F.col("o_orderdate") < at
+
+    def within(months: int) -> Column:
+        start = F.lit(SNAPSHOT.isoformat()).cast("timestamp_ntz") - F.expr(f"INTERVAL '{months}' MONTH")
+        return before & (F.col("o_orderdate") >= start)
+
+    per_order = [
+        F.min(F.when(before, F.col("o_orderdate"))).cast("date").alias("date_activ"),
+        F.max(F.when(before, F.col("o_orderdate"))).cast("date").alias("date_renewal"),
+        F.max(F.when(before & (F.col("o_orderstatus") == "P"), F.col("o_orderdate")))
+        .cast("date")
+        .alias("date_modif_prod"),
+        F.max(F.when(before, (F.col("o_orderpriority") == "1-URGENT").cast("int"))).alias("urgent"),
+        F.sum(F.when(within(12), money("o_totalprice"))).alias("cons_12m"),
+        F.sum(F.when(within(1), money("o_totalprice"))).alias("cons_last_month"),
+        F.max(F.when(before, F.col("o_totalprice"))).alias("pow_max"),
+        F.count_if(before).alias("nb_prod_act"),
+        (F.count_if(~before) == 0).cast("int").alias("churn"),
+    ]
+    if margin:
+        orders = orders.join(_margins(spark, folder), "o_orderkey", "left")
+        per_order.append(F.sum(F.when(before, F.col("margin"))).alias("net_margin"))
+    history = orders.groupBy("o_custkey").agg(*per_order).where(F.col("nb_prod_act") > 0)
+
+    customer = table(spark, folder, "customer")
+    nation = table(spark, folder, "nation")
+    joined = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
+        history, F.col("c_custkey") == F.col("o_custkey")
+    )
+    return joined.select(
+        F.col("c_custkey").alias("id"),
+        F.col("c_mktsegment").alias("channel_sales"),
+        F.col("n_name").alias("origin_up"),
+        money("c_acctbal").alias("cons_balance"),
+        "date_activ",
+        F.date_add("date_renewal", 365).alias("date_end"),
+        "date_modif_prod",
+        "date_renewal",
+        F.when(F.col("urgent") == 1, "t").otherwise("f").alias("has_gas"),
+        "cons_12m",
+        "cons_last_month",
+        "pow_max",
+        "nb_prod_act",
+        F.floor(F.datediff(F.lit(SNAPSHOT), "date_activ") / 365).cast("int").alias("num_years_antig"),
+        *(["net_margin"] if margin else []),
+        "churn",
+    )
+
+
+def scored(spark: SparkSession, folder: str) -> DataFrame:
+    """A label and a score with ties for each labelled document; no model needed."""
+    labels = table(spark, folder, "labels").select("doc_id", (1 - F.col("quality")).alias("label"))
+    documents = table(spark, folder, "documents").select("doc_id", "n_chars")
+    score = F.floor(F.lit(1000000.0) / (1000 + F.col("n_chars"))).cast("double") / 1000
+    return labels.join(documents, "doc_id").select(
+        F.col("doc_id").alias("id"),
+        "label",
+        score.alias("score"),
+        (score >= 0.5).cast("int").alias("prediction"),
+    )
+
+
+def bills(spark: SparkSession, folder: str) -> DataFrame:
+    """Bill, quantity and unit price per customer and month before the snapshot."""
+    orders = past_orders(spark, folder).select(
+        "o_orderkey", F.col("o_custkey").alias("id"), month_of("o_orderdate").alias("price_date")
+    )
+    lines = (
+        table(spark, folder, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
+        .agg(F.sum(money("l_extendedprice")).alias("amount"), F.sum("l_quantity").alias("quantity"))
+    )
+    return (
+        orders.join(lines, "o_orderkey")
+        .groupBy("id", "price_date")
+        .agg(F.sum("amount").alias("bill"), F.sum("quantity").alias("quantity"))
+        .withColumn("unit_price", F.try_divide(F.col("bill").cast("double"), F.col("quantity")))
+    )
+
+
+def discounts(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean discount per customer over order lines before the snapshot."""
+    orders = past_orders(spark, folder).select("o_orderkey", F.col("o_custkey").alias("id"))
+    lines = (
+        table(spark, folder, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
+        .agg(F.sum(rate("l_discount")).alias("discount"), F.count("l_discount").alias("lines"))
+    )
+    return (
+        orders.join(lines, "o_orderkey")
+        .groupBy("id")
+        .agg((F.sum("discount").cast("double") / F.sum("lines")).alias("mean_discount"))
+    )
