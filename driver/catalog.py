@@ -15,7 +15,7 @@ from stayrate.functions.encode import flag, tenure_years, whole_months_until
 from stayrate.operators import distribution, encode, evaluate, model, price, profile, segments, split
 from stayrate.plans import features as feature_plan
 from stayrate.plans import modelling, report
-from stayrate.session import ensure_checkpoint_dir
+from stayrate.session import durable, ensure_checkpoint_dir
 from stayrate.sinks.files import prediction_table
 from stayrate.sources.files import parse_dates, read_csv
 
@@ -239,10 +239,8 @@ def histogram_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def histogram_bins(spark: SparkSession, folder: str) -> DataFrame:
-    found = clients(spark, folder, margin=False)
-    return distribution.auto_bins(found, "cons_12m").unionByName(
-        distribution.auto_bins(found, "cons_balance")
-    )
+    found = durable(clients(spark, folder, margin=False).select("cons_12m", "cons_balance"))
+    return distribution.auto_bins(found, ["cons_12m", "cons_balance"])
 
 
 def kde_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -312,15 +310,9 @@ def retention_list(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def segment_rates(spark: SparkSession, folder: str) -> DataFrame:
-    found = clients(spark, folder, margin=False)
-    sizes = {"size": "pow_max", "usage": "cons_12m", "age": "num_years_antig"}
-    parts = [
-        segments.segment_rates(found, column, LABEL).select(
-            F.lit(name).alias("dimension"), "segment", "n", "label_rate"
-        )
-        for name, column in sizes.items()
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    dimensions = {"size": "pow_max", "usage": "cons_12m", "age": "num_years_antig"}
+    found = clients(spark, folder, margin=False).select(LABEL, *dimensions.values())
+    return segments.segment_rates(durable(found), dimensions, LABEL)
 
 
 def bill_burden(spark: SparkSession, folder: str) -> DataFrame:
@@ -335,9 +327,9 @@ def discount_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def at_risk_list(spark: SparkSession, folder: str) -> DataFrame:
-    return segments.at_risk(
-        clients(spark, folder), ID, "net_margin", "num_years_antig", "cons_last_month", "cons_12m"
-    )
+    columns = ["net_margin", "num_years_antig", "cons_last_month", "cons_12m"]
+    found = durable(clients(spark, folder).select(ID, *columns))
+    return segments.at_risk(found, ID, *columns)
 
 
 # --- sources and sinks -----------------------------------------------------

@@ -18,8 +18,8 @@ SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 NATIONS = [f"NATION_{i}" for i in (10, 11, 12, 13, 18, 19, 2, 21, 23, 24, 3, 7)]
 
 _VALUE = {
-    "var": "CAST(l_extendedprice / l_quantity AS DECIMAL(15,7))",
-    "fix": "CAST(CAST(l_extendedprice AS DECIMAL(15,2)) * CAST(l_tax AS DECIMAL(4,2)) AS DECIMAL(15,7))",
+    "var": "CAST(floor(l_extendedprice / l_quantity * 10000 + 0.5) AS BIGINT)",
+    "fix": "CAST(floor(l_extendedprice * l_tax * 10000 + 0.5) AS BIGINT)",
 }
 _PRICE_COLUMNS = ",\n".join(
     f"    CASE WHEN l_returnflag = '{flag}' THEN {_VALUE[k]} END AS price_{p}_{k}"
@@ -78,7 +78,7 @@ CELLS = """cells AS (
 
 BILLS = """bill AS (
   SELECT o_custkey AS id, CAST(date_trunc('month', o_orderdate) AS DATE) AS price_date,
-    SUM(CAST(l_extendedprice AS DECIMAL(15,2))) AS bill, SUM(l_quantity) AS quantity,
+    SUM(100 * CAST(l_extendedprice AS DECIMAL(15,2))) AS bill, SUM(l_quantity) AS quantity,
     CAST(SUM(CAST(l_extendedprice AS DECIMAL(15,2))) AS DOUBLE) / SUM(l_quantity) AS unit_price
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey
   WHERE o_orderdate < TIMESTAMP '2000-01-01' GROUP BY 1, 2)"""

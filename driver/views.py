@@ -4,7 +4,8 @@ The views bring TPC-H-like tables into the shape of a customer table and a
 monthly price series. Only orders before the snapshot feed the features; the
 label says whether a customer placed no order on or after it.
 
-Money is summed as decimals, so every mean is the same in every run.
+Money is summed in whole units (cents, or ten-thousandths for prices), so that
+sums fit a 64-bit integer and are the same in whatever order tasks finish.
 """
 
 from __future__ import annotations
@@ -36,12 +37,15 @@ def snapshot() -> Column:
     return F.lit(SNAPSHOT.isoformat()).cast("timestamp_ntz")
 
 
-def money(column: str) -> Column:
-    return F.col(column).cast("decimal(15,2)")
+def whole(column: str | Column, scale: int) -> Column:
+    """``column`` in units of 1/scale, rounded to a whole number."""
+    value = F.col(column) if isinstance(column, str) else column
+    return F.floor(value * scale + 0.5)
 
 
-def rate(column: str) -> Column:
-    return F.col(column).cast("decimal(4,2)")
+def money(cents: Column) -> Column:
+    """An amount in cents as a decimal amount."""
+    return (cents / 100).cast("decimal(15,2)")
 
 
 def past_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,13 +57,16 @@ def month_of(column: str) -> Column:
 
 
 def prices(spark: SparkSession, folder: str) -> DataFrame:
-    """One sparse price row per order line: the flag says which period it is for."""
+    """One sparse price row per order line: the flag says which period it is for.
+
+    Prices are whole numbers of ten-thousandths.
+    """
     orders = past_orders(spark, folder).select(
         "o_orderkey", F.col("o_custkey").alias("id"), month_of("o_orderdate").alias("price_date")
     )
     values = {
-        "var": (F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(15,7)"),
-        "fix": (money("l_extendedprice") * rate("l_tax")).cast("decimal(15,7)"),
+        "var": whole(F.col("l_extendedprice") / F.col("l_quantity"), 10000),
+        "fix": whole(F.col("l_extendedprice") * F.col("l_tax"), 10000),
     }
     lines = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"),
@@ -73,8 +80,8 @@ def prices(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _margins(spark: SparkSession, folder: str) -> DataFrame:
-    """Discounted value per order, reduced to one row per order before any join."""
-    value = money("l_extendedprice") * (1 - rate("l_discount"))
+    """Discounted value in ten-thousandths, one row per order before any join."""
+    value = whole("l_extendedprice", 100) * (100 - whole("l_discount", 100))
     return (
         table(spark, folder, "lineitem")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
@@ -99,15 +106,16 @@ def clients(spark: SparkSession, folder: str, margin: bool = True) -> DataFrame:
         .cast("date")
         .alias("date_modif_prod"),
         F.max(F.when(before, (F.col("o_orderpriority") == "1-URGENT").cast("int"))).alias("urgent"),
-        F.sum(F.when(within(12), money("o_totalprice"))).alias("cons_12m"),
-        F.sum(F.when(within(1), money("o_totalprice"))).alias("cons_last_month"),
+        money(F.sum(F.when(within(12), whole("o_totalprice", 100)))).alias("cons_12m"),
+        money(F.sum(F.when(within(1), whole("o_totalprice", 100)))).alias("cons_last_month"),
         F.max(F.when(before, F.col("o_totalprice"))).alias("pow_max"),
         F.count_if(before).alias("nb_prod_act"),
         (F.count_if(~before) == 0).cast("int").alias("churn"),
     ]
     if margin:
         orders = orders.join(_margins(spark, folder), "o_orderkey", "left")
-        per_order.append(F.sum(F.when(before, F.col("margin"))).alias("net_margin"))
+        total = F.sum(F.when(before, F.col("margin")))
+        per_order.append((total / 10000).cast("decimal(18,4)").alias("net_margin"))
     history = orders.groupBy("o_custkey").agg(*per_order).where(F.col("nb_prod_act") > 0)
 
     customer = table(spark, folder, "customer")
@@ -119,7 +127,7 @@ def clients(spark: SparkSession, folder: str, margin: bool = True) -> DataFrame:
         F.col("c_custkey").alias("id"),
         F.col("c_mktsegment").alias("channel_sales"),
         F.col("n_name").alias("origin_up"),
-        money("c_acctbal").alias("cons_balance"),
+        F.col("c_acctbal").cast("decimal(15,2)").alias("cons_balance"),
         "date_activ",
         F.date_add("date_renewal", 365).alias("date_end"),
         "date_modif_prod",
@@ -149,20 +157,23 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bills(spark: SparkSession, folder: str) -> DataFrame:
-    """Bill, quantity and unit price per customer and month before the snapshot."""
+    """Bill in cents, quantity and unit price per customer and month before the snapshot."""
     orders = past_orders(spark, folder).select(
         "o_orderkey", F.col("o_custkey").alias("id"), month_of("o_orderdate").alias("price_date")
     )
     lines = (
         table(spark, folder, "lineitem")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(F.sum(money("l_extendedprice")).alias("amount"), F.sum("l_quantity").alias("quantity"))
+        .agg(
+            F.sum(whole("l_extendedprice", 100)).alias("amount"),
+            F.sum(whole("l_quantity", 1)).alias("quantity"),
+        )
     )
     return (
         orders.join(lines, "o_orderkey")
         .groupBy("id", "price_date")
         .agg(F.sum("amount").alias("bill"), F.sum("quantity").alias("quantity"))
-        .withColumn("unit_price", F.try_divide(F.col("bill").cast("double"), F.col("quantity")))
+        .withColumn("unit_price", F.try_divide(F.col("bill") / 100, F.col("quantity")))
     )
 
 
@@ -172,10 +183,10 @@ def discounts(spark: SparkSession, folder: str) -> DataFrame:
     lines = (
         table(spark, folder, "lineitem")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(F.sum(rate("l_discount")).alias("discount"), F.count("l_discount").alias("lines"))
+        .agg(F.sum(whole("l_discount", 100)).alias("discount"), F.count("l_discount").alias("lines"))
     )
     return (
         orders.join(lines, "o_orderkey")
         .groupBy("id")
-        .agg((F.sum("discount").cast("double") / F.sum("lines")).alias("mean_discount"))
+        .agg((F.sum("discount") / F.sum("lines") / 100).alias("mean_discount"))
     )

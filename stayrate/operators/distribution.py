@@ -8,18 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import quoted
-from .ordered import quantiles
-
-
-def _long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """(keep..., variable, value) rows without nulls."""
-    pairs = F.array(
-        *[
-            F.struct(F.lit(c).alias("variable"), F.col(quoted(c)).cast("double").alias("value"))
-            for c in columns
-        ]
-    )
-    return df.select(*keep, F.inline(pairs)).where(F.col("value").isNotNull())
+from .ordered import as_rows, column_quantiles
 
 
 def histogram(
@@ -32,7 +21,7 @@ def histogram(
     single value gets a range of one around it.
     """
     keep = [label] if label else []
-    values = _long(df, columns, keep)
+    values = as_rows(df, columns, keep)
     bounds = values.groupBy("variable").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     flat = F.col("lo") == F.col("hi")
     bounds = bounds.select(
@@ -57,18 +46,20 @@ def histogram(
     )
 
 
-def auto_bins(df: DataFrame, column: str) -> DataFrame:
-    """One row: number of bins by the finer of the Sturges and Freedman-Diaconis rules."""
-    quartiles = quantiles(df, column, {"q1": 0.25, "q3": 0.75})
-    x = F.col(quoted(column)).cast("double")
-    stats = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-    iqr = quartiles.select(F.col("q3") - F.col("q1")).scalar()
+def auto_bins(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(variable, n, bins): the finer of the Sturges and Freedman-Diaconis rules."""
+    quartiles = column_quantiles(df, columns, {"q1": 0.25, "q3": 0.75})
+    stats = (
+        as_rows(df, columns)
+        .groupBy("variable")
+        .agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    )
     span = F.col("hi") - F.col("lo")
     sturges = F.try_divide(span, F.log2("n") + 1)
-    fd = 2 * F.col("iqr") / F.pow(F.col("n"), F.lit(1 / 3))
+    fd = 2 * (F.col("q3") - F.col("q1")) / F.pow(F.col("n"), F.lit(1 / 3))
     width = F.when(fd > 0, F.least(fd, sturges)).otherwise(sturges)
-    return stats.withColumn("iqr", iqr).select(
-        F.lit(column).alias("variable"),
+    return stats.join(quartiles, "variable").select(
+        "variable",
         "n",
         F.when(span > 0, F.ceil(span / width)).otherwise(F.lit(1)).cast("bigint").alias("bins"),
     )
@@ -77,14 +68,13 @@ def auto_bins(df: DataFrame, column: str) -> DataFrame:
 def density(df: DataFrame, columns: Sequence[str], points: int = 200) -> DataFrame:
     """Gaussian kernel density of each column on an even grid from min to max.
 
-    The bandwidth is the sample deviation times n^(-1/5). Equal values are
-    counted first; each then adds to every grid point, and the grid sums are
-    combined inside the task before the shuffle.
+    The bandwidth is the sample deviation times n^(-1/5). Each value adds to
+    every grid point, and the sums per point are combined inside the task, so
+    the shuffle carries ``points`` rows per task and column.
     """
-    counts = _long(df, columns).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("w"))
+    values = as_rows(df, columns)
     stats = (
-        _long(df, columns)
-        .groupBy("variable")
+        values.groupBy("variable")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.min("value").alias("lo"),
@@ -99,11 +89,11 @@ def density(df: DataFrame, columns: Sequence[str], points: int = 200) -> DataFra
     x = F.col("lo") + F.col("point") * step
     z = (x - F.col("value")) / F.col("bandwidth")
     # stats has one row per named variable, a list the caller wrote.
-    spread = counts.join(F.broadcast(stats), "variable").select("*", grid.alias("point"))
+    spread = values.join(F.broadcast(stats), "variable").select("*", grid.alias("point"))
     return (
         spread.groupBy("variable", "point")
         .agg(
-            F.sum(F.col("w") * F.exp(-z * z / 2)).alias("k"),
+            F.sum(F.exp(-z * z / 2)).alias("k"),
             F.first(x).alias("x"),
             F.first(F.col("n") * F.col("bandwidth")).alias("scale"),
         )

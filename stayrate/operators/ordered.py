@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import quoted
+
 BUCKETS = 256
 BUCKET = "_bucket"
 
@@ -143,3 +145,21 @@ def quantiles(
             for n in probabilities
         ],
     )
+
+
+def as_rows(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """(keep..., variable, value) rows, one per column and row, without nulls."""
+    pairs = F.array(
+        *[
+            F.struct(F.lit(c).alias("variable"), F.col(quoted(c)).cast("double").alias("value"))
+            for c in columns
+        ]
+    )
+    return df.select(*keep, F.inline(pairs)).where(F.col("value").isNotNull())
+
+
+def column_quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Mapping[str, float]
+) -> DataFrame:
+    """Exact quantiles of several columns together: one row per column."""
+    return quantiles(as_rows(df, columns), "value", probabilities, ["variable"])

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import Layout
 from ..functions.columns import mean, ratio
+from ..session import durable
 from .ordered import quantiles
 
 
@@ -216,8 +217,14 @@ def elasticity(
 def elasticity_by_segment(
     entities: DataFrame, elasticities: DataFrame, segment: str, layout: Layout = Layout()
 ) -> DataFrame:
-    """Median elasticity and share of elastic months (|e| > 1) per segment."""
-    rows = entities.select(layout.id, segment).join(elasticities, layout.id)
+    """Median elasticity and share of elastic months (|e| > 1) per segment.
+
+    The joined rows are stored, because shares, cut points and quantiles all
+    read them.
+    """
+    rows = durable(
+        entities.select(layout.id, segment).join(elasticities, layout.id).select(segment, "elasticity")
+    )
     medians = quantiles(rows, "elasticity", {"median_elasticity": 0.5}, [segment])
     shares = rows.groupBy(segment).agg(
         F.count(F.lit(1)).alias("n"),

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions.columns import mean, numeric, quoted, ratio, relative_difference_pct, with_prefix
 
@@ -78,7 +79,9 @@ def price_by_label(
 
     The series is reduced to sums and counts per entity before the join, so the
     join is one row to one row and an entity with very many price rows does not
-    slow it down. Totals divided by counts weight every price row alike.
+    slow it down. Totals divided by counts weight every price row alike. Whole
+    numbers are added up as decimals in the end, for a class total can exceed
+    64 bits where no entity's total does.
     """
     columns = numeric(series, with_prefix(series, prefix))
     partial = series.groupBy(id).agg(
@@ -86,8 +89,14 @@ def price_by_label(
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
     )
     joined = entities.select(id, label).where(F.col(label).isNotNull()).join(partial, id)
+    totals = [
+        F.col(f"s{i}").cast("decimal(28,0)")
+        if isinstance(partial.schema[f"s{i}"].dataType, LongType)
+        else F.col(f"s{i}")
+        for i in range(len(columns))
+    ]
     means = joined.groupBy(label).agg(
-        *[ratio(F.sum(f"s{i}"), F.sum(f"n{i}")).alias(f"m{i}") for i in range(len(columns))]
+        *[ratio(F.sum(s), F.sum(f"n{i}")).alias(f"m{i}") for i, s in enumerate(totals)]
     )
     wide = _side_by_side(_as_rows(means, label, columns), label)
     return wide.withColumn(

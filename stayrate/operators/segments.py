@@ -2,34 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import mean, quoted, ratio
-from .ordered import quantiles
-
-
-def with_terciles(df: DataFrame, column: str, name: str, labels: tuple[str, str, str]) -> DataFrame:
-    """Add a three-way class of ``column``, cut at its exact terciles."""
-    cuts = quantiles(df, column, {"low": 1 / 3, "high": 2 / 3})
-    cut = cuts.select(F.struct("low", "high")).scalar()
-    x = F.col(quoted(column)).cast("double")
-    return df.withColumn(
-        name,
-        F.when(x <= cut.getField("low"), labels[0])
-        .when(x <= cut.getField("high"), labels[1])
-        .when(x.isNotNull(), labels[2]),
-    )
+from ..functions.columns import mean, ratio
+from .ordered import as_rows, column_quantiles
 
 
 def segment_rates(
-    df: DataFrame, column: str, label: str, labels: tuple[str, str, str] = ("low", "middle", "high")
+    df: DataFrame,
+    dimensions: Mapping[str, str],
+    label: str,
+    names: tuple[str, str, str] = ("low", "middle", "high"),
 ) -> DataFrame:
-    """Label rate of the low, middle and high third of a column."""
+    """Label rate of the low, middle and high third of each dimension's column.
+
+    The columns are cut at their exact terciles; all dimensions are handled in
+    one pass. ``df`` is read three times, so pass a stored table.
+    """
+    columns = list(dimensions.values())
+    cuts = column_quantiles(df, columns, {"low": 1 / 3, "high": 2 / 3})
+    titles = F.create_map(*[F.lit(x) for title, c in dimensions.items() for x in (c, title)])
+    segment = (
+        F.when(F.col("value") <= F.col("low"), names[0])
+        .when(F.col("value") <= F.col("high"), names[1])
+        .otherwise(names[2])
+    )
+    # cuts has one row per named column, a list the caller wrote.
     return (
-        with_terciles(df, column, "segment", labels)
-        .where(F.col("segment").isNotNull())
-        .groupBy("segment")
+        as_rows(df, columns, [label])
+        .join(F.broadcast(cuts), "variable")
+        .groupBy(F.element_at(titles, F.col("variable")).alias("dimension"), segment.alias("segment"))
         .agg(F.count(F.lit(1)).alias("n"), mean(label).alias("label_rate"))
     )
 
@@ -80,9 +85,16 @@ def at_risk(
     """Entities with a margin in the top quarter and a tenure up to the median.
 
     ``declining`` flags those whose use has fallen. The cut points are exact.
+    ``df`` is read three times, so pass a stored table.
     """
-    high = quantiles(df, margin, {"cut": 0.75}).scalar()
-    short = quantiles(df, tenure, {"cut": 0.5}).scalar()
+    found = column_quantiles(df, [margin, tenure], {"median": 0.5, "upper": 0.75})
+    cuts = found.agg(
+        F.struct(
+            F.max(F.when(F.col("variable") == margin, F.col("upper"))).alias("margin"),
+            F.max(F.when(F.col("variable") == tenure, F.col("median"))).alias("tenure"),
+        )
+    ).scalar()
+    high, short = cuts.getField("margin"), cuts.getField("tenure")
     flag = F.coalesce(declining(last_month, last_year, share), F.lit(False)).cast("int")
     return df.where((F.col(margin).cast("double") >= high) & (F.col(tenure) <= short)).select(
         id, F.col(margin).cast("double").alias(margin), tenure, flag.alias("declining")
