@@ -15,7 +15,7 @@ from stayrate.functions.encode import flag, tenure_years, whole_months_until
 from stayrate.operators import distribution, encode, evaluate, model, price, profile, segments, split
 from stayrate.plans import features as feature_plan
 from stayrate.plans import modelling, report
-from stayrate.session import durable, ensure_checkpoint_dir
+from stayrate.session import durable, shared_folder
 from stayrate.sinks.files import prediction_table
 from stayrate.sources.files import parse_dates, read_csv
 
@@ -337,8 +337,7 @@ def at_risk_list(spark: SparkSession, folder: str) -> DataFrame:
 
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Customers written as CSV with gaps as 'NA', and scanned back with types."""
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/csv-{uuid.uuid4()}"
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4()}"
     source = table(spark, folder, "customer")
     gap = F.when(F.col("c_acctbal") < 0, "NA").otherwise(F.col("c_acctbal").cast("string"))
     source.withColumn("c_acctbal", gap).write.option("header", True).csv(path)
@@ -395,7 +394,7 @@ def grid_search(spark: SparkSession, folder: str) -> DataFrame:
     base = modelling.classifier(LAYOUT, SETTINGS)
     grid = ParamGridBuilder().addGrid(base.maxDepth, [3, 5]).addGrid(base.numTrees, [10, 20]).build()
     return model.grid_search(
-        parts.train, parts.features, base, grid, ID, LABEL, SETTINGS.folds, parallelism=4
+        parts.train, parts.features, base, grid, ID, LABEL, SETTINGS.folds
     )
 
 

@@ -1,6 +1,6 @@
 """Fitting, cross-validating and explaining tree-ensemble classifiers.
 
-Training tables are written once (checkpoint) and read by every fit. Fits run
+Training tables are checkpointed once and read by every fit. Fits run
 on Spark ML; scores stay rows of a DataFrame from start to end.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric, quoted
-from ..session import durable
+from ..session import durable, pinned
 from .evaluate import binary_metrics, roc_auc
 from .ordered import ranks
 from .split import HASH_RANGE, with_class_weights
@@ -38,7 +38,7 @@ def feature_names(df: DataFrame, exclude: Sequence[str]) -> list[str]:
 def training_table(
     df: DataFrame, id: str, keep: Sequence[str], features: Sequence[str], partitions: int | None = None
 ) -> DataFrame:
-    """Cast the features to double, fix the row placement, write once.
+    """Cast the features to double, fix the row placement, checkpoint.
 
     Bootstrap samples depend on which rows share a partition; placing rows by
     id makes a fit repeatable.
@@ -46,7 +46,7 @@ def training_table(
     spark = df.sparkSession
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(id, *keep, *[F.col(quoted(c)).cast("double").alias(c) for c in features])
-    return durable(rows.repartition(count, id).sortWithinPartitions(id))
+    return pinned(rows.repartition(count, id).sortWithinPartitions(id))
 
 
 def forest(label: str, trees: int, max_depth: int, seed: int) -> RandomForestClassifier:
@@ -111,7 +111,7 @@ def cross_validated_scores(
     id: str,
     label: str,
     folds: int,
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Score of every training row by the model that did not see its fold."""
 
@@ -132,7 +132,7 @@ def cross_validate(
     id: str,
     label: str,
     folds: int,
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> DataFrame:
     """(fold, n_pos, n_neg, auc) rows."""
     scores = cross_validated_scores(train, features, classifier, id, label, folds, parallelism)
@@ -186,7 +186,7 @@ def grid_search(
     id: str,
     label: str,
     folds: int,
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Cross-validated AUC per parameter map, best first.
 

@@ -1,0 +1,80 @@
+"""One-hot encoding, split, weights and oversampling."""
+
+from __future__ import annotations
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from stayrate.operators import encode, split
+from tests.helpers import by_key
+
+
+@pytest.fixture(scope="module")
+def people(spark):
+    return spark.range(403).select(
+        F.concat(F.lit("c"), "id").alias("id"), (F.col("id") % 10 == 3).cast("int").alias("churn")
+    )
+
+
+def test_one_hot_wide(spark):
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "a")], "id int, c string")
+    lists = encode.category_lists(df, ["c"], 1, 10)
+    assert lists == {"c": ["a", "b"]}
+    wide = by_key(encode.one_hot_wide(df, lists), "id")
+    assert wide[1].asDict() == {"id": 1, "c_a": 0, "c_b": 1}
+    assert wide[2].asDict() == {"id": 2, "c_a": 0, "c_b": 0}
+    assert wide[3].asDict() == {"id": 3, "c_a": 1, "c_b": 0}
+
+
+def test_rare_categories_get_no_column(spark):
+    df = spark.createDataFrame([(i, "x y" if i < 3 else "z") for i in range(5)], "id int, c string")
+    assert encode.category_lists(df, ["c"], 3, 10) == {"c": ["x y"]}
+    long = encode.one_hot_long(df, "id", ["c"], 3)
+    assert sorted(map(tuple, long.collect())) == [(i, "c_x y") for i in range(3)]
+
+
+def test_too_many_categories_is_an_error(spark):
+    df = spark.range(20).select("id", F.col("id").cast("string").alias("c"))
+    with pytest.raises(ValueError, match="more than 5"):
+        encode.category_lists(df, ["c"], 1, 5)
+    assert encode.one_hot_long(df, "id", ["c"], 1).count() == 20
+
+
+def test_split_is_exact_complete_and_repeatable(people):
+    rows = split.stratified_split(people, "id", "churn").collect()
+    again = split.stratified_split(people.repartition(7), "id", "churn").collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+    assert len({r["id"] for r in rows}) == len(rows) == 403
+    for label in (0, 1):
+        of_class = [r for r in rows if r["churn"] == label]
+        test = [r for r in of_class if r["split"] == "test"]
+        assert len(test) == math.ceil(len(of_class) * 0.25)
+        assert all(r["fold"] == -1 for r in test)
+        sizes = [sum(r["fold"] == k for r in of_class) for k in range(5)]
+        assert max(sizes) - min(sizes) <= 1 and sum(sizes) == len(of_class) - len(test)
+
+
+def test_integer_hash_is_in_range(spark):
+    df = spark.createDataFrame([(0,), (1,), (2**31 - 1,), (2**40 + 5,), (-3,)], "id bigint")
+    for row in df.select("id", split.integer_hash("id").alias("h")).collect():
+        assert row["h"] == ((row["id"] % 2**31) * 2654435761) % 2**32
+
+
+def test_class_weights(people):
+    rows = by_key(split.class_weights(people, "churn"), "churn")
+    ones = rows[1]["n"]
+    assert rows[1]["weight"] == pytest.approx(403 / (2 * ones))
+    weighted = split.with_class_weights(people, "churn").groupBy("churn").agg(F.sum("weight").alias("w"))
+    assert [r["w"] for r in weighted.collect()] == pytest.approx([201.5, 201.5])
+
+
+def test_oversampling_evens_out_the_classes(people):
+    found = split.oversample(people, "id", "churn")
+    sizes = {r["churn"]: r["count"] for r in found.groupBy("churn").count().collect()}
+    assert sizes[0] == sizes[1]
+    copies = found.where("churn = 1").groupBy("id").count().agg(F.min("count"), F.max("count")).first()
+    assert copies[1] - copies[0] <= 1
+    assert found.select("id").distinct().count() == 403
+    assert found.where("churn = 0").agg(F.max("copy")).first()[0] == 1
