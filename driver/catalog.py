@@ -270,6 +270,12 @@ def oversample(spark: SparkSession, folder: str) -> DataFrame:
     return split.oversample(found, ID, LABEL, hash=id_hash())
 
 
+def synthetic_minority(spark: SparkSession, folder: str) -> DataFrame:
+    features = ["pow_max", "nb_prod_act", "net_margin"]
+    found = durable(clients(spark, folder).select(ID, LABEL, *features))
+    return split.synthetic_minority(found, ID, LABEL, features, hash=id_hash())
+
+
 def confusion(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.confusion(scored(spark, folder), "label", "prediction")
 
@@ -453,6 +459,7 @@ QUERIES: dict[str, Query] = {
         stratified_split,
         class_weights,
         oversample,
+        synthetic_minority,
         confusion,
         binary_metrics,
         class_report,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import quoted
+from ..session import durable
 
 
 def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -62,7 +63,11 @@ def one_hot_wide(df: DataFrame, categories: Mapping[str, Sequence[str]]) -> Data
 
 
 def one_hot_long(df: DataFrame, id: str, columns: Sequence[str], min_count: int) -> DataFrame:
-    """(id, feature) rows for the 1s of the one-hot table, for any number of values."""
+    """(id, feature) rows for the 1s of the one-hot table, for any number of values.
+
+    The kept categories are stored first: with its size known, Spark broadcasts
+    the list while that is small, and else joins by shuffle with skew handling.
+    """
     pairs = F.array(
         *[
             F.struct(F.lit(c).alias("column"), F.col(quoted(c)).cast("string").alias("value"))
@@ -70,7 +75,7 @@ def one_hot_long(df: DataFrame, id: str, columns: Sequence[str], min_count: int)
         ]
     )
     rows = df.select(id, F.inline(pairs))
-    kept = frequent_categories(df, columns, min_count)
+    kept = durable(frequent_categories(df, columns, min_count).select("column", "value"))
     return rows.join(kept, ["column", "value"], "left_semi").select(
         id, F.concat_ws("_", "column", "value").alias("feature")
     )

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import ranks
+from ..functions.columns import quoted
+from .ordered import cut_points, ranks, running_totals, with_value_bucket
 
 HASH_RANGE = 2**32
 
@@ -37,7 +41,6 @@ def stratified_split(
     split, whatever the partitioning.
     """
     value = text_hash(id) if hash is None else hash
-    # Rank narrow rows only; wide feature rows are joined back on the id.
     keys = df.select(id, label).withColumn("_hash", value)
     ranked = ranks(keys, [label], "_hash", id, HASH_RANGE)
     test_size = F.ceil(F.col("group_size") * F.lit(test_share))
@@ -45,10 +48,14 @@ def stratified_split(
     turns = F.pmod(F.col("rank") - test_size - 1, F.lit(folds))
     parts = ranked.select(
         id,
+        label,
         F.when(in_test, "test").otherwise("train").alias("split"),
         F.when(in_test, F.lit(-1)).otherwise(turns).cast("int").alias("fold"),
     )
-    return df.join(parts, id)
+    if set(df.columns) == {id, label}:
+        return parts
+    # Only keys were ranked; the wide feature rows are joined back on the id.
+    return df.join(parts.drop(label), id)
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -103,3 +110,67 @@ def oversample(
         .withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int"))))
         .drop("rank", "group_size")
     )
+
+
+def synthetic_minority(
+    df: DataFrame,
+    id: str,
+    label: str,
+    features: Sequence[str],
+    minority: int = 1,
+    neighbours: int = 5,
+    seed: int = 42,
+    hash: Column | None = None,
+) -> DataFrame:
+    """Even out the classes with new minority rows between neighbouring ones.
+
+    Neighbours are the next rows in the order of a random projection of the
+    standardised features, so each new row costs two joins on a key and no
+    pairs are compared. A new row lies at a random place on the line from its
+    origin (``id``) to the neighbour; ``copy`` is 1 for given rows. Features
+    must not be null. ``df`` is read several times, so pass a stored table.
+    """
+    value = text_hash(id) if hash is None else hash
+    rows = df.select(
+        id, label, *[F.col(quoted(f)).cast("double").alias(f) for f in features]
+    )
+    few = rows.where(F.col(label) == minority)
+
+    # One row: mean and deviation per feature.
+    stats = few.agg(
+        *[F.avg(quoted(f)).alias(f"m{i}") for i, f in enumerate(features)],
+        *[F.stddev_samp(quoted(f)).alias(f"s{i}") for i, f in enumerate(features)],
+    ).first()
+    pick = random.Random(seed)
+    projection = F.lit(0.0)
+    for i, f in enumerate(features):
+        if stats[f"s{i}"]:
+            scaled = (F.col(quoted(f)) - stats[f"m{i}"]) / stats[f"s{i}"]
+            projection += scaled * round(pick.gauss(0, 1), 3)
+    projected = few.withColumn("_p", projection)
+    bucketed = with_value_bucket(projected, "_p", cut_points(projected, "_p"))
+    placed = running_totals(bucketed, ["_p", id], {"rows": F.lit(1)}).select(
+        id, *[quoted(f) for f in features], F.col("rows_before").alias("_place"), "rows_total"
+    )
+
+    missing = oversample(df.select(id, label), id, label, minority, value).where(F.col("copy") > 1)
+    reach = F.greatest(F.least(F.lit(neighbours), F.col("rows_total") - 1), F.lit(1))
+    step = F.pmod(F.col("copy") - 2, reach) + 1
+    origins = missing.join(placed, id).withColumn(
+        "_other", F.pmod(F.col("_place") + step, F.col("rows_total"))
+    )
+    others = placed.select(
+        F.col("_place").alias("_other"),
+        *[F.col(quoted(f)).alias(f"_o{i}") for i, f in enumerate(features)],
+    )
+    part = F.pmod(F.xxhash64(id, "copy"), F.lit(HASH_RANGE)) / HASH_RANGE
+    new = origins.join(others, "_other").select(
+        id,
+        label,
+        *[
+            (F.col(quoted(f)) + part * (F.col(f"_o{i}") - F.col(quoted(f)))).alias(f)
+            for i, f in enumerate(features)
+        ],
+        "copy",
+    )
+    return rows.withColumn("copy", F.lit(1)).unionByName(new)

@@ -133,7 +133,11 @@ def main(arguments: list[str] | None = None) -> None:
     if given.stage == "all":
         print(run_all(spark, given.data, given.out, layout, settings, given.format))
     elif given.stage == "eda":
-        run_eda(spark, given.data, given.out, layout, settings, given.format)
+        for name, table in run_eda(
+            spark, given.data, given.out, layout, settings, given.format
+        ).items():
+            print(name)
+            table.show(20, truncate=False)
     elif given.stage == "features":
         run_features(spark, given.data, given.out, layout, settings, given.format)
     else:

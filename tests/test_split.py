@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +79,24 @@ def test_oversampling_evens_out_the_classes(people):
     assert copies[1] - copies[0] <= 1
     assert found.select("id").distinct().count() == 403
     assert found.where("churn = 0").agg(F.max("copy")).first()[0] == 1
+
+
+def test_synthetic_rows_lie_between_two_minority_rows(spark):
+    pick = random.Random(2)
+    rows = [(i, int(i < 12), pick.random(), pick.random() * 100) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, churn int, x double, y double")
+    found = split.synthetic_minority(df, "id", "churn", ["x", "y"], neighbours=3).collect()
+    assert sum(r["churn"] == 1 for r in found) == sum(r["churn"] == 0 for r in found) == 68
+    given = {r[0]: r[2:] for r in rows if r[1] == 1}
+    assert sorted((r["id"], r["x"], r["y"]) for r in found if r["copy"] == 1) == [
+        (i, x, y) for i, _, x, y in rows
+    ]
+    for row in (r for r in found if r["copy"] > 1):
+        x0, y0 = given[row["id"]]
+        # On the line from its origin to at least one other minority row.
+        assert any(
+            abs((row["x"] - x0) * (y - y0) - (row["y"] - y0) * (x - x0)) < 1e-9
+            and min(x0, x) <= row["x"] <= max(x0, x)
+            for i, (x, y) in given.items()
+            if i != row["id"]
+        )
