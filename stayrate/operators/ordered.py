@@ -35,9 +35,10 @@ def cut_points(df: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]
 def with_value_bucket(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
     """Add the bucket number of ``value``; it never falls as the value rises."""
     if not cuts:
-        return df.withColumn(BUCKET, F.lit(0.0))
+        return df.withColumn(BUCKET, F.lit(0))
     splits = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol=value, outputCol=BUCKET).transform(df)
+    bucketed = Bucketizer(splits=splits, inputCol=value, outputCol=BUCKET).transform(df)
+    return bucketed.withColumn(BUCKET, F.col(BUCKET).cast("int"))
 
 
 def running_totals(

@@ -1,0 +1,58 @@
+"""What the physical plans must and must not contain."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from driver import catalog, views
+from driver.oracle import ORACLE
+from stayrate.operators import evaluate, split
+from tests.helpers import plan_of
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_no_cross_join_and_no_python_in_any_plan(spark, tables, name):
+    plan = plan_of(catalog.QUERIES[name](spark, tables))
+    for operator in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas", "RDDScan"):
+        assert operator not in plan
+
+
+def formatted(df):
+    return df._jdf.queryExecution().explainString(
+        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+
+
+def test_price_scan_prunes_columns_and_pushes_the_snapshot_filter(spark, tables):
+    plan = formatted(views.prices(spark, tables))
+    assert "LessThan(o_orderdate,2000-01-01T00:00)" in plan
+    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz>" in plan
+    assert "l_shipdate" not in plan and "l_comment" not in plan and "o_totalprice" not in plan
+
+
+def test_scored_scan_leaves_the_texts_alone(spark, tables):
+    plan = formatted(views.scored(spark, tables))
+    assert "ReadSchema: struct<doc_id:bigint,n_chars:bigint>" in plan
+    assert "text" not in plan
+
+
+def test_curves_order_rows_by_bucket_only(spark, tables):
+    plan = plan_of(evaluate.precision_recall_points(views.scored(spark, tables), "label", "score"))
+    windows = [line for line in plan.splitlines() if " Window [" in line]
+    rows = [line for line in windows if "specifiedwindowframe" in line and "score#" in line]
+    assert rows and all("[_bucket#" in line for line in rows)
+
+
+def test_weights_do_not_join_on_the_label(spark):
+    df = spark.range(100).select("id", (F.col("id") % 9 == 0).cast("int").alias("churn"))
+    assert "Join" not in plan_of(split.with_class_weights(df, "churn")).split("Subquer")[0]
+
+
+def test_class_ranks_are_spread_over_hash_buckets(spark):
+    df = spark.range(100).select("id", (F.col("id") % 9 == 0).cast("int").alias("churn"))
+    plan = plan_of(split.stratified_split(df, "id", "churn"))
+    assert "hashpartitioning(churn#" in plan and "_bucket#" in plan
+    # Besides the tiny window over bucket totals, no window partitions by class alone.
+    ranked = [line for line in plan.splitlines() if "_hash#" in line and " Window [" in line]
+    assert ranked and all("_bucket#" in line for line in ranked)
