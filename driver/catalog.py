@@ -351,7 +351,7 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def date_parse(spark: SparkSession, folder: str) -> DataFrame:
-    text = F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.col("o_orderdate").cast("date").cast("string")
     orders = table(spark, folder, "orders").select(
         "o_orderkey",
         F.when(F.col("o_orderstatus") == "P", "pending").otherwise(text).alias("lenient"),

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -82,7 +82,10 @@ def fit(
 ) -> PipelineModel:
     """Fit on balanced class weights; nulls become training medians.
 
-    With ``impute=False`` a null feature is an error.
+    With ``impute=False`` a null feature is an error. A tree fit passes over
+    its input several times before it keeps its own copy, so the assembled
+    vectors are kept for the length of the fit (spilling to disk, and rebuilt
+    from the checkpointed rows if an executor is lost).
     """
     features = list(features)
     stages: list = []
@@ -93,7 +96,15 @@ def fit(
             Imputer(strategy="median", inputCols=features, outputCols=inputs, relativeError=0.001)
         )
     stages.append(VectorAssembler(inputCols=inputs, outputCol=VECTOR, handleInvalid="error"))
-    return Pipeline(stages=[*stages, classifier]).fit(with_class_weights(train, label, WEIGHT))
+    weighted = with_class_weights(train, label, WEIGHT)
+    prepared = Pipeline(stages=stages).fit(weighted)
+    vectors = prepared.transform(weighted).select(label, WEIGHT, VECTOR)
+    vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = classifier.fit(vectors)
+    finally:
+        vectors.unpersist()
+    return PipelineModel(stages=[*prepared.stages, fitted])
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -111,7 +122,7 @@ def cross_validated_scores(
     id: str,
     label: str,
     folds: int,
-    parallelism: int = 4,
+    parallelism: int = 5,
 ) -> DataFrame:
     """Score of every training row by the model that did not see its fold."""
 
@@ -132,7 +143,7 @@ def cross_validate(
     id: str,
     label: str,
     folds: int,
-    parallelism: int = 4,
+    parallelism: int = 5,
 ) -> DataFrame:
     """(fold, n_pos, n_neg, auc) rows."""
     scores = cross_validated_scores(train, features, classifier, id, label, folds, parallelism)
@@ -186,7 +197,7 @@ def grid_search(
     id: str,
     label: str,
     folds: int,
-    parallelism: int = 4,
+    parallelism: int = 5,
 ) -> DataFrame:
     """Cross-validated AUC per parameter map, best first.
 
