@@ -125,7 +125,7 @@ def price_features(spark: SparkSession, folder: str) -> DataFrame:
 
 def price_volatility(spark: SparkSession, folder: str) -> DataFrame:
     found = price.price_level(prices(spark, folder), LAYOUT)
-    return rounded(found, *[f"{c}_volatility" for c in LAYOUT.price_columns], digits=4)
+    return rounded(found, *[f"{c}_volatility" for c in LAYOUT.price_columns], digits=1)
 
 
 def price_mom(spark: SparkSession, folder: str) -> DataFrame:

@@ -306,7 +306,7 @@ SELECT id, CAST(price_date AS VARCHAR) AS price_date, {", ".join(PRICES)} FROM m
     "price_volatility": f"""WITH {MONTHLY},
 level AS (SELECT id, {", ".join(f"{_mean(c)} AS {c}_level" for c in PRICES)} FROM price GROUP BY id),
 deviation AS (
-  SELECT id, {", ".join(f"round(stddev_samp({c}), 4) + 0.0 AS {c}_volatility" for c in PRICES)}
+  SELECT id, {", ".join(f"round(stddev_samp({c}), 1) + 0.0 AS {c}_volatility" for c in PRICES)}
   FROM monthly GROUP BY id)
 SELECT * FROM level JOIN deviation USING (id)""",
     "price_mom": f"""WITH {MONTHLY}

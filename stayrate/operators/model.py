@@ -36,17 +36,16 @@ def feature_names(df: DataFrame, exclude: Sequence[str]) -> list[str]:
 
 
 def training_table(
-    df: DataFrame, id: str, keep: Sequence[str], features: Sequence[str], partitions: int | None = None
+    df: DataFrame, id: str, keep: Sequence[str], features: Sequence[str]
 ) -> DataFrame:
     """Cast the features to double, fix the row placement, checkpoint.
 
     Bootstrap samples depend on which rows share a partition; placing rows by
-    id makes a fit repeatable.
+    id makes a fit repeatable. Adaptive execution sizes the partitions by the
+    data, which matters because a forest runs a job per tree level.
     """
-    spark = df.sparkSession
-    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(id, *keep, *[F.col(quoted(c)).cast("double").alias(c) for c in features])
-    return pinned(rows.repartition(count, id).sortWithinPartitions(id))
+    return pinned(rows.repartition(F.col(id)).sortWithinPartitions(id))
 
 
 def forest(label: str, trees: int, max_depth: int, seed: int) -> RandomForestClassifier:
