@@ -18,7 +18,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from driver.catalog import QUERIES  # noqa: E402
+from given_tables.catalog import QUERIES  # noqa: E402
 from stayrate.session import build_session  # noqa: E402
 
 HEADLINE = [

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
-from driver.views import scored
+from given_tables.views import scored
 from stayrate.operators import evaluate
 from tests.helpers import by_key
 

@@ -7,8 +7,8 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from driver import catalog
-from driver.views import LAYOUT
+from given_tables import catalog
+from given_tables.views import LAYOUT
 from stayrate.operators import model
 from stayrate.plans import modelling, report
 from tests.helpers import by_key

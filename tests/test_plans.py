@@ -5,8 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from driver import catalog, views
-from driver.oracle import ORACLE
+from given_tables import catalog, views
+from given_tables.oracle import ORACLE
 from stayrate.operators import evaluate, split
 from tests.helpers import plan_of
 
