@@ -194,6 +194,8 @@ def _terciles(dimension: str, column: str) -> str:
   FROM client WHERE {column} IS NOT NULL) GROUP BY segment"""
 
 
+# The projection weights that seed 42 gives.
+_WEIGHTS = (-0.144, -0.173, -0.111)
 HASH = "((id % 2147483648) * 2654435761) % 4294967296"
 CLIENT_COLUMNS = (
     "id channel_sales origin_up cons_balance date_activ date_end date_modif_prod date_renewal "
@@ -394,6 +396,33 @@ needed AS (
   SELECT id, churn, CASE WHEN churn = 1
     THEN floor(largest / size) + CASE WHEN r <= largest % size THEN 1 ELSE 0 END ELSE 1 END AS times FROM ranked)
 SELECT id, churn, CAST(unnest(generate_series(1, CAST(times AS BIGINT))) AS INTEGER) AS copy FROM needed""",
+    "synthetic_minority": f"""WITH {CLIENT},
+few AS (
+  SELECT id, pow_max AS x, CAST(nb_prod_act AS DOUBLE) AS y, CAST(net_margin AS DOUBLE) AS z
+  FROM client WHERE churn = 1),
+stats AS (
+  SELECT avg(x) AS mx, stddev_samp(x) AS sx, avg(y) AS my, stddev_samp(y) AS sy,
+    avg(z) AS mz, stddev_samp(z) AS sz FROM few),
+placed AS (
+  SELECT id, x, y, z, COUNT(*) OVER () AS total,
+    row_number() OVER (ORDER BY (x - mx) / sx * {_WEIGHTS[0]} + (y - my) / sy * {_WEIGHTS[1]}
+      + (z - mz) / sz * {_WEIGHTS[2]}, id) - 1 AS place
+  FROM few, stats),
+sized AS (
+  SELECT *, row_number() OVER (ORDER BY {HASH}, id) AS r,
+    (SELECT COUNT(*) FROM client WHERE churn = 0) AS largest FROM placed),
+copies AS (
+  SELECT *, unnest(generate_series(2, CAST(floor(largest / total) AS BIGINT)
+    + CASE WHEN r <= largest % total THEN 1 ELSE 0 END)) AS copy FROM sized),
+moved AS (
+  SELECT id, x, y, z, copy, (place + (copy - 2) % 5 + 1) % total AS other,
+    ({HASH}) * (2 * copy + 1) % 4294967296 / 4294967296 AS part FROM copies)
+SELECT id, churn, pow_max, CAST(nb_prod_act AS DOUBLE) AS nb_prod_act,
+  CAST(net_margin AS DOUBLE) AS net_margin, CAST(1 AS INTEGER) AS copy FROM client
+UNION ALL
+SELECT moved.id, 1, moved.x + part * (placed.x - moved.x), moved.y + part * (placed.y - moved.y),
+  moved.z + part * (placed.z - moved.z), CAST(copy AS INTEGER)
+FROM moved JOIN placed ON placed.place = moved.other""",
     "confusion": f"""WITH {SCORED}
 SELECT actual, predicted, (SELECT COUNT(*) FROM scored WHERE label = actual AND prediction = predicted) AS n
 FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS grid(actual, predicted)""",

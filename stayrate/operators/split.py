@@ -163,7 +163,8 @@ def synthetic_minority(
         F.col("_place").alias("_other"),
         *[F.col(quoted(f)).alias(f"_o{i}") for i, f in enumerate(features)],
     )
-    part = F.pmod(F.xxhash64(id, "copy"), F.lit(HASH_RANGE)) / HASH_RANGE
+    # Odd multiples of the id's hash spread the copies of a row along the line.
+    part = F.pmod(value * (2 * F.col("copy") + 1), F.lit(HASH_RANGE)) / HASH_RANGE
     new = origins.join(others, "_other").select(
         id,
         label,

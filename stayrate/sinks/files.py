@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import half_even
 
+CSV = {"header": True, "escape": '"'}
+
 
 def write_features(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     """Overwrite the feature table and return a DataFrame that reads it back."""
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).csv(path)
-        return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
+        writer.options(**CSV).csv(path)
+        return df.sparkSession.read.schema(df.schema).options(**CSV).csv(path)
     writer.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -31,7 +33,7 @@ def prediction_table(scored: DataFrame, label: str, features: list[str], id: str
 
 def write_predictions(df: DataFrame, path: str, fmt: str = "csv") -> None:
     writer = df.write.mode("overwrite")
-    writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)
+    writer.options(**CSV).csv(path) if fmt == "csv" else writer.parquet(path)
 
 
 def write_report(spark: SparkSession, text: str, path: str) -> None:

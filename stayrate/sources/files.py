@@ -85,7 +85,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -
     value tokens become null before the cast; a malformed number is an error.
     """
     declared = {f.name: f for f in (schema.fields if schema else [])}
-    raw = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+    # A quote inside a quoted cell is written twice.
+    raw = spark.read.options(header=True, mode="FAILFAST", escape='"').csv(path)
     return raw.select(*[_typed(name, declared.get(name)) for name in raw.columns])
 
 

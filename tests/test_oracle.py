@@ -38,7 +38,6 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_query_has_sql_or_is_a_model_query():
     assert set(queries()) - set(oracle_sql()) == {
-        "synthetic_minority",
         "rf_predictions",
         "cv_auc",
         "importance_top20",

@@ -43,6 +43,14 @@ def test_a_category_called_missing_is_a_value(spark, tmp_path):
     assert files.read_csv(spark, path, files.client_schema()).first()["channel_sales"] == "MISSING"
 
 
+def test_quotes_and_commas_in_cells(spark, tmp_path):
+    path = write(tmp_path / "a.csv", 'id,note\n"a,1","say ""hi"""\n')
+    assert tuple(files.read_csv(spark, path).first()) == ("a,1", 'say "hi"')
+    out = str(tmp_path / "out")
+    write_features(files.read_csv(spark, path), out, "csv")
+    assert tuple(files.read_csv(spark, out).first()) == ("a,1", 'say "hi"')
+
+
 def test_nan_is_null_after_the_parquet_scan(spark, tmp_path):
     path = str(tmp_path / "p")
     spark.createDataFrame([(1.0,), (float("nan"),)], "x double").write.parquet(path)
