@@ -72,8 +72,11 @@ def boosted_trees(label: str, rounds: int, max_depth: int, seed: int) -> GBTClas
     )
 
 
-def _filled(features: Sequence[str]) -> list[str]:
-    return [f"{c}__filled" for c in features]
+def _with_inputs(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Add the features under plain names: category values can hold dots and spaces."""
+    return df.withColumns(
+        {f"_in{i}": F.col(quoted(c)).cast("double") for i, c in enumerate(features)}
+    )
 
 
 def fit(
@@ -86,16 +89,16 @@ def fit(
     vectors are kept for the length of the fit (spilling to disk, and rebuilt
     from the checkpointed rows if an executor is lost).
     """
-    features = list(features)
     stages: list = []
-    inputs = features
+    inputs = [f"_in{i}" for i in range(len(features))]
     if impute:
-        inputs = _filled(features)
+        filled = [f"_filled{i}" for i in range(len(features))]
         stages.append(
-            Imputer(strategy="median", inputCols=features, outputCols=inputs, relativeError=0.001)
+            Imputer(strategy="median", inputCols=inputs, outputCols=filled, relativeError=0.001)
         )
+        inputs = filled
     stages.append(VectorAssembler(inputCols=inputs, outputCol=VECTOR, handleInvalid="error"))
-    weighted = with_class_weights(train, label, WEIGHT)
+    weighted = with_class_weights(_with_inputs(train, features), label, WEIGHT)
     prepared = Pipeline(stages=stages).fit(weighted)
     vectors = prepared.transform(weighted).select(label, WEIGHT, VECTOR)
     vectors.persist(StorageLevel.MEMORY_AND_DISK)
@@ -106,9 +109,9 @@ def fit(
     return PipelineModel(stages=[*prepared.stages, fitted])
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
+def score(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
     """``df`` with predicted class (``prediction``) and P(class 1) (``score``)."""
-    scored = model.transform(df).withColumn(SCORE, vector_to_array("probability").getItem(1))
+    scored = model.transform(_with_inputs(df, features)).withColumn(SCORE, vector_to_array("probability").getItem(1))
     return scored.select(
         *[F.col(quoted(c)) for c in df.columns], F.col("prediction").cast("int"), SCORE
     )
@@ -127,7 +130,7 @@ def cross_validated_scores(
 
     def one(k: int) -> DataFrame:
         model = fit(train.where(F.col(FOLD) != k), features, classifier, label)
-        held_out = score(model, train.where(F.col(FOLD) == k))
+        held_out = score(model, train.where(F.col(FOLD) == k), features)
         return held_out.select(id, label, FOLD, "prediction", SCORE)
 
     with ThreadPool(min(parallelism, folds)) as pool:
@@ -177,7 +180,7 @@ def compare_models(
 ) -> DataFrame:
     """Threshold measures and AUC of several classifiers on the same split."""
     parts = [
-        score(fit(train, features, classifier, label), test).select(
+        score(fit(train, features, classifier, label), test, features).select(
             F.lit(name).alias("model"), id, label, "prediction", SCORE
         )
         for name, classifier in classifiers.items()
@@ -225,7 +228,8 @@ def permutation_importance(
     """
     prepare, classifier = PipelineModel(model.stages[:-1]), model.stages[-1]
     # Written once: both sides of the pairing and the quantile sketch read it.
-    vectors = durable(prepare.transform(df).select(id, label, vector_to_array(VECTOR).alias("own")))
+    prepared = prepare.transform(_with_inputs(df, features))
+    vectors = durable(prepared.select(id, label, vector_to_array(VECTOR).alias("own")))
     hashed = vectors.withColumns(
         {
             "_a": F.pmod(F.xxhash64(id, F.lit(1)), F.lit(HASH_RANGE)),

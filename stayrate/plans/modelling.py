@@ -75,7 +75,7 @@ def fit_and_score(
     model = fit(parts.train, parts.features, classifier(layout, settings), layout.label)
     return Fitted(
         model,
-        durable(score(model, parts.test)),
+        durable(score(model, parts.test, parts.features)),
         importances(model, parts.features, parts.train),
     )
 

@@ -11,6 +11,7 @@ from given_tables import catalog
 from given_tables.views import LAYOUT
 from stayrate.operators import model
 from stayrate.plans import modelling, report
+from stayrate.sinks.files import prediction_table
 from tests.helpers import by_key
 
 SETTINGS = replace(catalog.SETTINGS, trees=8, max_depth=4, folds=3, min_category_count=20)
@@ -73,6 +74,14 @@ def test_a_null_feature_is_an_error_without_imputation(parts):
         )
 
 
+def test_feature_names_may_hold_dots_and_spaces(spark, planted):
+    odd = planted.withColumnsRenamed({"signal": "seg_S.A. (x, y)", "price_noise": "a=b;c"})
+    parts = modelling.prepare(odd, LAYOUT, SETTINGS)
+    fitted = modelling.fit_and_score(parts, LAYOUT, SETTINGS)
+    assert model.top_importances(fitted.importance, 1).first()["feature"] == "seg_S.A. (x, y)"
+    assert "seg_S.A. (x, y)" in prediction_table(fitted.scored, "churn", parts.features, "id").columns
+
+
 def test_cross_validation_scores_each_row_once(parts):
     scores = model.cross_validated_scores(
         parts.train, parts.features, modelling.classifier(LAYOUT, SETTINGS), "id", "churn", 3
