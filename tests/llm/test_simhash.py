@@ -1,0 +1,65 @@
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+import xxhash
+
+from stayrate.llm import simhash
+from tests.llm.cases import CLASH, awkward, frame, words
+
+
+def brute_fingerprint(text):
+    parts = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m.group().lower(), text or ""))
+    runs = [" ".join(parts[i : i + 3]) for i in range(len(parts) - 2)] or ([" ".join(parts)] if parts else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(prints):
+    ids = sorted(prints)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in ids}
+
+
+def test_fingerprints_and_components_equal_brute_force(spark):
+    texts = awkward() + [words(120, s) for s in range(30)]
+    texts += [words(900, 7) + f" end{i}" for i in range(8)]
+    prints = {i: brute_fingerprint(t) for i, t in enumerate(texts)}
+    rows = simhash.linked(frame(spark, texts, CLASH)).collect()
+    assert {r.doc_id: r.fingerprint for r in rows} == {i: f"{p:016x}" for i, p in prints.items()}
+    assert {r.doc_id: r.component_id for r in rows} == brute_components(prints)
+
+
+@pytest.mark.parametrize("crowd", [0, 3, 64])
+def test_no_close_pair_is_lost_whatever_counts_as_crowded(spark, crowd):
+    pick = random.Random(3)
+    centres = [pick.getrandbits(64) for _ in range(6)] + [0, 2**64 - 1]
+    prints = sorted({c ^ sum(1 << b for b in pick.sample(range(64), pick.randrange(5))) for c in centres for _ in range(40)})
+    rows = [(i, p - 2**64 if p >> 63 else p) for i, p in enumerate(prints)]
+    found = simhash.close_pairs(spark.createDataFrame(rows, "node long, fp long"), crowd=crowd).collect()
+    pairs = [frozenset((r.u, r.v)) for r in found]
+    assert len(pairs) == len(set(pairs))
+    assert set(pairs) == {
+        frozenset((i, j)) for i, p in enumerate(prints) for j, q in enumerate(prints[:i]) if (p ^ q).bit_count() <= 2
+    }
+
+
+def test_empty_table_and_dedup(spark):
+    assert simhash.linked(frame(spark, [])).collect() == []
+    texts = [words(50, 1), words(50, 1), words(50, 2), None, "", words(50, 1).replace("alpha", "ALPHA")]
+    kept = simhash.dedup(frame(spark, texts, CLASH))
+    assert kept.columns == frame(spark, [], CLASH).columns
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
