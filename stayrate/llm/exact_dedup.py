@@ -20,7 +20,7 @@ from stayrate.session import durable
 LEAST, MOST = 256, 4096
 #: A chunk ends after four characters whose code points leave these remainders.
 ANCHOR = (1, 2, 3, 0)
-ANCHOR_RANGE = (0x21, 0x24F)
+ANCHOR_RANGE = (0x21, 0x100)
 
 
 def chunk_pattern(least: int = LEAST, most: int = MOST) -> str:
@@ -82,7 +82,8 @@ def groups(
 
 def _verify(cut: DataFrame, identify: Callable[[Column], Column]) -> tuple[DataFrame | None, DataFrame]:
     """Identifiers that several different chunks share (None without any), and the distinct chunks."""
-    chunk = cut.select(F.explode("chunks").alias("chunk"))
+    # explode() would have Spark add a filter on the array, which cuts every text once more.
+    chunk = cut.select(F.explode_outer("chunks").alias("chunk")).where("chunk is not null")
     content = chunk.select(identify(F.col("chunk")).alias("h"), "chunk").distinct()
     clashing = durable(content.groupBy("h").count().where("count > 1").select("h"))
     return (None if clashing.isEmpty() else clashing), content
