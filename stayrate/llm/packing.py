@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -121,6 +121,18 @@ def best_fit(sizes: list[int], limit: int) -> tuple[list[int], list[int], list[i
     return bins, offsets, used
 
 
+def _packer(at: int, limit: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Packs the items of one group in round ``at``; the bins get numbers that no other group has."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["size", "item"], ascending=[False, True], ignore_index=True)
+        bins, offsets, used = best_fit(rows["size"].tolist(), limit)
+        base = (at << 56) + (int(rows["g"].iloc[0]) << 28)
+        return pd.DataFrame({"item": rows["item"], "bin": base + np.array(bins), "offset": offsets, "used": np.array(used)[bins]})
+
+    return run
+
+
 def pack(items: DataFrame, limit: int = LIMIT, group: int = GROUP, slack: int = SLACK) -> DataFrame:
     """Bin and offset of every item: ``items`` has item (long, unique) and size (1 to ``limit``).
 
@@ -133,14 +145,8 @@ def pack(items: DataFrame, limit: int = LIMIT, group: int = GROUP, slack: int =
     while n:
         at, groups = at + 1, -(-n // group)
 
-        def run(rows: pd.DataFrame, at: int = at) -> pd.DataFrame:
-            rows = rows.sort_values(["size", "item"], ascending=[False, True], ignore_index=True)
-            bins, offsets, used = best_fit(rows["size"].tolist(), limit)
-            base = (at << 56) + (int(rows["g"].iloc[0]) << 28)
-            return pd.DataFrame({"item": rows["item"], "bin": base + np.array(bins), "offset": offsets, "used": np.array(used)[bins]})
-
         dealt = items.select("item", "size", F.pmod(F.xxhash64("item", F.lit(at)), F.lit(groups)).alias("g"))
-        found = durable(dealt.groupBy("g").applyInPandas(run, "item long, bin long, offset long, used long"))
+        found = durable(dealt.groupBy("g").applyInPandas(_packer(at, limit), "item long, bin long, offset long, used long"))
         if placed is None:
             placed = found.select("item", "bin", "offset")
         else:
