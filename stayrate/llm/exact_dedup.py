@@ -71,8 +71,11 @@ def groups(
     else:
         listed = _ranked(cut, content, clashing, identify)
     listed = durable(listed)
-    best = listed.groupBy("recipe", "ranks").agg(
-        F.count("*").alias("group_size"), F.min(F.struct((-F.col("points")).alias("p"), F.col("id").alias("keep_id"))).alias("best")
+    # Stored, so that both sides of the join are dealt out for it: Spark can then split a hot group.
+    best = durable(
+        listed.groupBy("recipe", "ranks").agg(
+            F.count("*").alias("group_size"), F.min(F.struct((-F.col("points")).alias("p"), F.col("id").alias("keep_id"))).alias("best")
+        )
     )
     return listed.join(best, ["recipe", "ranks"]).select(
         F.col("id").alias(id_col), F.col("best.keep_id").alias("keep_id"), "group_size",
