@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stayrate.llm import bpe, exact_dedup, packing, simhash
+from stayrate.llm import bpe, exact_dedup, packing, pii, quality, rules, simhash
 from stayrate.llm.tables import read
 
 
@@ -15,6 +15,16 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(read(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(read(spark, sf_dir, "documents"), pii.fit())
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, training = read(spark, sf_dir, "documents"), quality.Training()
+    rows = quality.sample(docs, read(spark, sf_dir, "labels"), "quality", training.rows, training.longest)
+    return quality.scored(docs, quality.fit(rows, training))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.linked(read(spark, sf_dir, "documents"))
 
@@ -23,12 +33,20 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, training = read(spark, sf_dir, "documents"), rules.Training()
+    rows = quality.sample(docs, read(spark, sf_dir, "labels"), "quality", training.rows, training.longest)
+    return rules.judged(docs, rules.fit(rows, training), training)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op5_simhash, op8_bpe, op10_packing)
+    f.__name__: f for f in (
+        op2_exact_dedup, op3_pii, op4_quality, op5_simhash, op8_bpe, op9_rules, op10_packing,
+    )
 }
 
 _OP2 = r"""
