@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stayrate.llm.recent import Recent
+from stayrate.llm.bpe import byte_letters
+from stayrate.llm.recent import Known
 from stayrate.llm.tables import known
 from stayrate.session import durable
 
@@ -28,39 +29,69 @@ GROUP, SLACK = 20_000, 16
 #: str.split() also parts words at these, which the tokenizer does not count as white space.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _PARTS = re.compile(r"[^ \t\n\r\f\v]+")
-_ENCODERS: dict[str, Recent] = {}
+#: Words of printable Latin-1, of which normalising does no more than lower them,
+#: and their parts: letters, single digits and the like, and runs of other signs.
+_LATIN = re.compile("[!-~¡-ÿ]+")
+_LATIN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+_LETTERS = byte_letters()
+_ENCODERS: dict[str, Known] = {}
+#: Words of a batch that are looked up at once.
+_STEP = 300_000
 
 
-def encoder(path: str) -> Recent:
+def encoder(path: str) -> Known:
     """Words to their ids as little-endian unsigned 32-bit numbers, one per worker and tokenizer.
 
     The tokenizer drops white space and never joins characters across it, so a text
-    has the ids of its words, one after the other. It also parts letters from
-    punctuation, so a word with a mark at its end has the ids of both (where the last
-    letter is of Latin-1: some others are taken apart into a letter and a sign).
+    has the ids of its words, one after the other. A Latin-1 word has those of its
+    parts, each of them a string of symbols for the model; the library encodes other
+    words, and those that may hold a special token.
     """
     if path not in _ENCODERS:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        merge = tokenizer.model.tokenize
 
-        def ids(words: list[str]) -> list[bytes]:
-            found = tokenizer.encode_batch_fast(words, add_special_tokens=False)
-            return [np.array(x.ids, "<u4").tobytes() for x in found]
+        def symbols(parts: list[str]) -> list[bytes]:
+            return _as_bytes([t.id for t in merge("".join([_LETTERS[b] for b in p.encode()]))] for p in parts)
 
-        bare = Recent(ids)
+        known = Known(symbols)
 
         def make(words: list[str]) -> list[bytes]:
-            parts = [(w[:-1], w[-1]) if w[-1] in ".," and w[:-1].isalpha() and w[-2] < "\u0100" else (w,) for w in words]
-            flat = iter(bare([p for part in parts for p in part]))
-            return [b"".join([next(flat) for _ in part]) for part in parts]
-
-        _ENCODERS[path] = Recent(make)
+            cut = [_LATIN_PARTS.findall(w.lower()) if _LATIN.fullmatch(w) and "<|" not in w else None for w in words]
+            known.learn([c for c in cut if c])
+            other = tokenizer.encode_batch_fast([w for w, c in zip(words, cut) if c is None], add_special_tokens=False)
+            rest = iter(_as_bytes(x.ids for x in other))
+            find = known.values.__getitem__
+            return [next(rest) if c is None else b"".join(map(find, c)) for c in cut]
+
+        _ENCODERS[path] = Known(make)
     return _ENCODERS[path]
 
 
-def encode(text: str, words: Recent) -> bytes:
-    return b"".join(words(_PARTS.findall(text) if _NOT_SPACE.search(text) else text.split()))
+def _as_bytes(lists: Iterable[list[int]]) -> list[bytes]:
+    flat: list[int] = []
+    ends = [0]
+    for ids in lists:
+        flat += ids
+        ends.append(len(flat))
+    data = np.array(flat, "<u4").tobytes()
+    return [data[4 * a : 4 * b] for a, b in zip(ends, ends[1:])]
+
+
+def encode_all(texts: list[str], words: Known) -> Iterator[bytes]:
+    """The ids of each text, looked up for many texts at a time."""
+    held: list[list[str]] = []
+    size = 0
+    for at, text in enumerate(texts):
+        held.append(_PARTS.findall(text) if _NOT_SPACE.search(text) else text.split())
+        size += len(held[-1])
+        if size >= _STEP or at == len(texts) - 1:
+            words.learn(held)
+            find = words.values.__getitem__
+            yield from (b"".join(map(find, parts)) for parts in held)
+            held, size = [], 0
 
 
 def pieces(
@@ -76,8 +107,8 @@ def pieces(
         words = encoder(path)
         for batch in batches:
             rows = []
-            for at, text in enumerate(batch.column("text").to_pylist()):
-                ids = memoryview(encode(text, words) + END.to_bytes(4, "little"))
+            for at, packed_ids in enumerate(encode_all(batch.column("text").to_pylist(), words)):
+                ids = memoryview(packed_ids + END.to_bytes(4, "little"))
                 for piece, start in enumerate(range(0, len(ids) // 4, limit)):
                     cut = ids[4 * start : 4 * (start + limit)]
                     rows.append((at, piece, start, len(cut) // 4, zlib.crc32(cut), np.frombuffer(cut, "<u4") if with_ids else None))

@@ -29,3 +29,22 @@ class Recent:
             self.old, self.young = self.young, {}
         self.young.update(lacking)
         return [lacking[k] if v is None else v for k, v in zip(keys, found)]
+
+
+class Known:
+    """``make`` of many keys, for texts that are looked up many at a time.
+
+    ``learn`` makes what is lacking of all given keys at once; after it, ``values``
+    has them all. Beyond ``size`` keys it forgets those that are not among them.
+    """
+
+    def __init__(self, make: Callable[[list], list], size: int = 500_000):
+        self.make, self.size = make, size
+        self.values: dict = {}
+
+    def learn(self, lists: list[list]) -> None:
+        keys = set().union(*lists)
+        lacking = list(keys.difference(self.values))
+        if len(self.values) + len(lacking) > self.size:
+            self.values = {k: v for k, v in self.values.items() if k in keys}
+        self.values.update(zip(lacking, self.make(lacking)))

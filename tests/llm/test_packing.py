@@ -20,7 +20,7 @@ LIBRARY = Tokenizer.from_file(PATH)
 
 
 def ids_of(text: str) -> list[int]:
-    return np.frombuffer(packing.encode(text, packing.encoder(PATH)), "<u4").tolist()
+    return np.frombuffer(next(packing.encode_all([text], packing.encoder(PATH))), "<u4").tolist()
 
 
 def library_ids(text: str) -> list[int]:
@@ -56,6 +56,15 @@ def test_best_fit_leaves_the_least_room(sizes):
     assert level == used
 
 
+def test_looking_up_many_texts_at_a_time(monkeypatch):
+    monkeypatch.setattr(packing, "_STEP", 50)
+    texts = [t or "" for t in awkward()] + MORE + [words(30, i) for i in range(40)]
+    encoder = packing.encoder(PATH)
+    monkeypatch.setattr(encoder, "size", 100)
+    found = [np.frombuffer(b, "<u4").tolist() for b in packing.encode_all(texts, encoder)]
+    assert found == [library_ids(t) for t in texts]
+
+
 def holds(rows, texts, limit=packing.LIMIT):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
