@@ -7,10 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stayrate.llm import bpe, exact_dedup, packing, pii, quality, rules, simhash
+from pyspark.sql import functions as F
+
+from stayrate.llm import bpe, exact_dedup, licenses, line_dedup, packing, pii, quality, rules, sharding, simhash
 from stayrate.llm.tables import read
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.counted(read(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(read(spark, sf_dir, "documents"))
 
@@ -29,6 +35,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.linked(read(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(read(spark, sf_dir, "documents"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories are source/lang; a text whose first line is a notice alone speaks for its directory."""
+    opening = F.col("text").rlike(r"(?i)\A[^\n]{0,200}\blicen[sc]ed?\b[^\n]{0,200}(\n|\z)|\ASPDX-")
+    return licenses.scanned(read(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang"), opening)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -45,7 +61,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_exact_dedup, op3_pii, op4_quality, op5_simhash, op8_bpe, op9_rules, op10_packing,
+        op1_line_dedup, op2_exact_dedup, op3_pii, op4_quality, op5_simhash, op6_sharding, op7_licenses, op8_bpe, op9_rules,
+        op10_packing,
     )
 }
 
