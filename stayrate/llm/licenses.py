@@ -59,13 +59,13 @@ class Weights:
     def needed(self) -> list[str]:
         """Words of which every statement that is similar enough to a template has one.
 
-        A statement with none of a template's heaviest words has a cosine of at most what
-        the other words make of the template's length.
+        A statement with none of some words of a template has a cosine of at most what the
+        other words make of the template's length. Any words will do; long ones are rare.
         """
         found = set()
         for (_, counts), norm in zip(self.rows, self.norms):
             rest = norm**2
-            for w, c in sorted(counts.items(), key=lambda x: (-x[1] * self.idf[x[0]], x[0])):
+            for w, c in sorted(counts.items(), key=lambda x: (len(x[0]), x[0]), reverse=True):
                 if math.sqrt(max(rest, 0)) < self.threshold * norm:
                     break
                 found.add(w)
@@ -77,20 +77,32 @@ def _dot(term: Column, own: Column) -> Column:
     return F.aggregate(term, F.lit(0.0), lambda s, t: s + t["v"] * F.coalesce(own[t["w"]], F.lit(0.0)))
 
 
-def _best(statement: Column, weights: Weights) -> Column:
-    """The most similar template of a statement: (score, name), ties to the first name."""
-    words = F.regexp_extract_all(F.lower(statement), F.lit(_WORD), F.lit(0))
-    idf = F.create_map(*(x for w, v in sorted(weights.idf.items()) for x in (F.lit(w), F.lit(v))))
-    distinct = F.array_distinct(words)
-    term = F.transform(distinct, lambda w: F.struct(w.alias("w"), (F.size(F.filter(words, lambda x: x == w)) * F.coalesce(idf[w], F.lit(weights.unseen))).alias("v")))
-    norm = F.sqrt(F.aggregate(term, F.lit(0.0), lambda s, t: s + t["v"] * t["v"]))
+def _similar(parts: DataFrame, weights: Weights) -> DataFrame:
+    """``parts`` (with a column part) that are similar enough to a template, with name and score; ties to the first name.
+
+    Words in no template only add to a statement's length. Where their number alone
+    adds too much, the templates are not compared.
+    """
+    names = sorted(weights.idf)
+    vocabulary = F.array(*map(F.lit, names))
+    idf = F.create_map(*(x for w in names for x in (F.lit(w), F.lit(weights.idf[w]))))
+    square = lambda terms, of: F.aggregate(terms, F.lit(0.0), lambda s, t: s + of(t) * of(t))
+    times = lambda w: F.size(F.filter("words", lambda x: x == w))
+    cut = parts.withColumn("words", F.regexp_extract_all(F.lower("part"), F.lit(_WORD), F.lit(0)))
+    cut = cut.withColumn("other", F.array_except("words", vocabulary)).withColumn(
+        "term", F.transform(F.array_intersect("words", vocabulary), lambda w: F.struct(w.alias("w"), (times(w) * idf[w]).alias("v")))
+    )
+    known_part = cut.withColumn("inside", square(F.col("term"), lambda t: t["v"])).where(
+        (F.col("inside") > 0)
+        & (F.col("inside") >= weights.threshold**2 * (F.col("inside") + F.size("other") * weights.unseen**2) - 1e-9)
+    )
+    norm = F.sqrt(F.col("inside") + square(F.transform("other", lambda w: times(w) * weights.unseen), lambda v: v))
     scores = []
     for (name, counts), length in zip(weights.rows, weights.norms):
         own = F.create_map(*(x for w, c in sorted(counts.items()) for x in (F.lit(w), F.lit(c * weights.idf[w] / length))))
-        dot = _dot(term, own)
-        scores.append(F.struct((-F.round(F.try_divide(dot, norm), 6)).alias("minus"), F.lit(name).alias("name")))
-    best = F.array_min(F.filter(F.array(*scores), lambda s: s["minus"].isNotNull()))
-    return F.struct((-best["minus"]).alias("score"), best["name"].alias("name"))
+        scores.append(F.struct((-F.round(_dot(F.col("term"), own) / F.col("norm"), 6)).alias("minus"), F.lit(name).alias("name")))
+    best = known_part.withColumn("norm", norm).withColumn("best", F.array_min(F.array(*scores)))
+    return best.withColumn("score", -F.col("best.minus")).withColumn("name", F.col("best.name")).where(F.col("score") >= weights.threshold)
 
 
 def statements(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,15 +110,10 @@ def statements(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_c
     needed = "(?i)(?<![a-z0-9])(?:" + "|".join(weights.needed()) + ")(?![a-z0-9])"
     hit = docs.select(F.col(id_col).alias("id"), known(text_col).alias("text")).where(F.col("text").rlike(needed))
     parts = hit.select("id", "text", F.explode_outer(F.filter(F.split("text", _ENDS), lambda x: x.rlike(needed))).alias("part"))
-    # Of the whole text only one with no more words than a template allows at the threshold can be similar.
-    longest = max(sum(c.values()) for _, c in weights.rows)
-    short = hit.where(F.size(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))) <= int(longest * weights.unseen**2 / weights.threshold**2))
     every = parts.where("part is not null").select("id", "part", F.lit(False).alias("whole")).union(
-        short.select("id", F.col("text").alias("part"), F.lit(True).alias("whole"))
-    )
-    return every.select("id", "whole", _best(F.col("part"), weights).alias("best")).where(F.col("best.score") >= weights.threshold).select(
-        "id", "best.name", "best.score", "whole"
+        hit.select("id", F.col("text").alias("part"), F.lit(True).alias("whole"))
     )
+    return _similar(every, weights).select("id", "name", "score", "whole")
 
 
 def scanned(

@@ -30,24 +30,25 @@ def _add(a: Column, b: Column) -> Column:
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, at (line number from 0) and words of every line that has a word."""
+    """id, at (line number from 0) and the line, its words joined by single spaces, of every line that has a word."""
     cut = docs.select(F.col(id_col).alias("id"), F.posexplode_outer(F.split(known(text_col), "\n")).alias("at", "line"))
     bare = cut.select("id", "at", F.regexp_replace(F.regexp_replace("line", SPACES, " "), "^ | $", "").alias("line"))
-    return bare.where("line <> ''").select("id", "at", F.split("line", " ").alias("words"))
+    return bare.where("line <> ''")
 
 
-def _halves() -> Column:
+def _halves(words: Column) -> Column:
     """Hashes that two lines within the bound share: of the first half, or of the rest.
 
-    For either length that the shorter of the two may have: the line's own, and one less.
+    For either length that the shorter of the two may have: first the line's own, then one less.
     """
-    n, found = F.size("words"), []
+    n, found = F.size(words), []
     for k in (0, 1):
         half = F.floor((n - k) / 2).cast("int")
         rest = n - k - half
-        found.append(F.struct(F.lit(k).alias("k"), F.xxhash64(n - k, F.lit(0), F.slice("words", F.lit(1), half)).alias("half")))
-        found.append(F.struct(F.lit(k).alias("k"), F.xxhash64(n - k, F.lit(1), F.slice("words", n - rest + 1, rest)).alias("half")))
-    return F.filter(F.array(*found), lambda h: n - h["k"] >= SHORT)
+        found.append(F.xxhash64(n - k, F.lit(0), F.slice(words, F.lit(1), half)))
+        found.append(F.xxhash64(n - k, F.lit(1), F.slice(words, n - rest + 1, rest)))
+    none = F.array().cast("array<bigint>")
+    return F.when(n > SHORT, F.array(*found)).when(n == SHORT, F.array(*found[:2])).otherwise(none)
 
 
 def _running(values: Column) -> Column:
@@ -64,7 +65,9 @@ def _running(values: Column) -> Column:
 
 
 def neighbourhood(candidates: DataFrame) -> DataFrame:
-    """Keys of each line (columns id, at, words, shorter, equal): itself, and itself without each word.
+    """Keys of each line (columns id, at, words, shared): itself, and itself without each word.
+
+    ``shared`` says which of its four halves the line shares; the edit is in the other half.
 
     role 0: lines of one length that lack the same place; 1: the line itself; 2: a line
     without one word, to meet lines that are that. A word's hash depends on its place,
@@ -73,36 +76,41 @@ def neighbourhood(candidates: DataFrame) -> DataFrame:
     n = F.size("words")
     here = F.transform("words", lambda w, i: _hash(w, i))
     moved = F.transform("words", lambda w, i: _hash(w, i - 1))
-    base = candidates.select("id", "at", "equal", "shorter", n.alias("n"), here.alias("here"), moved.alias("moved"))
+    base = candidates.select("id", "at", "shared", n.alias("n"), here.alias("here"), moved.alias("moved"))
     gap = F.zip_with("here", "moved", lambda a, b: _add(a, F.lit(_BITS + 1) - b))
     summed = base.select(
-        "id", "at", "equal", "shorter", "n", "here",
+        "id", "at", "shared", "n", "here",
         F.aggregate("moved", F.lit(0).cast("long"), _add).alias("all_moved"),
         F.aggregate("here", F.lit(0).cast("long"), _add).alias("whole"), _running(gap).alias("gaps"),
     )
     # The words before j in their place, those behind it moved: all moved + gaps up to j - here[j].
     without = F.zip_with("gaps", "here", lambda g, h: _add(_add(F.col("all_moved"), g), F.lit(_BITS + 1) - h))
-    left = summed.select("id", "at", "equal", "shorter", "n", "whole", F.posexplode(without).alias("j", "rest"))
-    replaced = left.where("equal").select("id", "at", F.lit(0).alias("role"), F.xxhash64(F.lit(0), "n", "j", "rest").alias("key"))
-    longer = left.where("shorter").select("id", "at", F.lit(2).alias("role"), F.xxhash64(F.lit(1), F.col("n") - 1, "rest").alias("key"))
-    itself = summed.where("equal").select("id", "at", F.lit(1).alias("role"), F.xxhash64(F.lit(1), "n", "whole").alias("key"))
-    return replaced.union(longer.distinct()).union(itself)
+    left = summed.select("id", "at", "shared", "n", F.posexplode(without).alias("j", "rest"))
+
+    def other_half(k: int) -> Column:
+        half = F.floor((F.col("n") - k) / 2)
+        return (F.col("shared")[2 * k] & (F.col("j") >= half)) | (F.col("shared")[2 * k + 1] & (F.col("j") < half + k))
+
+    replaced = left.where(other_half(0)).select("id", "at", F.lit(0).alias("role"), F.xxhash64(F.lit(0), "n", "j", "rest").alias("key"))
+    longer = left.where(other_half(1)).select("id", "at", F.lit(2).alias("role"), F.xxhash64(F.lit(1), F.col("n") - 1, "rest").alias("key"))
+    itself = summed.where(F.col("shared")[0] | F.col("shared")[1]).select("id", "at", F.lit(1).alias("role"), F.xxhash64(F.lit(1), "n", "whole").alias("key"))
+    return replaced.union(longer).union(itself)
 
 
 def _first(*more: Column) -> Column:
     return F.min(F.struct("id", "at", *more))
 
 
-def near(distinct: DataFrame, words: DataFrame) -> DataFrame:
+def near(distinct: DataFrame, every: DataFrame) -> DataFrame:
     """Lines (id, at) that have an earlier line (to_id, to_at) within the bound, the earliest of these.
 
     ``distinct`` has the first place of each distinct line (id, at) and its halves,
-    ``words`` the words of all lines.
+    ``every`` all lines.
     """
-    halves = distinct.select("id", "at", F.explode_outer("halves").alias("h")).select("id", "at", "h.k", "h.half").where("half is not null")
+    halves = distinct.select("id", "at", F.posexplode_outer("halves").alias("which", "half")).where("half is not null")
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    able = halves.join(shared, "half").groupBy("id", "at").agg(F.max(F.col("k") == 0).alias("equal"), F.max(F.col("k") == 1).alias("shorter"))
-    candidates = durable(words.join(able, ["id", "at"]).select("id", "at", "words", "equal", "shorter"))
+    able = halves.join(shared, "half").groupBy("id", "at").agg(F.array(*(F.max(F.col("which") == k) for k in range(4))).alias("shared"))
+    candidates = durable(every.join(able, ["id", "at"]).select("id", "at", F.split("line", " ").alias("words"), "shared"))
     keys = durable(neighbourhood(candidates))
     # Role 0 looks among its own; lines themselves among those that lack a word, and the other way round.
     met = keys.withColumn("side", F.when(F.col("role") == 1, 2).when(F.col("role") == 2, 1).otherwise(0))
@@ -136,16 +144,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     within the bound, whether that one stays or not. Lines without words never go.
     """
     every = lines(docs, id_col, text_col)
-    key = F.unhex(F.sha2(F.concat_ws(" ", "words"), 256)).alias("line")
-    placed = every.select("id", "at", key, _halves().alias("halves"))
+    # 128 bits tell lines apart; the lines themselves stay where they are.
+    placed = every.select("id", "at", F.unhex(F.md5("line")).alias("line"), F.split("line", " ").alias("words"))
+    placed = placed.select("id", "at", "line", _halves(F.col("words")).alias("halves"))
     distinct = durable(
-        placed.groupBy("line").agg(F.min(F.struct("id", "at", "halves")).alias("first")).select("line", "first.id", "first.at", "first.halves")
+        placed.groupBy("line").agg(F.min(F.struct("id", "at", "halves")).alias("first"), F.count("*").alias("n"))
+        .select("line", "first.id", "first.at", "first.halves", (F.col("n") > 1).alias("again"))
     )
     near_firsts = near(distinct, every).select("id", "at")
-    gone = distinct.join(near_firsts.withColumn("near", F.lit(True)), ["id", "at"], "left").select(
-        "line", F.struct("id", "at").alias("first"), F.coalesce("near", F.lit(False)).alias("near")
-    )
-    gone = durable(gone)
+    marked = distinct.select("line", "id", "at", "again").join(near_firsts.withColumn("near", F.lit(True)), ["id", "at"], "left")
+    gone = durable(marked.where("again or near").select("line", F.struct("id", "at").alias("first"), F.coalesce("near", F.lit(False)).alias("near")))
     return (
         placed.select("id", "at", "line").join(gone, "line")
         .where("near or struct(id, at) <> first")
