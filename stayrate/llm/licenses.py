@@ -88,21 +88,25 @@ def _similar(parts: DataFrame, weights: Weights) -> DataFrame:
     idf = F.create_map(*(x for w in names for x in (F.lit(w), F.lit(weights.idf[w]))))
     square = lambda terms, of: F.aggregate(terms, F.lit(0.0), lambda s, t: s + of(t) * of(t))
     times = lambda w: F.size(F.filter("words", lambda x: x == w))
-    cut = parts.withColumn("words", F.regexp_extract_all(F.lower("part"), F.lit(_WORD), F.lit(0)))
-    cut = cut.withColumn("other", F.array_except("words", vocabulary)).withColumn(
-        "term", F.transform(F.array_intersect("words", vocabulary), lambda w: F.struct(w.alias("w"), (times(w) * idf[w]).alias("v")))
-    )
-    known_part = cut.withColumn("inside", square(F.col("term"), lambda t: t["v"])).where(
+    cut = _held(parts, "words", F.regexp_extract_all(F.lower("part"), F.lit(_WORD), F.lit(0)))
+    cut = _held(cut, "other", F.array_except("words", vocabulary))
+    cut = _held(cut, "term", F.transform(F.array_intersect("words", vocabulary), lambda w: F.struct(w.alias("w"), (times(w) * idf[w]).alias("v"))))
+    cut = _held(cut, "inside", square(F.col("term"), lambda t: t["v"])).where(
         (F.col("inside") > 0)
         & (F.col("inside") >= weights.threshold**2 * (F.col("inside") + F.size("other") * weights.unseen**2) - 1e-9)
     )
-    norm = F.sqrt(F.col("inside") + square(F.transform("other", lambda w: times(w) * weights.unseen), lambda v: v))
+    cut = _held(cut, "norm", F.sqrt(F.col("inside") + square(F.transform("other", lambda w: times(w) * weights.unseen), lambda v: v)))
     scores = []
     for (name, counts), length in zip(weights.rows, weights.norms):
         own = F.create_map(*(x for w, c in sorted(counts.items()) for x in (F.lit(w), F.lit(c * weights.idf[w] / length))))
         scores.append(F.struct((-F.round(_dot(F.col("term"), own) / F.col("norm"), 6)).alias("minus"), F.lit(name).alias("name")))
-    best = known_part.withColumn("norm", norm).withColumn("best", F.array_min(F.array(*scores)))
-    return best.withColumn("score", -F.col("best.minus")).withColumn("name", F.col("best.name")).where(F.col("score") >= weights.threshold)
+    best = _held(cut, "best", F.array_min(F.array(*scores)))
+    return best.where(-F.col("best.minus") >= weights.threshold).select("*", (-F.col("best.minus")).alias("score"), "best.name")
+
+
+def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is worked out once a row, and not again in each filter and lambda that uses it."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
 def statements(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
