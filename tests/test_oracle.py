@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from given_tables.catalog import QUERIES
+from given_tables.oracle import ORACLE
 
 FOLDER = "/root/testdata/sf0.01"
 TABLES = ["nation", "customer", "orders", "lineitem", "documents", "labels"]
@@ -26,7 +28,7 @@ def ordered(rows, names):
     return sorted((tuple(row[i] for i in places) for row in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, duck, name):
     df = queries()[name](spark, FOLDER)
     result = duck.execute(oracle_sql()[name])
@@ -37,7 +39,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_is_a_model_query():
-    assert set(queries()) - set(oracle_sql()) == {
+    assert set(QUERIES) - set(ORACLE) == {
         "rf_predictions",
         "cv_auc",
         "importance_top20",
@@ -48,6 +50,7 @@ def test_every_query_has_sql_or_is_a_model_query():
         "permutation_importance",
     }
     assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) <= set(queries())
 
 
 def test_entry(spark):
