@@ -119,3 +119,4 @@ class Settings:
     price_feature_pattern: str = "price|peak"
     top_features: int = 20
     report_features: int = 5
+    retention_rows: int = 100

@@ -81,7 +81,8 @@ def with_class_weights(df: DataFrame, label: str, weight: str = "weight") -> Dat
         )
     ).scalar()
     ones, zeros = sizes.getField("ones"), sizes.getField("zeros")
-    own = F.when(F.col(label) == 1, ones).otherwise(zeros)
+    # A row without a label belongs to no class and has no weight.
+    own = F.when(F.col(label) == 1, ones).when(F.col(label) == 0, zeros)
     return df.withColumn(weight, (ones + zeros) / (2 * own))
 
 

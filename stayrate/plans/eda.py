@@ -30,7 +30,7 @@ def explore(
         ),
         "group_means": profile.group_means(clients, label, present(clients, layout.mean_columns)),
     }
-    for column in present(clients, layout.category_columns[:1]):
+    for column in present(clients, layout.category_columns):
         tables[f"rate_by_{column}"] = profile.rate_by_descending(clients, column, label)
     for column in present(clients, layout.flag_columns):
         tables[f"rate_by_{column}"] = profile.rate_by(clients, column, label)

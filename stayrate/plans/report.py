@@ -26,7 +26,8 @@ def price_share(importance: DataFrame, settings: Settings = Settings()) -> DataF
             F.count_if(is_price).alias("n"),
             F.sum(F.when(is_price, F.col("importance"))).alias("weight"),
             F.sum("importance").alias("all"),
-            F.max_by(is_price.cast("int"), F.col("importance")).alias("first"),
+            # Of equally strong features the first by name, as in the list of the strongest.
+            F.min_by(is_price.cast("int"), F.struct(-F.col("importance"), F.col("feature"))).alias("first"),
         )
     ).scalar()
     return importance.agg(
@@ -90,7 +91,7 @@ def render(
     eda: Mapping[str, DataFrame] | None = None,
     settings: Settings = Settings(),
 ) -> str:
-    """The report page. Reads a few dozen rows; every statement follows from them."""
+    """The report page. Every statement follows from the tables, which come row by row and whole."""
     value = {r["metric"]: r["value"] for r in metrics.collect()}
     top = top_importances(importance, settings.report_features).collect()
     price_led = value["price_feature_is_first"] == 1 or value["price_importance"] > 0.5
@@ -121,7 +122,7 @@ def render(
     ]
     for name, table in (eda or {}).items():
         lines += ["", f"Churn rate: {name}"]
-        for row in table.limit(20).collect():
+        for row in table.toLocalIterator():
             lines.append(f"  {row[0]}: {row['label_rate']:.1%} of {row['n']:,}")
     return "\n".join(lines) + "\n"
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import argparse
 from dataclasses import replace
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -85,7 +86,7 @@ def run_model(
         "cross_validation_summary": fold_summary(per_fold),
         "feature_importance": fitted.importance,
         "top_features": top_importances(fitted.importance, settings.top_features),
-        "retention_list": retention_list(fitted.scored, layout.id, SCORE, 100),
+        "retention_list": retention_list(fitted.scored, layout.id, SCORE, settings.retention_rows),
     }
     for name, result in tables.items():
         write_features(result, f"{out}/model/{name}")
@@ -120,6 +121,11 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--trees", type=int, default=Settings.trees)
     parser.add_argument("--max-depth", type=int, default=Settings.max_depth)
     parser.add_argument("--min-category-count", type=int, default=Settings.min_category_count)
+    parser.add_argument("--reference-date", type=date.fromisoformat, default=Settings.reference_date)
+    parser.add_argument("--test-share", type=float, default=Settings.test_share)
+    parser.add_argument("--folds", type=int, default=Settings.folds)
+    parser.add_argument("--thresholds", type=float, nargs="+", default=Settings.thresholds)
+    parser.add_argument("--retention-rows", type=int, default=Settings.retention_rows)
     given = parser.parse_args(arguments)
 
     layout = Layout()
@@ -128,6 +134,11 @@ def main(arguments: list[str] | None = None) -> None:
         trees=given.trees,
         max_depth=given.max_depth,
         min_category_count=given.min_category_count,
+        reference_date=given.reference_date,
+        test_share=given.test_share,
+        folds=given.folds,
+        thresholds=tuple(given.thresholds),
+        retention_rows=given.retention_rows,
     )
     spark = build_session("stayrate")
     if given.stage == "all":
@@ -137,7 +148,8 @@ def main(arguments: list[str] | None = None) -> None:
             spark, given.data, given.out, layout, settings, given.format
         ).items():
             print(name)
-            table.show(20, truncate=False)
+            for row in table.toLocalIterator():
+                print("  " + "  ".join(map(str, row)))
     elif given.stage == "features":
         run_features(spark, given.data, given.out, layout, settings, given.format)
     else:
