@@ -9,6 +9,7 @@ from pyspark.sql.types import (
     DoubleType,
     FloatType,
     IntegerType,
+    IntegralType,
     StringType,
     StructField,
     StructType,
@@ -71,9 +72,11 @@ def _typed(name: str, field: StructField | None) -> Column:
     text = F.when(~F.trim(column).isin(*MISSING_TOKENS), column)
     if field is None or isinstance(field.dataType, StringType):
         return text.alias(name)
-    if isinstance(field.dataType, IntegerType):
+    if isinstance(field.dataType, IntegralType):
         # A column with gaps is often written as 1.0, 2.0, ...
-        return text.cast("double").cast("int").alias(name)
+        number = text.cast("decimal(38,10)")
+        broken = F.raise_error(F.concat(F.lit(f"{name} is not whole: "), text))
+        return F.when(number == F.floor(number), number.cast(field.dataType)).when(number.isNotNull(), broken).alias(name)
     return text.cast(field.dataType).alias(name)
 
 
@@ -81,12 +84,14 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -
     """Scan CSV files with a header row.
 
     Columns are matched to ``schema`` by name, so files may order them freely or
-    carry more of them (those stay text, for lack of a declared type). Missing
-    value tokens become null before the cast; a malformed number is an error.
+    carry more of them (those stay text, for lack of a declared type). All files
+    of a folder must have the same header; another order or name is an error, as
+    Spark would take cells by position. Missing value tokens become null before the
+    cast; a malformed number, or a fraction in a column of whole numbers, is an error.
     """
     declared = {f.name: f for f in (schema.fields if schema else [])}
     # A quote inside a quoted cell is written twice.
-    raw = spark.read.options(header=True, mode="FAILFAST", escape='"').csv(path)
+    raw = spark.read.options(header=True, mode="FAILFAST", escape='"', enforceSchema=False).csv(path)
     return raw.select(*[_typed(name, declared.get(name)) for name in raw.columns])
 
 

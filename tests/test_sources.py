@@ -99,3 +99,20 @@ def test_report_is_one_text_file(spark, tmp_path):
     write_report(spark, "line 1\nline 2\n", str(tmp_path / "r"))
     parts = [p for p in (tmp_path / "r").iterdir() if p.name.startswith("part-")]
     assert len(parts) == 1 and parts[0].read_text().startswith("line 1\nline 2")
+
+
+def test_files_with_another_header_are_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,x,y\nA,1,2\n")
+    (tmp_path / "b.csv").write_text("id,y,x\nB,20,10\n")
+    with pytest.raises(Exception):
+        files.read_csv(spark, str(tmp_path)).collect()
+
+
+def test_whole_numbers_are_whole_in_every_integral_type(spark, tmp_path):
+    for kind in ("integer", "long"):
+        path = tmp_path / f"{kind}.csv"
+        path.write_text("x\n1.0\n2\nNA\n")
+        assert [r.x for r in files.read_csv(spark, str(path), StructType().add("x", kind)).collect()] == [1, 2, None]
+        path.write_text("x\n1.7\n")
+        with pytest.raises(Exception, match="not whole"):
+            files.read_csv(spark, str(path), StructType().add("x", kind)).collect()
