@@ -19,6 +19,8 @@ from stayrate.llm.tables import known
 from stayrate.session import durable
 
 THRESHOLD = 0.8
+#: Scores are rounded to six digits; bounds on them allow for that.
+_SLACK = 1e-6
 
 # Usual notices of licences, by their SPDX names.
 TEMPLATES = {
@@ -80,30 +82,45 @@ def _dot(term: Column, own: Column) -> Column:
 def _similar(parts: DataFrame, weights: Weights) -> DataFrame:
     """``parts`` (with a column part) that are similar enough to a template, with name and score; ties to the first name.
 
-    Words in no template only add to a statement's length. Where their number alone
-    adds too much, the templates are not compared.
+    Words in no template only add to a statement's length, by at least as much as if all of
+    them were equally frequent. Where that bound leaves no template similar enough, their
+    counts are not worked out.
     """
     names = sorted(weights.idf)
     vocabulary = F.array(*map(F.lit, names))
     idf = F.create_map(*(x for w in names for x in (F.lit(w), F.lit(weights.idf[w]))))
-    square = lambda terms, of: F.aggregate(terms, F.lit(0.0), lambda s, t: s + of(t) * of(t))
     times = lambda w: F.size(F.filter("words", lambda x: x == w))
+    total = lambda terms, of: F.aggregate(terms, F.lit(0.0), lambda s, t: s + of(t))
     cut = _held(parts, "words", F.regexp_extract_all(F.lower("part"), F.lit(_WORD), F.lit(0)))
-    cut = _held(cut, "other", F.array_except("words", vocabulary))
-    cut = _held(cut, "term", F.transform(F.array_intersect("words", vocabulary), lambda w: F.struct(w.alias("w"), (times(w) * idf[w]).alias("v"))))
-    cut = _held(cut, "inside", square(F.col("term"), lambda t: t["v"])).where(
-        (F.col("inside") > 0)
-        & (F.col("inside") >= weights.threshold**2 * (F.col("inside") + F.size("other") * weights.unseen**2) - 1e-9)
-    )
-    cut = _held(cut, "norm", F.sqrt(F.col("inside") + square(F.transform("other", lambda w: times(w) * weights.unseen), lambda v: v)))
-    scores = []
+    counted = F.transform(F.array_intersect("words", vocabulary), lambda w: F.struct(w.alias("w"), times(w).alias("n"), idf[w].alias("idf")))
+    cut = _held(cut, "term", F.transform(counted, lambda t: F.struct(t["w"].alias("w"), t["n"].alias("n"), (t["n"] * t["idf"]).alias("v"))))
+    cut = _held(cut, "inside", total(F.col("term"), lambda t: t["v"] * t["v"])).where("inside > 0")
+    others = F.size("words") - total(F.col("term"), lambda t: t["n"])
+    cut = _held(cut, "least", F.col("inside") + weights.unseen**2 * others * others / F.greatest(F.size(F.array_except("words", vocabulary)), F.lit(1)))
+    cut = cut.where(F.col("inside") >= (weights.threshold - _SLACK) ** 2 * F.col("least"))
+    dots = []
     for (name, counts), length in zip(weights.rows, weights.norms):
         own = F.create_map(*(x for w, c in sorted(counts.items()) for x in (F.lit(w), F.lit(c * weights.idf[w] / length))))
-        scores.append(F.struct((-F.round(_dot(F.col("term"), own) / F.col("norm"), 6)).alias("minus"), F.lit(name).alias("name")))
-    best = _held(cut, "best", F.array_min(F.array(*scores)))
+        dots.append(F.struct(_dot(F.col("term"), own).alias("dot"), F.lit(name).alias("name")))
+    cut = _held(cut, "dots", F.array(*dots)).where(F.array_max("dots.dot") >= (weights.threshold - _SLACK) * F.sqrt("least"))
+    norm = F.sqrt(F.col("inside") + weights.unseen**2 * _squares(F.filter("words", lambda x: ~F.array_contains(vocabulary, x))))
+    cut = _held(cut, "norm", norm)
+    scores = F.transform("dots", lambda d: F.struct((-F.round(d["dot"] / F.col("norm"), 6)).alias("minus"), d["name"].alias("name")))
+    best = _held(cut, "best", F.array_min(scores))
     return best.where(-F.col("best.minus") >= weights.threshold).select("*", (-F.col("best.minus")).alias("score"), "best.name")
 
 
+def _squares(words: Column) -> Column:
+    """The sum of the squared counts of the words: sorted, the k-th of a kind adds 2 k - 1."""
+    start = F.struct(F.lit("").alias("word"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
+
+    def step(s: Column, w: Column) -> Column:
+        run = F.when(s["word"] == w, s["run"]).otherwise(F.lit(0).cast("long"))
+        return F.struct(w.alias("word"), (run + 1).alias("run"), (s["sum"] + 2 * run + 1).alias("sum"))
+
+    return F.aggregate(F.array_sort(words), start, step, lambda s: s["sum"])
+
+
 def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with a column that is worked out once a row, and not again in each filter and lambda that uses it."""
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
@@ -113,10 +130,9 @@ def statements(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_c
     """id, name, score and whole of every statement, and every text as a whole, that is similar enough to a template."""
     needed = "(?i)(?<![a-z0-9])(?:" + "|".join(weights.needed()) + ")(?![a-z0-9])"
     hit = docs.select(F.col(id_col).alias("id"), known(text_col).alias("text")).where(F.col("text").rlike(needed))
-    parts = hit.select("id", "text", F.explode_outer(F.filter(F.split("text", _ENDS), lambda x: x.rlike(needed))).alias("part"))
-    every = parts.where("part is not null").select("id", "part", F.lit(False).alias("whole")).union(
-        hit.select("id", F.col("text").alias("part"), F.lit(True).alias("whole"))
-    )
+    said = F.transform(F.filter(F.split("text", _ENDS), lambda x: x.rlike(needed)), lambda x: F.struct(x.alias("part"), F.lit(False).alias("whole")))
+    whole = F.array(F.struct(F.col("text").alias("part"), F.lit(True).alias("whole")))
+    every = hit.select("id", F.explode_outer(F.concat(said, whole)).alias("p")).select("id", "p.part", "p.whole")
     return _similar(every, weights).select("id", "name", "score", "whole")
 
 

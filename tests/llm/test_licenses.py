@@ -40,6 +40,7 @@ NOTICES = [
 
 def test_scores_equal_brute_force(spark):
     texts = NOTICES + [t for t in awkward() if len(t or "") < 3000] + [words(200, 3) + ".\n" + NOTICES[0] + "\n" + words(50, 4)]
+    texts += ["the license of the " * 4000 + words(3000, 5), (NOTICES[0][:-1] + " ") * 60 + "dog cat dog Dog " * 9, "spdx license identifier mit dog dog dog", "version 2 0 apache\u0130 K license"]
     rows = licenses.scanned(frame(spark, texts), F.lit("d"), F.lit(False)).collect()
     assert len(rows) == len(texts)
     for r in rows:
