@@ -31,9 +31,16 @@ def _add(a: Column, b: Column) -> Column:
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, at (line number from 0) and the line, its words joined by single spaces, of every line that has a word."""
-    cut = docs.select(F.col(id_col).alias("id"), F.posexplode_outer(F.split(known(text_col), "\n")).alias("at", "line"))
-    bare = cut.select("id", "at", F.regexp_replace(F.regexp_replace("line", SPACES, " "), "^ | $", "").alias("line"))
-    return bare.where("line <> ''")
+    bare = F.transform(F.split(known(text_col), "\n"), _bare)
+    return docs.select(F.col(id_col).alias("id"), F.posexplode_outer(bare).alias("at", "line")).where("line <> ''")
+
+
+def _bare(line: Column) -> Column:
+    """The line with its words joined by single spaces; most lines are so already, which a search for bytes tells."""
+    odd = line.startswith(" ") | line.endswith(" ")
+    for space in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | line.contains(space)
+    return F.when(odd, F.regexp_replace(F.regexp_replace(line, SPACES, " "), "^ | $", "")).otherwise(line)
 
 
 def _halves(words: Column) -> Column:
@@ -146,7 +153,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     every = lines(docs, id_col, text_col)
     # 128 bits tell lines apart; the lines themselves stay where they are.
     placed = every.select("id", "at", F.unhex(F.md5("line")).alias("line"), F.split("line", " ").alias("words"))
-    placed = placed.select("id", "at", "line", _halves(F.col("words")).alias("halves"))
+    placed = durable(placed.select("id", "at", "line", _halves(F.col("words")).alias("halves")))
     distinct = durable(
         placed.groupBy("line").agg(F.min(F.struct("id", "at", "halves")).alias("first"), F.count("*").alias("n"))
         .select("line", "first.id", "first.at", "first.halves", (F.col("n") > 1).alias("again"))
