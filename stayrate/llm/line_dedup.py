@@ -58,9 +58,8 @@ def _halves(words: Column) -> Column:
     return F.when(n > SHORT, F.array(*found)).when(n == SHORT, F.array(*found[:2])).otherwise(none)
 
 
-def _running(values: Column) -> Column:
-    """Sums of the values up to each place, by doubling steps: no quadratic work on long lines."""
-    n = F.size(values)
+def _running(values: Column, n: Column) -> Column:
+    """Sums of the n values up to each place, by doubling steps: no quadratic work on long lines."""
     steps = F.sequence(F.lit(0), F.ceil(F.log2(n + F.lit(1))).cast("int"))
 
     def double(sums: Column, step: Column) -> Column:
@@ -85,10 +84,11 @@ def neighbourhood(candidates: DataFrame) -> DataFrame:
     moved = F.transform("words", lambda w, i: _hash(w, i - 1))
     base = candidates.select("id", "at", "shared", n.alias("n"), here.alias("here"), moved.alias("moved"))
     gap = F.zip_with("here", "moved", lambda a, b: _add(a, F.lit(_BITS + 1) - b))
+    n = F.col("n")
     summed = base.select(
         "id", "at", "shared", "n", "here",
         F.aggregate("moved", F.lit(0).cast("long"), _add).alias("all_moved"),
-        F.aggregate("here", F.lit(0).cast("long"), _add).alias("whole"), _running(gap).alias("gaps"),
+        F.aggregate("here", F.lit(0).cast("long"), _add).alias("whole"), _running(gap, n).alias("gaps"),
     )
     # The words before j in their place, those behind it moved: all moved + gaps up to j - here[j].
     without = F.zip_with("gaps", "here", lambda g, h: _add(_add(F.col("all_moved"), g), F.lit(_BITS + 1) - h))
