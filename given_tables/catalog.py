@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from stayrate.config import Settings
 from stayrate.functions.encode import flag, tenure_years, whole_months_until
 from stayrate.operators import distribution, encode, evaluate, model, price, profile, segments, split
+from stayrate.plans import eda, modelling, report
 from stayrate.plans import features as feature_plan
-from stayrate.plans import modelling, report
 from stayrate.session import durable, shared_folder
-from stayrate.sinks.files import prediction_table
-from stayrate.sources.files import parse_dates, read_csv
+from stayrate.sinks.files import prediction_table, write_features
+from stayrate.sources.files import client_schema, drop_artefact, parse_dates, read_csv
 
 from .views import LAYOUT, SNAPSHOT, bills, clients, discounts, prices, scored, table
 
@@ -31,6 +31,7 @@ SETTINGS = replace(
     max_depth=5,
 )
 ID, LABEL = LAYOUT.id, LAYOUT.label
+DIMENSIONS = {"size": "pow_max", "usage": "cons_12m", "age": "num_years_antig"}
 DIGITS = 6
 
 
@@ -129,14 +130,27 @@ def price_volatility(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def price_mom(spark: SparkSession, folder: str) -> DataFrame:
-    columns = ["price_off_peak_var", "price_off_peak_fix"]
-    monthly = price.monthly_prices(prices(spark, folder), LAYOUT, columns)
-    return text_dates(price.month_on_month(monthly, columns, LAYOUT), "price_date")
+    monthly = price.monthly_prices(prices(spark, folder), LAYOUT)
+    return text_dates(price.month_on_month(monthly, LAYOUT.price_columns, LAYOUT), "price_date")
 
 
 def rise_before_churn(spark: SparkSession, folder: str) -> DataFrame:
     found = clients(spark, folder, margin=False)
-    return price.rise_before(found, prices(spark, folder), "price_off_peak_var", 3, LAYOUT)
+    return price.rise_before(found, prices(spark, folder), LAYOUT.price_columns, 3, LAYOUT)
+
+
+def churn_after_rise(spark: SparkSession, folder: str) -> DataFrame:
+    found = clients(spark, folder, margin=False)
+    return price.rate_after_rises(found, prices(spark, folder), LAYOUT.price_columns, 3, LAYOUT)
+
+
+def churn_by_volatility(spark: SparkSession, folder: str) -> DataFrame:
+    """Do customers with stable prices stay, and for longer?"""
+    names = {c: f"{c}_volatility" for c in LAYOUT.price_columns}
+    levels = rounded(price.price_level(prices(spark, folder), LAYOUT), *names.values(), digits=1)
+    found = clients(spark, folder, margin=False).select(ID, LABEL, "num_years_antig").join(levels, ID)
+    rows = durable(found.select(LABEL, "num_years_antig", *names.values()))
+    return segments.segment_rates(rows, names, LABEL, means=["num_years_antig"])
 
 
 def elasticity_monthly(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,6 +166,24 @@ def elasticity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _elasticity_by(dimension: str, column: str) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        monthly = price.elasticity(bills(spark, folder), "unit_price", "quantity", LAYOUT)
+        found = durable(clients(spark, folder, margin=False).select(ID, column))
+        thirds = segments.with_segments(found, {dimension: column}).where(F.col(dimension).isNotNull())
+        return rounded(
+            price.elasticity_by_segment(thirds, monthly, dimension, LAYOUT), "median_elasticity"
+        )
+
+    query.__name__ = f"elasticity_by_{dimension}"
+    return query
+
+
+elasticity_by_size, elasticity_by_usage, elasticity_by_age = (
+    _elasticity_by(dimension, column) for dimension, column in DIMENSIONS.items()
+)
+
+
 # --- entity features -------------------------------------------------------
 
 
@@ -239,8 +271,8 @@ def histogram_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def histogram_bins(spark: SparkSession, folder: str) -> DataFrame:
-    found = durable(clients(spark, folder, margin=False).select("cons_12m", "cons_balance"))
-    return distribution.auto_bins(found, ["cons_12m", "cons_balance"])
+    found = durable(clients(spark, folder, margin=False).select(*LAYOUT.log_columns))
+    return distribution.auto_bins(found, LAYOUT.log_columns)
 
 
 def kde_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -316,9 +348,8 @@ def retention_list(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def segment_rates(spark: SparkSession, folder: str) -> DataFrame:
-    dimensions = {"size": "pow_max", "usage": "cons_12m", "age": "num_years_antig"}
-    found = clients(spark, folder, margin=False).select(LABEL, *dimensions.values())
-    return segments.segment_rates(durable(found), dimensions, LABEL)
+    found = clients(spark, folder, margin=False).select(LABEL, *DIMENSIONS.values())
+    return segments.segment_rates(durable(found), DIMENSIONS, LABEL)
 
 
 def bill_burden(spark: SparkSession, folder: str) -> DataFrame:
@@ -350,6 +381,34 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv(spark, path, source.schema)
 
 
+def csv_undeclared(spark: SparkSession, folder: str) -> DataFrame:
+    """A file with more columns than declared: the numeric ones become features."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4()}"
+    found = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias(ID),
+        (F.col("c_custkey") % 2).cast("int").alias(LABEL),
+        F.col("c_mktsegment").alias("extra_text"),
+        F.when(F.col("c_nationkey") == 3, "NA").otherwise(F.col("c_acctbal").cast("string")).alias("extra_amount"),
+        F.lit("0").alias(LAYOUT.index_artefact),
+    )
+    found.write.option("header", True).csv(path)
+    scanned = drop_artefact(read_csv(spark, path, client_schema(LAYOUT)), LAYOUT)
+    return scanned.select(ID, *model.feature_names(scanned, [ID, LABEL]))
+
+
+def feature_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The price features, written as the feature job does and read back."""
+    path = f"{shared_folder(spark)}/features-{uuid.uuid4()}"
+    return write_features(price.price_features(prices(spark, folder), LAYOUT), path)
+
+
+def report_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The rate tables of the report, line by line."""
+    tables = eda.explore(clients(spark, folder), prices(spark, folder), LAYOUT, SETTINGS)
+    rates = {n: t for n, t in tables.items() if n.startswith("rate_by_")}
+    return report.rate_lines(rates)
+
+
 def date_parse(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("o_orderdate").cast("date").cast("string")
     orders = table(spark, folder, "orders").select(
@@ -361,6 +420,51 @@ def date_parse(spark: SparkSession, folder: str) -> DataFrame:
     return text_dates(parsed, "lenient", "strict")
 
 
+# --- cross-validation and importance measures, without a model ----------------
+
+
+def _folded(spark: SparkSession, folder: str) -> DataFrame:
+    found = scored(spark, folder)
+    return found.withColumn("fold", F.pmod(split.integer_hash("id"), F.lit(5)).cast("int"))
+
+
+def fold_auc(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.roc_auc(_folded(spark, folder), "label", "score", ["fold"])
+
+
+def fold_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(model.fold_summary(fold_auc(spark, folder)), "auc_mean", "auc_std")
+
+
+def _label_correlations(spark: SparkSession, folder: str) -> DataFrame:
+    """(feature, importance): how strongly each price and customer feature goes with the label."""
+    rows = clients(spark, folder, margin=False).join(price.price_features(prices(spark, folder), LAYOUT), ID)
+    names = model.feature_names(rows.drop(*LAYOUT.log_columns), [ID, LABEL])
+    found = rounded(distribution.correlations_with(rows, names, LABEL), "corr")
+    return found.select(
+        F.col("column").alias("feature"), F.coalesce(F.abs("corr"), F.lit(0.0)).alias("importance")
+    )
+
+
+def corr_importance_top(spark: SparkSession, folder: str) -> DataFrame:
+    return model.top_importances(_label_correlations(spark, folder), 10)
+
+
+def corr_price_share(spark: SparkSession, folder: str) -> DataFrame:
+    found = report.price_share(durable(_label_correlations(spark, folder)), replace(SETTINGS, top_features=10))
+    return rounded(found, "price_importance", "price_share_of_top")
+
+
+def corr_report_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """All figures of the report, from given scores and importances."""
+    rows = durable(scored(spark, folder).withColumnRenamed("label", LABEL))
+    found = report.report_metrics(
+        rows, durable(fold_auc(spark, folder)), durable(_label_correlations(spark, folder)), LAYOUT,
+        replace(SETTINGS, top_features=10),
+    )
+    return rounded(found, "value")
+
+
 # --- models ----------------------------------------------------------------
 
 
@@ -419,6 +523,53 @@ def permutation_importance(spark: SparkSession, folder: str) -> DataFrame:
     return model.permutation_importance(fitted.model, parts.test, parts.features, ID, LABEL)
 
 
+# --- what must hold for any fitted model -------------------------------------
+
+
+def rf_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every test row once, with a probability that agrees with the predicted class."""
+    parts = _prepared(spark, folder)
+    found = modelling.fit_and_score(parts, LAYOUT, SETTINGS).scored
+    agrees = (F.col("score") > 0.5) == (F.col("prediction") == 1)
+    return found.select(
+        ID,
+        F.col(LABEL).alias("actual_churn"),
+        F.col("score").between(0, 1).cast("int").alias("in_range"),
+        (agrees | (F.col("score") == 0.5)).cast("int").alias("agrees"),
+    )
+
+
+def cv_folds(spark: SparkSession, folder: str) -> DataFrame:
+    found = cv_auc(spark, folder)
+    return found.select("fold", "n_pos", "n_neg", F.col("auc").between(0, 1).cast("int").alias("in_range"))
+
+
+def importance_total(spark: SparkSession, folder: str) -> DataFrame:
+    fitted = modelling.fit_and_score(_prepared(spark, folder), LAYOUT, SETTINGS)
+    return rounded(
+        fitted.importance.agg(F.count("feature").alias("n_features"), F.sum("importance").alias("total")), "total"
+    )
+
+
+def model_classes(spark: SparkSession, folder: str) -> DataFrame:
+    found = model_compare(spark, folder)
+    return found.select(
+        "model", (F.col("fn") + F.col("tp")).alias("n_pos"), (F.col("tn") + F.col("fp")).alias("n_neg")
+    )
+
+
+def grid_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    return grid_search(spark, folder).select("params", "folds")
+
+
+def permutation_base(spark: SparkSession, folder: str) -> DataFrame:
+    """The AUC without permutation is the same whatever feature it is worked out from."""
+    base = F.round(F.col("auc") + F.col("auc_drop"), 9)
+    return permutation_importance(spark, folder).agg(
+        F.count("feature").alias("n_features"), F.count_distinct(base).alias("n_bases")
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -439,6 +590,11 @@ QUERIES: dict[str, Query] = {
         price_volatility,
         price_mom,
         rise_before_churn,
+        churn_after_rise,
+        churn_by_volatility,
+        elasticity_by_size,
+        elasticity_by_usage,
+        elasticity_by_age,
         elasticity_monthly,
         elasticity,
         tenure,
@@ -474,7 +630,15 @@ QUERIES: dict[str, Query] = {
         discount_rates,
         at_risk_list,
         csv_round_trip,
+        csv_undeclared,
+        feature_file,
+        report_lines,
         date_parse,
+        fold_auc,
+        fold_summary,
+        corr_importance_top,
+        corr_price_share,
+        corr_report_metrics,
         rf_predictions,
         cv_auc,
         importance_top20,
@@ -483,5 +647,11 @@ QUERIES: dict[str, Query] = {
         grid_search,
         model_compare,
         permutation_importance,
+        rf_rows,
+        cv_folds,
+        importance_total,
+        model_classes,
+        grid_candidates,
+        permutation_base,
     )
 }

@@ -186,12 +186,46 @@ FROM (SELECT COUNT({column}) AS n, MIN({x}) AS lo, MAX({x}) AS hi,
         quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25) AS iqr FROM client)"""
 
 
-def _terciles(dimension: str, column: str) -> str:
+def _third(column: str, source: str = "client") -> str:
     x = f"CAST({column} AS DOUBLE)"
-    return f"""SELECT '{dimension}' AS dimension, segment, COUNT(*) AS n, {_mean("churn")} AS label_rate FROM (
-  SELECT churn, CASE WHEN {x} <= (SELECT quantile_cont({x}, 0.3333333333333333) FROM client) THEN 'low'
-    WHEN {x} <= (SELECT quantile_cont({x}, 0.6666666666666666) FROM client) THEN 'middle' ELSE 'high' END AS segment
-  FROM client WHERE {column} IS NOT NULL) GROUP BY segment"""
+    return f"""CASE WHEN {x} <= (SELECT quantile_cont({x}, 0.3333333333333333) FROM {source}) THEN 'low'
+    WHEN {x} <= (SELECT quantile_cont({x}, 0.6666666666666666) FROM {source}) THEN 'middle' ELSE 'high' END"""
+
+
+def _terciles(dimension: str, column: str, source: str = "client", more: str = "") -> str:
+    return f"""SELECT '{dimension}' AS dimension, segment, COUNT(*) AS n, {_mean("churn")} AS label_rate{more} FROM (
+  SELECT churn, num_years_antig, {_third(column, source)} AS segment
+  FROM {source} WHERE {column} IS NOT NULL) GROUP BY segment"""
+
+
+def _elasticity_by(dimension: str, column: str) -> str:
+    return f"""WITH {ELASTICITY}, {CLIENT},
+thirds AS (SELECT id, {_third(column)} AS {dimension} FROM client WHERE {column} IS NOT NULL)
+SELECT {dimension}, COUNT(*) AS n, COUNT(*) FILTER (WHERE abs(elasticity) > 1) / COUNT(*) AS share_elastic,
+  round(quantile_cont(elasticity, 0.5), 6) + 0.0 AS median_elasticity
+FROM thirds JOIN elastic USING (id) GROUP BY {dimension}"""
+
+
+def _rises(column: str) -> str:
+    """Rises of a price per customer, in the last three months and ever."""
+    return f"""(SELECT id, COUNT(*) FILTER (WHERE change > 0 AND price_date > final - INTERVAL 3 MONTH) AS recent,
+    COUNT(*) FILTER (WHERE change > 0) AS ever
+  FROM (SELECT id, price_date, MAX(price_date) OVER (PARTITION BY id) AS final, {_mom(column)[1]} FROM monthly)
+    AS steps(id, price_date, final, change)
+  GROUP BY id)"""
+
+
+_SPLIT = """placed AS (
+  SELECT id, churn, row_number() OVER (PARTITION BY churn ORDER BY {hash}, id) AS r,
+    CAST(ceil(COUNT(*) OVER (PARTITION BY churn) * 0.25) AS BIGINT) AS n_test,
+    COUNT(*) OVER (PARTITION BY churn) AS n FROM {source}),
+parted AS (
+  SELECT id, churn, CASE WHEN r <= n_test THEN 'test' ELSE 'train' END AS split,
+    CAST(CASE WHEN r <= n_test THEN -1 ELSE ((r - n_test - 1) * 5) // (n - n_test) END AS INTEGER) AS fold FROM placed)"""
+
+
+def _split(source: str) -> str:
+    return _SPLIT.format(hash=HASH, source=source)
 
 
 # The projection weights that seed 42 gives.
@@ -245,6 +279,43 @@ _CLASS0 = (_zero("tn", "tn + fn"), _zero("tn", "tn + fp"), _zero("2 * tn", "2 *
 _CLASS1 = (_zero("tp", "tp + fp"), _zero("tp", "tp + fn"), _zero("2 * tp", "2 * tp + fp + fn"))
 _ACCURACY = _zero("tp + tn", "tn + fp + fn + tp")
 
+_PAIRS_WON = "avg(CASE WHEN p.score > n.score THEN 1.0::DOUBLE WHEN p.score = n.score THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END)"
+_FOLD_AUC = f"""{SCORED},
+folded AS (SELECT *, CAST(({HASH}) % 5 AS INTEGER) AS fold FROM scored),
+steps AS (
+  SELECT fold, score, SUM(label) AS pos, SUM(1 - label) AS neg FROM folded GROUP BY fold, score),
+running AS (
+  SELECT *, SUM(neg) OVER (PARTITION BY fold ORDER BY score ROWS UNBOUNDED PRECEDING) AS fp FROM steps),
+fold_auc AS (
+  SELECT fold, CAST(SUM(pos) AS BIGINT) AS n_pos, CAST(SUM(neg) AS BIGINT) AS n_neg,
+    CAST(SUM(pos * (2 * (fp - neg) + neg)) AS DOUBLE) / (2.0 * SUM(pos) * SUM(neg)) AS auc
+  FROM running GROUP BY fold)"""
+
+PRICE_NAMES = [
+    "offpeak_diff_dec_january_energy",
+    "offpeak_diff_dec_january_power",
+    *[f"{n}_mean_diff" for n, _, _ in SPREADS],
+    *[f"{n}_max_monthly_diff" for n, _, _ in SPREADS],
+]
+_IMPORTANCE = f"""{PRICE_FEATURES}, {CLIENT},
+both_sides AS (SELECT * FROM client JOIN price_feature USING (id)),
+importance AS ({" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, coalesce(abs(round(corr(CAST({c} AS DOUBLE), CAST(churn AS DOUBLE)), 6)), 0.0) AS importance FROM both_sides"
+    for c in [*PRICE_NAMES, "pow_max", "nb_prod_act", "num_years_antig"]
+)})"""
+_PRICE_SHARE = """strongest AS (SELECT *, regexp_matches(feature, 'price|peak') AS priced FROM importance
+  ORDER BY importance DESC, feature LIMIT 10),
+price_share AS (
+  SELECT (SELECT round(SUM(importance), 6) FROM importance WHERE regexp_matches(feature, 'price|peak')) AS price_importance,
+    COUNT(*) FILTER (WHERE priced) AS price_in_top,
+    round(coalesce(SUM(importance) FILTER (WHERE priced), 0) / SUM(importance), 6) + 0.0 AS price_share_of_top,
+    CAST(arg_min(priced, (-importance, feature)) AS INTEGER) AS price_first
+  FROM strongest)"""
+_N_FEATURES = (
+    f"14 + 1 + 4 + 1 + 3 + 2 + 1 + {len(SEGMENTS)} + "
+    "(SELECT COUNT(*) FROM (SELECT origin_up FROM client GROUP BY 1 HAVING COUNT(*) >= 60))"
+)
+
 _KDE = f"""WITH {LOGGED_LONG},
 stats AS (
   SELECT variable, COUNT(*) AS n, MIN(value) AS lo, MAX(value) AS hi,
@@ -313,19 +384,31 @@ deviation AS (
 SELECT * FROM level JOIN deviation USING (id)""",
     "price_mom": f"""WITH {MONTHLY}
 SELECT id, CAST(price_date AS VARCHAR) AS price_date,
-  {", ".join(_mom("price_off_peak_var") + _mom("price_off_peak_fix"))} FROM monthly""",
-    "rise_before_churn": f"""WITH {MONTHLY}, {CLIENT},
-step AS (
-  SELECT id, price_date, MAX(price_date) OVER (PARTITION BY id) AS final,
-    {", ".join(_mom("price_off_peak_var")[1:2])} FROM monthly),
-rise AS (
-  SELECT id,
-    COUNT(*) FILTER (WHERE price_off_peak_var_change > 0 AND price_date > final - INTERVAL 3 MONTH) AS recent,
-    COUNT(*) FILTER (WHERE price_off_peak_var_change > 0) AS ever
-  FROM step GROUP BY id)
-SELECT churn, COUNT(*) AS n, COUNT(*) FILTER (WHERE recent > 0) / COUNT(*) AS share_recent_rise,
-  {"CAST(SUM(ever) AS DOUBLE) / COUNT(*)"} AS mean_rises
-FROM client JOIN rise USING (id) GROUP BY churn""",
+  {", ".join(part for c in PRICES for part in _mom(c))} FROM monthly""",
+    "rise_before_churn": f"WITH {MONTHLY}, {CLIENT} "
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS variable, churn, COUNT(*) AS n,
+  COUNT(*) FILTER (WHERE recent > 0) / COUNT(*) AS share_recent_rise,
+  CAST(SUM(ever) AS DOUBLE) / COUNT(*) AS mean_rises
+FROM client JOIN {_rises(c)} AS rise USING (id) GROUP BY churn"""
+        for c in PRICES
+    ),
+    "churn_after_rise": f"WITH {MONTHLY}, {CLIENT} "
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS variable, recent AS rises, COUNT(*) AS n, {_mean("churn")} AS label_rate
+FROM client JOIN {_rises(c)} AS rise USING (id) GROUP BY recent"""
+        for c in PRICES
+    ),
+    "churn_by_volatility": f"""WITH {MONTHLY}, {CLIENT},
+deviation AS (
+  SELECT id, {", ".join(f"round(stddev_samp({c}), 1) + 0.0 AS {c}" for c in PRICES)} FROM monthly GROUP BY id),
+moved AS (SELECT churn, num_years_antig, deviation.* FROM client JOIN deviation USING (id)) """
+    + " UNION ALL ".join(
+        _terciles(c, c, "moved", f", {_mean('num_years_antig')} AS mean_num_years_antig") for c in PRICES
+    ),
+    "elasticity_by_size": _elasticity_by("size", "pow_max"),
+    "elasticity_by_usage": _elasticity_by("usage", "cons_12m"),
+    "elasticity_by_age": _elasticity_by("age", "num_years_antig"),
     "elasticity_monthly": f"""WITH {ELASTICITY}
 SELECT id, CAST(price_date AS VARCHAR) AS price_date, round(elasticity, 6) + 0.0 AS elasticity FROM elastic""",
     "elasticity": f"""WITH {ELASTICITY}, {CLIENT}
@@ -370,7 +453,7 @@ FROM client WHERE id IN (SELECT id FROM price)""",
     "histogram_log": f"SELECT variable, bin, n, round(bin_start, 6) + 0.0 AS bin_start FROM (WITH {LOGGED}, "
     + _histogram("logged", LOGS, 30, False)
     + ")",
-    "histogram_bins": f"WITH {CLIENT} {_auto_bins('cons_12m')} UNION ALL {_auto_bins('cons_balance')}",
+    "histogram_bins": f"WITH {CLIENT} " + " UNION ALL ".join(map(_auto_bins, LOGS)),
     "kde_log": _KDE,
     "corr_matrix": f"WITH {CLIENT} "
     + " UNION ALL ".join(
@@ -379,12 +462,7 @@ FROM client WHERE id IN (SELECT id FROM price)""",
         for i, a in enumerate(CORR)
         for b in CORR[i + 1 :]
     ),
-    "stratified_split": f"""WITH {CLIENT},
-ranked AS (
-  SELECT id, churn, row_number() OVER (PARTITION BY churn ORDER BY {HASH}, id) AS r,
-    ceil(COUNT(*) OVER (PARTITION BY churn) * 0.25) AS n_test FROM client)
-SELECT id, churn, CASE WHEN r <= n_test THEN 'test' ELSE 'train' END AS split,
-  CAST(CASE WHEN r <= n_test THEN -1 ELSE (r - n_test - 1) % 5 END AS INTEGER) AS fold FROM ranked""",
+    "stratified_split": f"WITH {CLIENT}, {_split('client')} SELECT * FROM parted",
     "class_weights": f"""WITH {CLIENT}
 SELECT churn, COUNT(*) AS n, (SELECT COUNT(*) FROM client) / (2 * COUNT(*)) AS weight FROM client GROUP BY churn""",
     "oversample": f"""WITH {CLIENT},
@@ -492,6 +570,46 @@ WHERE CAST(net_margin AS DOUBLE) >= (SELECT quantile_cont(CAST(net_margin AS DOU
   AND num_years_antig <= (SELECT quantile_cont(CAST(num_years_antig AS DOUBLE), 0.5) FROM client)""",
     "csv_round_trip": """SELECT c_custkey, c_name, c_nationkey,
   CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer""",
+    "csv_undeclared": """SELECT CAST(c_custkey AS VARCHAR) AS id,
+  CASE WHEN c_nationkey <> 3 THEN c_acctbal END AS extra_amount FROM customer""",
+    "feature_file": f"WITH {PRICE_FEATURES} SELECT * FROM price_feature",
+    "report_lines": f"WITH {CLIENT} "
+    + " UNION ALL ".join(
+        f"""SELECT 'rate_by_{c}' AS "table", {c} AS category, n,
+  '  ' || {c} || ': ' || printf('%.1f', round(rate * 100, 1)) || '% of ' || format('{{:,}}', n) AS line
+FROM (SELECT {c}, COUNT(*) AS n, {_mean("churn")} AS rate FROM client GROUP BY {c})"""
+        for c in ("channel_sales", "origin_up", "has_gas")
+    ),
+    "fold_auc": f"WITH {_FOLD_AUC} SELECT * FROM fold_auc",
+    "fold_summary": f"""WITH {_FOLD_AUC}
+SELECT COUNT(auc) AS folds, round(avg(auc), 6) + 0.0 AS auc_mean, round(stddev_pop(auc), 6) + 0.0 AS auc_std FROM fold_auc""",
+    "corr_importance_top": f"WITH {_IMPORTANCE} SELECT * FROM importance ORDER BY importance DESC, feature LIMIT 10",
+    "corr_price_share": f"WITH {_IMPORTANCE}, {_PRICE_SHARE} SELECT * FROM price_share",
+    "corr_report_metrics": f"""WITH {_IMPORTANCE}, {_PRICE_SHARE}, {_FOLD_AUC}, {CELLS},
+one AS (
+  SELECT {_ACCURACY} AS accuracy, {_CLASS1[0]} AS precision, {_CLASS1[1]} AS recall, {_CLASS1[2]} AS f1,
+    (SELECT {_PAIRS_WON} FROM scored AS p JOIN scored AS n ON p.label = 1 AND n.label = 0) AS roc_auc,
+    (SELECT avg(auc) FROM fold_auc) AS cv_roc_auc_mean, (SELECT stddev_pop(auc) FROM fold_auc) AS cv_roc_auc_std,
+    (SELECT price_importance FROM price_share) AS price_importance,
+    (SELECT CAST(price_in_top AS DOUBLE) FROM price_share) AS price_features_in_top,
+    (SELECT price_share_of_top FROM price_share) AS price_share_of_top,
+    (SELECT CAST(price_first AS DOUBLE) FROM price_share) AS price_feature_is_first
+  FROM cells)
+SELECT metric, round(value, 6) + 0.0 AS value FROM (UNPIVOT one ON COLUMNS(*) INTO NAME metric VALUE value)""",
+    "rf_rows": f"""WITH {PRICE}, {CLIENT}, priced AS (SELECT * FROM client WHERE id IN (SELECT id FROM price)), {_split("priced")}
+SELECT id, churn AS actual_churn, 1 AS in_range, 1 AS agrees FROM parted WHERE split = 'test'""",
+    "cv_folds": f"""WITH {PRICE}, {CLIENT}, priced AS (SELECT * FROM client WHERE id IN (SELECT id FROM price)), {_split("priced")}
+SELECT fold, COUNT(*) FILTER (WHERE churn = 1) AS n_pos, COUNT(*) FILTER (WHERE churn = 0) AS n_neg, 1 AS in_range
+FROM parted WHERE split = 'train' GROUP BY fold""",
+    "importance_total": f"""WITH {CLIENT}
+SELECT CAST({_N_FEATURES} AS BIGINT) AS n_features, CAST(1 AS DOUBLE) AS total""",
+    "model_classes": f"""WITH {PRICE}, {CLIENT}, priced AS (SELECT * FROM client WHERE id IN (SELECT id FROM price)), {_split("priced")}
+SELECT model, COUNT(*) FILTER (WHERE churn = 1) AS n_pos, COUNT(*) FILTER (WHERE churn = 0) AS n_neg
+FROM parted, (VALUES ('random_forest'), ('boosted_trees')) AS models(model) WHERE split = 'test' GROUP BY model""",
+    "grid_candidates": """SELECT 'maxDepth=' || depth || ', numTrees=' || trees AS params, CAST(5 AS BIGINT) AS folds
+FROM (VALUES (3), (5)) AS a(depth), (VALUES (10), (20)) AS b(trees)""",
+    "permutation_base": f"""WITH {CLIENT}
+SELECT CAST({_N_FEATURES} AS BIGINT) AS n_features, CAST(1 AS BIGINT) AS n_bases""",
     "date_parse": """SELECT o_orderkey,
   CASE WHEN o_orderstatus <> 'P' THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS lenient,
   CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS strict FROM orders""",

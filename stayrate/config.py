@@ -115,6 +115,8 @@ class Settings:
     trees: int = 1000
     # The original forest grows without a depth limit; 30 is Spark's maximum.
     max_depth: int = 30
+    # Smallest share of the training weight in a node; bounds the leaves at any number of rows.
+    least_node_weight: float = 1e-5
     thresholds: tuple[float, ...] = (0.2, 0.3, 0.4, 0.5, 0.6)
     price_feature_pattern: str = "price|peak"
     top_features: int = 20

@@ -50,15 +50,6 @@ def mean(column: str | Column) -> Column:
     return ratio(F.sum(column), F.count(column))
 
 
-def share(condition: Column) -> Column:
-    """Aggregate: share of rows that fulfil ``condition`` (null counts as no)."""
-    return ratio(F.count_if(condition), F.count(F.lit(1)))
-
-
-def difference(a: str, b: str) -> Column:
-    return F.col(a) - F.col(b)
-
-
 def half_even(column: Column, digits: int) -> Column:
     """Round half to even; adding 0.0 turns a negative zero into zero."""
     return F.bround(column, digits) + F.lit(0.0)

@@ -35,8 +35,3 @@ def log10p1(column: str | Column) -> Column:
     """``log10(x + 1)``; null where it is undefined (x <= -1)."""
     x = (F.col(column) if isinstance(column, str) else column).cast("double")
     return F.when(x > -1, F.log10(x + 1))
-
-
-def outside_log_domain(column: str | Column) -> Column:
-    x = (F.col(column) if isinstance(column, str) else column).cast("double")
-    return x <= -1

@@ -68,22 +68,24 @@ def auto_bins(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def density(df: DataFrame, columns: Sequence[str], points: int = 200) -> DataFrame:
     """Gaussian kernel density of each column on an even grid from min to max.
 
-    The bandwidth is the sample deviation times n^(-1/5). Each value adds to
-    every grid point, and the sums per point are combined inside the task, so
-    the shuffle carries ``points`` rows per task and column.
+    The bandwidth is the sample deviation times n^(-1/5). Equal values are
+    counted first; each distinct value adds to every grid point with its count,
+    and the sums per point are combined inside the task, so the shuffle carries
+    ``points`` rows per task and column. A column with a single value has no
+    bandwidth: its points all lie on the value and their density is null.
     """
-    values = as_rows(df, columns)
+    rows = as_rows(df, columns)
     stats = (
-        values.groupBy("variable")
+        rows.groupBy("variable")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.min("value").alias("lo"),
             F.max("value").alias("hi"),
             F.stddev_samp("value").alias("sd"),
         )
-        .where(F.col("sd") > 0)
-        .withColumn("bandwidth", F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)))
+        .withColumn("bandwidth", F.when(F.col("sd") > 0, F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))))
     )
+    values = rows.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("times"))
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
     step = (F.col("hi") - F.col("lo")) / (points - 1)
     x = F.col("lo") + F.col("point") * step
@@ -93,7 +95,7 @@ def density(df: DataFrame, columns: Sequence[str], points: int = 200) -> DataFra
     return (
         spread.groupBy("variable", "point")
         .agg(
-            F.sum(F.exp(-z * z / 2)).alias("k"),
+            F.sum(F.col("times") * F.exp(-z * z / 2)).alias("k"),
             F.first(x).alias("x"),
             F.first(F.col("n") * F.col("bandwidth")).alias("scale"),
         )
@@ -126,6 +128,18 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.select(F.inline(rows))
 
 
+def correlations_with(df: DataFrame, columns: Sequence[str], other: str) -> DataFrame:
+    """(column, corr): Pearson correlation of each column with ``other``, in one scan."""
+    wide = df.agg(
+        *[
+            F.corr(F.col(quoted(c)).cast("double"), F.col(quoted(other)).cast("double")).alias(f"c{i}")
+            for i, c in enumerate(columns)
+        ]
+    )
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("corr")) for i, c in enumerate(columns)]
+    return wide.select(F.inline(F.array(*rows)))
+
+
 def log_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: values, and values that ``log10(x + 1)`` is not defined for."""
     pairs = F.array(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..session import durable
 from .ordered import BUCKET, cut_points, running_totals, with_value_bucket
 
 
@@ -132,13 +133,17 @@ def threshold_sweep(
 
 
 def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Positives and negatives per distinct score, with the bucket of the score."""
+    """Positives and negatives per distinct score, with the bucket of the score.
+
+    Stored, as the cuts that split the distinct scores evenly are taken from them.
+    """
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    cuts = cut_points(rows, score)
-    counts = rows.groupBy(*by, score).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
+    counts = durable(
+        rows.groupBy(*by, score).agg(
+            F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
+        )
     )
-    return with_value_bucket(counts, score, cuts)
+    return with_value_bucket(counts, score, cut_points(counts, score))
 
 
 def _running(

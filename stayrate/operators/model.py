@@ -7,6 +7,7 @@ on Spark ML; scores stay rows of a DataFrame from start to end.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -48,8 +49,15 @@ def training_table(
     return pinned(rows.repartition(F.col(id)).sortWithinPartitions(id))
 
 
-def forest(label: str, trees: int, max_depth: int, seed: int) -> RandomForestClassifier:
-    """Random forest with class weights; sqrt(features) candidates per split."""
+def forest(
+    label: str, trees: int, max_depth: int, seed: int, least_weight: float = 0.0
+) -> RandomForestClassifier:
+    """Random forest with class weights; sqrt(features) candidates per split.
+
+    Every node holds at least the share ``least_weight`` of the training weight.
+    Above 0 this bounds the leaves of a tree, all of which pass through the
+    driver, by 1 / ``least_weight`` whatever the number of rows.
+    """
     return RandomForestClassifier(
         labelCol=label,
         featuresCol=VECTOR,
@@ -57,6 +65,7 @@ def forest(label: str, trees: int, max_depth: int, seed: int) -> RandomForestCla
         numTrees=trees,
         maxDepth=max_depth,
         featureSubsetStrategy="sqrt",
+        minWeightFractionPerNode=least_weight,
         seed=seed,
     )
 
@@ -89,6 +98,20 @@ def fit(
     vectors are kept for the length of the fit (spilling to disk, and rebuilt
     from the checkpointed rows if an executor is lost).
     """
+    prepared, weighted = _prepare(train, features, label, impute)
+    vectors = prepared.transform(weighted).select(label, WEIGHT, VECTOR)
+    vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = classifier.fit(vectors)
+    finally:
+        vectors.unpersist()
+    return PipelineModel(stages=[*prepared.stages, fitted])
+
+
+def _prepare(
+    train: DataFrame, features: Sequence[str], label: str, impute: bool = True
+) -> tuple[PipelineModel, DataFrame]:
+    """Stages from features to a vector, fitted on ``train``, and ``train`` with weights and inputs."""
     stages: list = []
     inputs = [f"_in{i}" for i in range(len(features))]
     if impute:
@@ -99,14 +122,7 @@ def fit(
         inputs = filled
     stages.append(VectorAssembler(inputCols=inputs, outputCol=VECTOR, handleInvalid="error"))
     weighted = with_class_weights(_with_inputs(train, features), label, WEIGHT)
-    prepared = Pipeline(stages=stages).fit(weighted)
-    vectors = prepared.transform(weighted).select(label, WEIGHT, VECTOR)
-    vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fitted = classifier.fit(vectors)
-    finally:
-        vectors.unpersist()
-    return PipelineModel(stages=[*prepared.stages, fitted])
+    return Pipeline(stages=stages).fit(weighted), weighted
 
 
 def score(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -117,6 +133,61 @@ def score(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataF
     )
 
 
+@dataclass(frozen=True)
+class Fold:
+    """Vectors of the rows outside a fold, to fit on, and of those in it, to score."""
+
+    fit_on: DataFrame
+    held_out: DataFrame
+
+
+def fold_vectors(
+    train: DataFrame, features: Sequence[str], id: str, label: str, folds: int, parallelism: int = 5
+) -> list[Fold]:
+    """Medians, weights and vectors of every fold, worked out once for all candidates.
+
+    Medians and weights come from the rows outside the fold alone. Both parts are
+    checkpointed, as every fit passes over them several times.
+    """
+
+    def one(k: int) -> Fold:
+        prepared, weighted = _prepare(train.where(F.col(FOLD) != k), features, label)
+        held_out = prepared.transform(_with_inputs(train.where(F.col(FOLD) == k), features))
+        return Fold(
+            pinned(prepared.transform(weighted).select(label, WEIGHT, VECTOR)),
+            pinned(held_out.select(id, label, FOLD, VECTOR)),
+        )
+
+    return _side_by_side(one, range(folds), train, parallelism)
+
+
+def _side_by_side(work, inputs: Sequence, df: DataFrame, parallelism: int) -> list:
+    with ThreadPool(max(1, min(parallelism, len(inputs)))) as pool:
+        return pool.map(inheritable_thread_target(df.sparkSession)(work), inputs)
+
+
+def fold_scores(
+    folds: Sequence[Fold], candidates: Mapping[str, object], id: str, label: str, parallelism: int = 5
+) -> DataFrame:
+    """Scores of every held-out row by every candidate, under the candidate's name in ``params``."""
+
+    def one(task: tuple[str, Fold]) -> DataFrame:
+        name, fold = task
+        scored = candidates[name].fit(fold.fit_on).transform(fold.held_out)
+        return scored.select(
+            F.lit(name).alias("params"),
+            id,
+            label,
+            FOLD,
+            F.col("prediction").cast("int").alias("prediction"),
+            vector_to_array("probability").getItem(1).alias(SCORE),
+        )
+
+    tasks = [(name, fold) for name in candidates for fold in folds]
+    parts = _side_by_side(one, tasks, folds[0].fit_on, parallelism)
+    return durable(reduce(DataFrame.unionByName, parts))
+
+
 def cross_validated_scores(
     train: DataFrame,
     features: Sequence[str],
@@ -127,15 +198,8 @@ def cross_validated_scores(
     parallelism: int = 5,
 ) -> DataFrame:
     """Score of every training row by the model that did not see its fold."""
-
-    def one(k: int) -> DataFrame:
-        model = fit(train.where(F.col(FOLD) != k), features, classifier, label)
-        held_out = score(model, train.where(F.col(FOLD) == k), features)
-        return held_out.select(id, label, FOLD, "prediction", SCORE)
-
-    with ThreadPool(min(parallelism, folds)) as pool:
-        parts = pool.map(inheritable_thread_target(train.sparkSession)(one), range(folds))
-    return durable(reduce(DataFrame.unionByName, parts))
+    vectors = fold_vectors(train, features, id, label, folds, parallelism)
+    return fold_scores(vectors, {"": classifier}, id, label, parallelism).drop("params")
 
 
 def cross_validate(
@@ -203,16 +267,15 @@ def grid_search(
 ) -> DataFrame:
     """Cross-validated AUC per parameter map, best first.
 
-    Works on the given fold column, so every candidate sees the same folds.
+    Works on the given fold column, so every candidate sees the same folds, each
+    of them prepared once whatever the number of candidates.
     """
-    parts = []
-    for params in param_maps:
-        name = ", ".join(f"{p.name}={v}" for p, v in sorted(params.items(), key=lambda i: i[0].name))
-        scores = cross_validated_scores(
-            train, features, classifier.copy(params), id, label, folds, parallelism
-        )
-        parts.append(scores.withColumn("params", F.lit(name)))
-    scored = reduce(DataFrame.unionByName, parts)
+    candidates = {
+        ", ".join(f"{p.name}={v}" for p, v in sorted(params.items(), key=lambda i: i[0].name)): classifier.copy(params)
+        for params in param_maps
+    }
+    vectors = fold_vectors(train, features, id, label, folds, parallelism)
+    scored = fold_scores(vectors, candidates, id, label, parallelism)
     per_fold = roc_auc(scored, label, SCORE, ["params", FOLD])
     return fold_summary(per_fold, ["params"]).orderBy(F.desc("auc_mean"), F.asc("params"))
 
@@ -223,35 +286,34 @@ def permutation_importance(
     """AUC lost when one feature's values are dealt to other rows.
 
     Every row gets one donor row: ranks by two different hashes of the id pair
-    the rows up one to one, which is a permutation. For each feature the row is
-    scored with that feature taken from the donor, all features in one pass.
+    the rows up one to one, which is a permutation. Only ids are ranked; the donor's
+    values are fetched once. For each feature the row is scored with that feature
+    taken from the donor, all features in one pass.
     """
     prepare, classifier = PipelineModel(model.stages[:-1]), model.stages[-1]
     # Written once: both sides of the pairing and the quantile sketch read it.
     prepared = prepare.transform(_with_inputs(df, features))
     vectors = durable(prepared.select(id, label, vector_to_array(VECTOR).alias("own")))
-    hashed = vectors.withColumns(
+    hashed = vectors.select(id).withColumns(
         {
             "_a": F.pmod(F.xxhash64(id, F.lit(1)), F.lit(HASH_RANGE)),
             "_b": F.pmod(F.xxhash64(id, F.lit(2)), F.lit(HASH_RANGE)),
         }
     )
-    takers = ranks(hashed, [], "_a", id, HASH_RANGE).select(id, label, "own", "rank")
-    donors = ranks(hashed, [], "_b", id, HASH_RANGE).select(F.col("own").alias("donor"), "rank")
+    takers = ranks(hashed, [], "_a", id, HASH_RANGE).select(id, "rank")
+    donors = ranks(hashed, [], "_b", id, HASH_RANGE).select(F.col(id).alias("_giver"), "rank")
+    givers = vectors.select(F.col(id).alias("_giver"), F.col("own").alias("donor"))
+    paired = vectors.join(takers.join(donors, "rank").drop("rank"), id).join(givers, "_giver")
     # Feature number -1 is the unchanged row.
-    copies = takers.join(donors, "rank").select(
+    copies = paired.select(
         label, "own", "donor", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))).alias("j")
     )
     mixed = F.transform(
         "own", lambda x, i: F.when(i == F.col("j"), F.get("donor", i)).otherwise(x)
     )
     scored = classifier.transform(copies.select(label, "j", array_to_vector(mixed).alias(VECTOR)))
-    areas = roc_auc(
-        durable(scored.select("j", label, vector_to_array("probability").getItem(1).alias(SCORE))),
-        label,
-        SCORE,
-        ["j"],
-    )
+    scores = durable(scored.select("j", label, vector_to_array("probability").getItem(1).alias(SCORE)))
+    areas = durable(roc_auc(scores, label, SCORE, ["j"]))
     base = areas.where(F.col("j") == -1).select("auc").scalar()
     names = F.array(*[F.lit(c) for c in features])
     return areas.where(F.col("j") >= 0).select(

@@ -16,18 +16,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import quoted
+from ..session import durable
 
 BUCKETS = 256
+RANK_BUCKETS = 4096
 BUCKET = "_bucket"
 
 
-def cut_points(df: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]:
+def bucket_count(df: DataFrame, least: int = BUCKETS) -> int:
+    """At least ``least`` buckets, and no fewer than the session's shuffle partitions."""
+    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
     """Fewer than ``buckets`` values that split the rows into similar parts.
 
-    One scan with mergeable quantile sketches, no shuffle of rows. Equal values
-    may repeat as cuts; a value that fills a third of all rows then just has a
-    bucket of its own.
+    One scan with mergeable quantile sketches, no shuffle of rows. Pass the
+    distinct values where a window then runs over these: a value that fills most
+    rows would otherwise be nearly all cuts, and leave the others in one bucket.
     """
+    buckets = buckets or bucket_count(df)
     steps = [i / buckets for i in range(1, buckets)]
     return sorted(set(df.approxQuantile(value, steps, 1 / (4 * buckets))))
 
@@ -70,7 +78,7 @@ def running_totals(
         *[F.sum(f"{t}_bucket").over(everything).alias(f"{t}_total") for t in totals],
     )
     if not by:
-        # At most BUCKETS rows by construction.
+        # One row per bucket, a number that the caller or the session sets.
         offsets = F.broadcast(offsets)
 
     inside = (
@@ -93,13 +101,14 @@ def ranks(
     hash_column: str,
     tie_break: str,
     hash_range: int,
-    buckets: int = 4096,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add ``rank`` (1, 2, ...) and ``group_size`` in hash order within each group.
 
     The hash spreads evenly over [0, hash_range), so buckets of equal width are
     even as well, also when one group holds nearly all rows.
     """
+    buckets = buckets or bucket_count(df, RANK_BUCKETS)
     bucketed = df.withColumn(BUCKET, F.floor(F.col(hash_column) * F.lit(buckets) / F.lit(hash_range)))
     counted = running_totals(bucketed, [hash_column, tie_break], {"rows": F.lit(1)}, by)
     return counted.withColumns(
@@ -110,10 +119,13 @@ def ranks(
 def value_counts_with_rank(
     df: DataFrame, value: str, by: Sequence[str] = (), cuts: Sequence[float] | None = None
 ) -> DataFrame:
-    """Distinct values with ``n``, and ``n_before`` and ``n_total`` in value order."""
+    """Distinct values with ``n``, and ``n_before`` and ``n_total`` in value order.
+
+    The counts are stored: the cuts split them evenly, and the window reads them.
+    """
     rows = df.where(F.col(value).isNotNull())
-    cuts = cut_points(rows, value) if cuts is None else cuts
-    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = durable(rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")))
+    cuts = cut_points(counts, value) if cuts is None else cuts
     return running_totals(with_value_bucket(counts, value, cuts), [value], {"n": F.col("n")}, by)
 
 

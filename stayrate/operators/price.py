@@ -164,33 +164,47 @@ def month_on_month(
     )
 
 
-def rise_before(
-    entities: DataFrame,
-    prices: DataFrame,
-    column: str,
-    months: int,
-    layout: Layout = Layout(),
+def rises(
+    prices: DataFrame, columns: Sequence[str], months: int, layout: Layout = Layout()
 ) -> DataFrame:
-    """Share of retained and churned entities with a price rise in their last months.
+    """Price rises per entity and price column: in its last months, and ever.
 
     "Last months" are the ``months`` calendar months up to the entity's last
-    price date.
+    price date. All columns come from one pass.
     """
-    changes = month_on_month(monthly_prices(prices, layout, [column]), [column], layout)
+    changes = month_on_month(monthly_prices(prices, layout, columns), columns, layout)
     final = F.max(layout.price_date).over(Window.partitionBy(layout.id))
     recent = F.col(layout.price_date) > F.add_months("_final", -months)
-    rises = (
+    up = {c: F.col(f"{c}_change") > 0 for c in columns}
+    found = (
         changes.withColumn("_final", final)
         .groupBy(layout.id)
         .agg(
-            F.count_if(recent & (F.col(f"{column}_change") > 0)).alias("rises"),
-            F.count_if(F.col(f"{column}_change") > 0).alias("rises_ever"),
+            *[F.count_if(recent & up[c]).alias(f"{c}_recent") for c in columns],
+            *[F.count_if(up[c]).alias(f"{c}_ever") for c in columns],
         )
     )
+    rows = [
+        F.struct(
+            F.lit(c).alias("variable"), F.col(f"{c}_recent").alias("rises"), F.col(f"{c}_ever").alias("rises_ever")
+        )
+        for c in columns
+    ]
+    return found.select(layout.id, F.inline(F.array(*rows)))
+
+
+def rise_before(
+    entities: DataFrame,
+    prices: DataFrame,
+    columns: Sequence[str],
+    months: int,
+    layout: Layout = Layout(),
+) -> DataFrame:
+    """Share of retained and churned entities with a rise of each price in their last months."""
     return (
         entities.select(layout.id, layout.label)
-        .join(rises, layout.id)
-        .groupBy(layout.label)
+        .join(rises(prices, columns, months, layout), layout.id)
+        .groupBy("variable", layout.label)
         .agg(
             F.count(F.lit(1)).alias("n"),
             ratio(F.count_if(F.col("rises") > 0), F.count(F.lit(1))).alias("share_recent_rise"),
@@ -199,6 +213,22 @@ def rise_before(
     )
 
 
+def rate_after_rises(
+    entities: DataFrame,
+    prices: DataFrame,
+    columns: Sequence[str],
+    months: int,
+    layout: Layout = Layout(),
+) -> DataFrame:
+    """Label rate by the number of rises of each price in the entity's last months."""
+    return (
+        entities.select(layout.id, layout.label)
+        .join(rises(prices, columns, months, layout), layout.id)
+        .groupBy("variable", "rises")
+        .agg(F.count(F.lit(1)).alias("n"), mean(layout.label).alias("label_rate"))
+    )
+
+
 def elasticity(
     monthly: DataFrame, price: str, quantity: str, layout: Layout = Layout()
 ) -> DataFrame:

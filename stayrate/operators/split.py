@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import quoted
+from ..session import durable
 from .ordered import cut_points, ranks, running_totals, with_value_bucket
 
 HASH_RANGE = 2**32
@@ -36,26 +37,50 @@ def stratified_split(
     """Add ``split`` ('test' or 'train') and ``fold`` (0.. in train, -1 in test).
 
     Rows of each class are ranked by a hash of their id. The first
-    ceil(share * class size) are the test part, the rest take turns in the
-    folds. Depends on ids alone, so a re-run or a retried task gives the same
-    split, whatever the partitioning.
+    ceil(share * class size) are the test part, the rest are cut into folds of
+    equal size. Depends on ids alone, so a re-run or a retried task gives the
+    same split, whatever the partitioning. Only keys are ranked, when this is
+    called; of them come the last key of each part, and a row of ``df`` finds its
+    part by comparing its key, without a join. An id that repeats is an error;
+    rows without a label belong to no class and are left out.
     """
-    value = text_hash(id) if hash is None else hash
-    keys = df.select(id, label).withColumn("_hash", value)
-    ranked = ranks(keys, [label], "_hash", id, HASH_RANGE)
-    test_size = F.ceil(F.col("group_size") * F.lit(test_share))
-    in_test = F.col("rank") <= test_size
-    turns = F.pmod(F.col("rank") - test_size - 1, F.lit(folds))
-    parts = ranked.select(
-        id,
-        label,
-        F.when(in_test, "test").otherwise("train").alias("split"),
-        F.when(in_test, F.lit(-1)).otherwise(turns).cast("int").alias("fold"),
+    value = (text_hash(id) if hash is None else hash).cast("bigint")
+    rows = df.where(F.col(label).isNotNull())
+    keys = durable(rows.select(id, label, value.alias("_hash")))
+    _require_unique(keys, id)
+    size = F.col("group_size")
+    test_size = F.ceil(size * F.lit(test_share))
+    ends = [test_size] + [test_size + F.ceil((size - test_size) * k / folds) for k in range(1, folds)]
+    named = F.array(*[e.cast("bigint") for e in ends])
+    # A row per class and part, whatever the number of rows.
+    last = (
+        ranks(keys, [label], "_hash", id, HASH_RANGE)
+        .withColumn("ends", named)
+        .where((F.col("rank") == 1) | F.array_contains("ends", F.col("rank")))
+        .collect()
     )
-    if set(df.columns) == {id, label}:
-        return parts
-    # Only keys were ranked; the wide feature rows are joined back on the id.
-    return df.join(parts.drop(label), id)
+    part = F.lit(None).cast("int")
+    kind = keys.schema[id].dataType
+
+    def key(hashed: Column, own: Column) -> Column:
+        return F.struct(hashed.cast("bigint").alias("hash"), own.cast(kind).alias("id"))
+
+    own = key(value, F.col(id))
+    for of_class in {r[label] for r in last}:
+        at = {r["rank"]: key(F.lit(r["_hash"]), F.lit(r[id])) for r in last if r[label] == of_class}
+        cuts = next(r["ends"] for r in last if r[label] == of_class)
+        # A part that ends before the first row has no row: every key is past it.
+        passed = sum(((own > at[end]).cast("int") if end else F.lit(1) for end in cuts), F.lit(0))
+        part = F.when(F.col(label) == of_class, passed).otherwise(part)
+    return rows.withColumns(
+        {"split": F.when(part == 0, "test").otherwise("train"), "fold": part.cast("int") - 1}
+    )
+
+
+def _require_unique(keys: DataFrame, id: str) -> None:
+    twice = keys.groupBy(id).count().where(F.col("count") > 1).first()
+    if twice:
+        raise ValueError(f"id {twice[id]} has {twice['count']} rows")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -61,7 +61,9 @@ def prepare(
 
 
 def classifier(layout: Layout, settings: Settings):
-    return forest(layout.label, settings.trees, settings.max_depth, settings.seed)
+    return forest(
+        layout.label, settings.trees, settings.max_depth, settings.seed, settings.least_node_weight
+    )
 
 
 def fit_and_score(

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Layout, Settings
-from ..functions.columns import name_matches
+from ..functions.columns import name_matches, quoted
 from ..operators.evaluate import binary_metrics, roc_auc
 from ..operators.model import SCORE, fold_summary, top_importances
 
@@ -85,6 +86,16 @@ def report_metrics(
     return result
 
 
+def rate_lines(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(table, category, n, line): every row of the rate tables, as the report prints it."""
+    parts = []
+    for name, table in tables.items():
+        category = F.coalesce(F.col(quoted(table.columns[0])).cast("string"), F.lit("None"))
+        line = F.format_string("  %s: %.1f%% of %,d", category, F.round(F.col("label_rate") * 100, 1), F.col("n"))
+        parts.append(table.select(F.lit(name).alias("table"), category.alias("category"), "n", "label_rate", line.alias("line")))
+    return reduce(DataFrame.unionByName, parts).select("table", "category", "n", "line")
+
+
 def render(
     metrics: DataFrame,
     importance: DataFrame,
@@ -122,8 +133,7 @@ def render(
     ]
     for name, table in (eda or {}).items():
         lines += ["", f"Churn rate: {name}"]
-        for row in table.toLocalIterator():
-            lines.append(f"  {row[0]}: {row['label_rate']:.1%} of {row['n']:,}")
+        lines += [row["line"] for row in rate_lines({name: table}).toLocalIterator()]
     return "\n".join(lines) + "\n"
 
 

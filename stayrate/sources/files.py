@@ -84,7 +84,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -
     """Scan CSV files with a header row.
 
     Columns are matched to ``schema`` by name, so files may order them freely or
-    carry more of them (those stay text, for lack of a declared type). All files
+    carry more of them. One pass over the columns without a declared type decides
+    theirs: double if every value is a number, else text. All files
     of a folder must have the same header; another order or name is an error, as
     Spark would take cells by position. Missing value tokens become null before the
     cast; a malformed number, or a fraction in a column of whole numbers, is an error.
@@ -92,9 +93,23 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -
     declared = {f.name: f for f in (schema.fields if schema else [])}
     # A quote inside a quoted cell is written twice.
     raw = spark.read.options(header=True, mode="FAILFAST", escape='"', enforceSchema=False).csv(path)
+    if schema is not None:
+        declared |= _numeric_fields(raw, [c for c in raw.columns if c not in declared])
     return raw.select(*[_typed(name, declared.get(name)) for name in raw.columns])
 
 
+def _numeric_fields(raw: DataFrame, names: list[str]) -> dict[str, StructField]:
+    """The columns of ``names`` that hold numbers and missing values alone, and at least one number."""
+    if not names:
+        return {}
+    given = [_typed(c, None).alias(f"c{i}") for i, c in enumerate(names)]
+    number = {f"c{i}": F.col(f"c{i}").try_cast("double") for i in range(len(names))}
+    fit = raw.select(*given).agg(
+        *[((F.count(c) > 0) & (F.count(c) == F.count(n))).alias(c) for c, n in number.items()]
+    ).first()
+    return {c: StructField(c, DoubleType()) for i, c in enumerate(names) if fit[f"c{i}"]}
+
+
 def read_parquet(
     spark: SparkSession, path: str, schema: StructType | str | None = None
 ) -> DataFrame:

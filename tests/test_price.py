@@ -94,10 +94,10 @@ def test_level_and_volatility(series):
 
 def test_rise_before(spark, series):
     clients = spark.createDataFrame([("c1", 1), ("c2", 0), ("c3", 0)], "id string, churn int")
-    rows = by_key(price.rise_before(clients, series, "price_off_peak_var", 2), "churn")
+    rows = by_key(price.rise_before(clients, series, ["price_off_peak_var"], 2), "churn")
     assert rows[1]["share_recent_rise"] == 1.0 and rows[0]["share_recent_rise"] == 0.0
     # One month back from March leaves only March, where the price is unknown.
-    rows = by_key(price.rise_before(clients, series, "price_off_peak_var", 1), "churn")
+    rows = by_key(price.rise_before(clients, series, ["price_off_peak_var"], 1), "churn")
     assert rows[1]["share_recent_rise"] == 0.0 and rows[1]["mean_rises"] == 1.0
 
 
