@@ -82,6 +82,11 @@ class Layout:
         "cons_last_month",
         "forecast_price_energy_peak",
     )
+    # Years with the company, and the columns by which customers are cut into thirds.
+    seniority: str = "num_years_antig"
+    segment_columns: dict[str, str] = field(
+        default_factory=lambda: {"size": "pow_max", "usage": "cons_12m", "age": "num_years_antig"}
+    )
     index_artefact: str = "Unnamed: 0"
 
     def price_column(self, period: str, kind: str) -> str:
@@ -109,6 +114,9 @@ class Settings:
     min_category_count: int = 100
     max_categories: int = 1000
     histogram_bins: int = 50
+    log_bins: int = 30
+    # Tenures with the highest churn rate that the feature job lists.
+    top_tenures: int = 5
     test_share: float = 0.25
     folds: int = 5
     seed: int = 42
@@ -122,3 +130,5 @@ class Settings:
     top_features: int = 20
     report_features: int = 5
     retention_rows: int = 100
+    # Months up to the last price that count as recent.
+    recent_months: int = 3

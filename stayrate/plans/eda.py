@@ -21,6 +21,7 @@ def explore(
         "overview": profile.overview(clients, "client", label).unionByName(
             profile.overview(prices, "price")
         ),
+        "column_gaps": profile.column_gaps(clients),
         "class_share": profile.class_share(clients, label),
         "price_by_label": profile.price_by_label(
             clients, prices, layout.id, label, layout.price_prefix

@@ -11,8 +11,10 @@ from pyspark.sql.types import DecimalType
 from ..config import Layout, Settings
 from ..functions.columns import present, quoted, with_prefix
 from ..functions.encode import flag, log10p1, tenure_years, whole_months_until
+from ..operators.distribution import auto_bins, density, histogram
 from ..operators.encode import category_lists, one_hot_wide
 from ..operators.price import price_features
+from ..operators.profile import rate_by, rate_by_descending
 from ..session import durable
 
 
@@ -62,6 +64,26 @@ def build_features(
     return _doubles(log_features(encoded, layout).drop(*layout.redundant_columns))
 
 
+def descriptions(
+    features: DataFrame, layout: Layout = Layout(), settings: Settings = Settings()
+) -> dict[str, DataFrame]:
+    """Name -> table that describes a stored feature table."""
+    logs = present(features, layout.density_columns)
+    flags = present(features, layout.flag_columns)
+    tables = {
+        "feature_summary": feature_summary(features, layout),
+        "rate_by_tenure": rate_by_descending(
+            features, layout.tenure, layout.label, top=settings.top_tenures
+        ),
+        **{f"rate_by_{c}": rate_by(features, c, layout.label) for c in flags},
+    }
+    if logs:
+        tables["histogram_log"] = histogram(features, logs, bins=settings.log_bins)
+        tables["bins_log"] = auto_bins(features, logs)
+        tables["density_log"] = density(features, logs)
+    return tables
+
+
 def feature_summary(features: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """One row: rows, columns and how many features each step has added."""
     price_names = [

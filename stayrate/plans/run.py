@@ -21,7 +21,7 @@ from ..operators.model import SCORE, fold_summary, top_importances
 from ..session import build_session, durable
 from ..sinks.files import prediction_table, write_features, write_predictions, write_report
 from ..sources import files
-from . import eda, features, modelling, report
+from . import eda, features, modelling, report, sensitivity
 
 # The names of the input and output files.
 CLIENTS = "client_data"
@@ -62,12 +62,26 @@ def run_eda(
     }
 
 
+def run_sensitivity(
+    spark: SparkSession, data: str, out: str, layout: Layout, settings: Settings, fmt: str = "csv"
+) -> dict[str, DataFrame]:
+    clients = read_clients(spark, data, CLIENTS, layout, fmt)
+    tables = sensitivity.explore(clients, read_prices(spark, data, layout, fmt), layout, settings)
+    return {
+        name: write_features(table, f"{out}/sensitivity/{name}") for name, table in tables.items()
+    }
+
+
 def run_features(
     spark: SparkSession, data: str, out: str, layout: Layout, settings: Settings, fmt: str = "csv"
 ) -> DataFrame:
+    """Write the feature table, and beside it what describes it."""
     clients = read_clients(spark, data, CLEAN, layout, fmt)
     built = features.build_features(clients, read_prices(spark, data, layout, fmt), layout, settings)
-    return write_features(built, f"{out}/{FEATURES}")
+    written = write_features(built, f"{out}/{FEATURES}")
+    for name, table in features.descriptions(written, layout, settings).items():
+        write_features(table, f"{out}/features/{name}")
+    return written
 
 
 def run_model(
@@ -104,6 +118,7 @@ def run_all(
 ) -> str:
     """All stages; returns the text of the report."""
     explored = run_eda(spark, data, out, layout, settings, fmt)
+    run_sensitivity(spark, data, out, layout, settings, fmt)
     run_features(spark, data, out, layout, settings, fmt)
     metrics, importance = run_model(spark, out, layout, settings)
     rates = {name: table for name, table in explored.items() if name.startswith("rate_by_")}
@@ -116,7 +131,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__.split("\n")[0])
     parser.add_argument("--data", required=True, help="folder with the input files")
     parser.add_argument("--out", required=True, help="folder for results; shared on a cluster")
-    parser.add_argument("--stage", choices=["all", "eda", "features", "model"], default="all")
+    parser.add_argument("--stage", choices=["all", "eda", "sensitivity", "features", "model"], default="all")
     parser.add_argument("--format", choices=["csv", "parquet"], default="csv")
     parser.add_argument("--trees", type=int, default=Settings.trees)
     parser.add_argument("--max-depth", type=int, default=Settings.max_depth)
@@ -126,6 +141,8 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--folds", type=int, default=Settings.folds)
     parser.add_argument("--thresholds", type=float, nargs="+", default=Settings.thresholds)
     parser.add_argument("--retention-rows", type=int, default=Settings.retention_rows)
+    parser.add_argument("--recent-months", type=int, default=Settings.recent_months)
+    parser.add_argument("--least-node-weight", type=float, default=Settings.least_node_weight)
     given = parser.parse_args(arguments)
 
     layout = Layout()
@@ -139,10 +156,15 @@ def main(arguments: list[str] | None = None) -> None:
         folds=given.folds,
         thresholds=tuple(given.thresholds),
         retention_rows=given.retention_rows,
+        recent_months=given.recent_months,
+        least_node_weight=given.least_node_weight,
     )
     spark = build_session("stayrate")
     if given.stage == "all":
         print(run_all(spark, given.data, given.out, layout, settings, given.format))
+    elif given.stage == "sensitivity":
+        for name in run_sensitivity(spark, given.data, given.out, layout, settings, given.format):
+            print(f"{given.out}/sensitivity/{name}")
     elif given.stage == "eda":
         for name, table in run_eda(
             spark, given.data, given.out, layout, settings, given.format

@@ -151,3 +151,20 @@ def test_model_queries_run_on_the_given_tables(spark, tables):
     assert {"id", "actual_churn", "predicted_churn", "churn_probability"} <= set(predictions.columns)
     assert predictions.count() > 30
     assert catalog.importance_top20(spark, tables).count() == 20
+
+
+def test_a_grid_prepares_each_fold_once(parts, monkeypatch):
+    calls, prepare = [], model._prepare
+    monkeypatch.setattr(model, "_prepare", lambda *a, **b: calls.append(1) or prepare(*a, **b))
+    base = modelling.classifier(LAYOUT, SETTINGS)
+    grid = [{base.maxDepth: 1}, {base.maxDepth: 2}, {base.maxDepth: 3}]
+    assert model.grid_search(parts.train, parts.features, base, grid, "id", "churn", 3).count() == 3
+    assert len(calls) == 3
+
+
+def test_least_node_weight_bounds_the_leaves(parts):
+    def leaves(share: float) -> int:
+        classifier = model.forest("churn", 3, 10, 42, share)
+        return model.fit(parts.train, parts.features, classifier, "churn").stages[-1].totalNumNodes
+
+    assert leaves(0.2) < leaves(0.0)

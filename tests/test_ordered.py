@@ -77,3 +77,13 @@ def test_rows_are_never_ordered_in_a_single_partition(df):
     # The only window without partitions runs over one row per bucket.
     assert plan.count("Exchange SinglePartition") <= 1
     assert "Window [sum(n#" in plan and "_bucket" in plan
+
+
+def test_buckets_stay_even_when_one_value_fills_nearly_all_rows(spark):
+    """Each bucket is one task of the window, and should hold no more than twice the mean."""
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 200 > 0, 0.0).otherwise(F.sqrt(F.col("id").cast("double"))).alias("x")
+    )
+    found = ordered.value_counts_with_rank(rows, "x").groupBy(ordered.BUCKET).count()
+    sizes = [r["count"] for r in found.collect()]
+    assert len(sizes) > 100 and max(sizes) <= 2 * sum(sizes) / len(sizes)

@@ -133,3 +133,12 @@ def test_plan_combines_before_each_of_its_two_shuffles(series):
     # Map-side partial aggregation below both exchanges, no join, no window.
     assert plan.count("partial_sum") > 0 and plan.count("partial_max") > 0
     assert "Join" not in plan and "Window" not in plan and "Python" not in plan
+
+
+def test_label_rate_by_number_of_rises(spark, series):
+    clients = spark.createDataFrame([("c1", 1), ("c2", 0), ("c3", 0)], "id string, churn int")
+    rows = price.rate_after_rises(clients, series, ["price_off_peak_var", "price_peak_var"], 2).collect()
+    for name in ("price_off_peak_var", "price_peak_var"):
+        own = [r for r in rows if r["variable"] == name]
+        assert sum(r["n"] for r in own) == sum(r["n"] for r in rows) / 2
+    assert {r["rises"]: r["label_rate"] for r in rows if r["variable"] == "price_off_peak_var"}[1] == 1.0

@@ -136,3 +136,16 @@ def test_at_risk(spark):
     df = spark.createDataFrame(rows, "id string, m double, t int, last double, year double")
     found = segments.at_risk(df, "id", "m", "t", "last", "year").collect()
     assert [tuple(r) for r in found] == [("c", 9.0, 1, 1)]
+
+
+def test_a_constant_column_has_points_without_density(spark):
+    rows = distribution.density(spark.createDataFrame([(2.0, 1.0), (2.0, 4.0)], "x double, y double"), ["x", "y"], 5)
+    found = by_key(rows, "variable", "point")
+    assert len(found) == 10 and found["x", 3]["x"] == 2.0 and found["x", 3]["density"] is None
+    assert found["y", 3]["density"] > 0
+
+
+def test_a_null_value_is_in_no_third(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (None,)], "v double")
+    rows = segments.with_segments(df, {"size": "v"}).collect()
+    assert [r["size"] for r in sorted(rows, key=lambda r: r["v"] or 9)] == ["low", "middle", "high", None]

@@ -125,3 +125,20 @@ def test_price_join_is_reduced_before_it_shuffles(spark, folder):
     found = profile.price_by_label(clients, run.read_prices(spark, str(folder), LAYOUT), "id", "churn", "price_")
     plan = plan_of(found)
     assert plan.index("Join") < plan.index("partial_sum(price_")
+
+
+def test_every_stage_leaves_its_tables(spark, finished):
+    out, _ = finished
+    rows = {
+        f"{stage}/{name}": spark.read.parquet(str(out / stage / name)).count()
+        for stage, names in {
+            "eda": ["column_gaps", "overview"],
+            "features": ["feature_summary", "rate_by_tenure", "rate_by_has_gas", "histogram_log", "bins_log", "density_log"],
+            "sensitivity": [
+                "price_level", "price_month_on_month", "rise_before_churn", "churn_after_rise", "churn_by_volatility", "segment_rates",
+            ],
+        }.items()
+        for name in names
+    }
+    assert all(rows.values())
+    assert rows["features/rate_by_tenure"] <= 5

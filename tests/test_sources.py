@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stayrate.config import Layout
+from stayrate.operators.model import feature_names
 from stayrate.sinks.files import prediction_table, write_features, write_predictions, write_report
 from stayrate.sources import files
 
@@ -116,3 +117,12 @@ def test_whole_numbers_are_whole_in_every_integral_type(spark, tmp_path):
         path.write_text("x\n1.7\n")
         with pytest.raises(Exception, match="not whole"):
             files.read_csv(spark, str(path), StructType().add("x", kind)).collect()
+
+
+def test_undeclared_numbers_are_typed_and_reach_the_model(spark, tmp_path):
+    text = "id,churn,amount,note,empty,mixed\na,1,7.25,x,,1\nb,0,NA,2,,1e3\nc,0,-3,y,,z\n"
+    df = files.read_csv(spark, write(tmp_path / "a.csv", text), files.client_schema())
+    assert dict(df.dtypes)["amount"] == "double" and dict(df.dtypes)["note"] == "string"
+    assert dict(df.dtypes)["empty"] == "string" and dict(df.dtypes)["mixed"] == "string"
+    assert feature_names(df, ["id", "churn"]) == ["amount"]
+    assert [r["amount"] for r in df.collect()] == [7.25, None, -3.0]

@@ -100,3 +100,20 @@ def test_synthetic_rows_lie_between_two_minority_rows(spark):
             for i, (x, y) in given.items()
             if i != row["id"]
         )
+
+
+def test_a_repeated_id_stops_the_split(spark):
+    df = spark.createDataFrame([(1, 0), (2, 1), (1, 0)], "id int, churn int")
+    with pytest.raises(ValueError, match="id 1 has 2 rows"):
+        split.stratified_split(df, "id", "churn")
+
+
+def test_rows_without_a_label_and_tiny_classes(spark):
+    df = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 2.0), ("c", 1, 3.0), ("d", None, 4.0)], "id string, churn int, x double")
+    rows = by_key(split.stratified_split(df, "id", "churn", 0.25, 5), "id")
+    assert set(rows) == {"a", "b", "c"} and rows["c"]["split"] == "test"
+    assert sorted(rows[i]["split"] for i in "ab") == ["test", "train"]
+    assert rows["b"]["x"] == 2.0
+    none = split.stratified_split(df, "id", "churn", 0.0, 2).collect()
+    assert {r["split"] for r in none} == {"train"} and {r["fold"] for r in none} <= {0, 1}
+    assert split.stratified_split(df.where("id = 'z'"), "id", "churn").count() == 0
