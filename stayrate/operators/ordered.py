@@ -9,6 +9,8 @@ only decide how evenly the work is spread.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -49,6 +51,25 @@ def with_value_bucket(df: DataFrame, value: str, cuts: Sequence[float]) -> DataF
     return bucketed.withColumn(BUCKET, F.col(BUCKET).cast("int"))
 
 
+def with_even_bucket(
+    df: DataFrame, value: str, hash_column: str, hash_range: int, buckets: int | None = None
+) -> DataFrame:
+    """Add a bucket number for rows in the order of ``value`` and, for equal values, of a hash.
+
+    A value that is more than one of the cuts fills buckets of its own: as many as
+    it is cuts, by the hash. So no bucket grows with the rows that share a value.
+    """
+    buckets = buckets or bucket_count(df)
+    found = Counter(df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets)))
+    heavy = {v: n for v, n in found.items() if n > 1}
+    cuts = sorted({*found, *(math.nextafter(v, math.inf) for v in heavy)})
+    parts = F.lit(1)
+    for v, n in heavy.items():
+        parts = F.when(F.col(value) == v, n).otherwise(parts)
+    part = F.floor(F.col(hash_column) * parts / F.lit(hash_range))
+    return with_value_bucket(df, value, cuts).withColumn(BUCKET, F.col(BUCKET) * buckets + part)
+
+
 def running_totals(
     df: DataFrame,
     order: Sequence[str],

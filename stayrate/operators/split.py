@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import quoted
 from ..session import durable
-from .ordered import cut_points, ranks, running_totals, with_value_bucket
+from .ordered import ranks, running_totals, with_even_bucket
 
 HASH_RANGE = 2**32
+#: Repeats of a row that one task makes at a time.
+COPIES = 4096
 
 
 def integer_hash(id: str | Column) -> Column:
@@ -118,24 +120,31 @@ def oversample(
 
     Each row is repeated floor(majority / minority) times; the first rows in
     hash order take one more to make up the remainder. ``copy`` numbers the
-    repeats from 1.
+    repeats from 1. Repeats are made in blocks that are dealt out first, so a few
+    rows that stand against very many do not make them all in one task. Rows
+    without a label are left out.
     """
     value = text_hash(id) if hash is None else hash
-    keys = df.select(id, label).withColumn("_hash", value)
-    ranked = ranks(keys, [label], "_hash", id, HASH_RANGE).select(id, "rank", "group_size")
+    few = df.where(F.col(label) == minority)
+    keys = few.select(id, value.alias("_hash"))
+    ranked = ranks(keys, [], "_hash", id, HASH_RANGE).select(id, "rank", "group_size")
     largest = (
         df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).scalar()
     )
-    times = F.when(
-        F.col(label) == minority,
-        F.floor(largest / F.col("group_size"))
-        + (F.col("rank") <= F.pmod(largest, F.col("group_size"))).cast("int"),
-    ).otherwise(F.lit(1))
-    return (
-        df.join(ranked, id)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int"))))
-        .drop("rank", "group_size")
+    times = F.floor(largest / F.col("group_size")) + (
+        F.col("rank") <= F.pmod(largest, F.col("group_size"))
+    ).cast("int")
+    block = F.col("_block") * COPIES
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    repeated = (
+        few.join(ranked.select(id, times.cast("bigint").alias("_times")), id)
+        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_times") - 1) / COPIES))))
+        .repartition(tasks, F.col(id), F.col("_block"))
+        .withColumn("copy", F.explode(F.sequence((block + 1).cast("int"), F.least(F.col("_times"), block + COPIES).cast("int"))))
+        .drop("_times", "_block")
     )
+    others = df.where(F.col(label) != minority).withColumn("copy", F.lit(1))
+    return others.unionByName(repeated)
 
 
 def synthetic_minority(
@@ -151,7 +160,7 @@ def synthetic_minority(
     """Even out the classes with new minority rows between neighbouring ones.
 
     Neighbours are the next rows in the order of a random projection of the
-    standardised features, so each new row costs two joins on a key and no
+    standardised features (of equal ones, in hash order), so each new row costs two joins on a key and no
     pairs are compared. A new row lies at a random place on the line from its
     origin (``id``) to the neighbour; ``copy`` is 1 for given rows. Features
     must not be null. ``df`` is read several times, so pass a stored table.
@@ -173,9 +182,9 @@ def synthetic_minority(
         if stats[f"s{i}"]:
             scaled = (F.col(quoted(f)) - stats[f"m{i}"]) / stats[f"s{i}"]
             projection += scaled * round(pick.gauss(0, 1), 3)
-    projected = few.withColumn("_p", projection)
-    bucketed = with_value_bucket(projected, "_p", cut_points(projected, "_p"))
-    placed = running_totals(bucketed, ["_p", id], {"rows": F.lit(1)}).select(
+    projected = few.withColumns({"_p": projection, "_hash": value})
+    bucketed = with_even_bucket(projected, "_p", "_hash", HASH_RANGE)
+    placed = running_totals(bucketed, ["_p", "_hash", id], {"rows": F.lit(1)}).select(
         id, *[quoted(f) for f in features], F.col("rows_before").alias("_place"), "rows_total"
     )
 

@@ -87,3 +87,17 @@ def test_buckets_stay_even_when_one_value_fills_nearly_all_rows(spark):
     found = ordered.value_counts_with_rank(rows, "x").groupBy(ordered.BUCKET).count()
     sizes = [r["count"] for r in found.collect()]
     assert len(sizes) > 100 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
+def test_rows_that_share_a_value_are_spread_by_their_hash(spark):
+    rows = spark.range(20_000).select(
+        "id",
+        F.when(F.col("id") % 10 > 0, 0.5).otherwise(F.col("id") / 20_000).alias("x"),
+        F.pmod(F.xxhash64("id"), F.lit(2**32)).alias("h"),
+    )
+    bucketed = ordered.with_even_bucket(rows, "x", "h", 2**32, 64)
+    sizes = [r["count"] for r in bucketed.groupBy(ordered.BUCKET).count().collect()]
+    assert max(sizes) <= 2 * 20_000 / 64
+    found = ordered.running_totals(bucketed, ["x", "h", "id"], {"n": F.lit(1)}).collect()
+    in_order = sorted(found, key=lambda r: (r["x"], r["h"], r["id"]))
+    assert [r["n_before"] for r in in_order] == list(range(20_000))

@@ -117,3 +117,11 @@ def test_rows_without_a_label_and_tiny_classes(spark):
     none = split.stratified_split(df, "id", "churn", 0.0, 2).collect()
     assert {r["split"] for r in none} == {"train"} and {r["fold"] for r in none} <= {0, 1}
     assert split.stratified_split(df.where("id = 'z'"), "id", "churn").count() == 0
+
+
+def test_many_copies_of_few_rows_come_in_blocks(spark):
+    df = spark.range(10_002).select("id", (F.col("id") < 2).cast("int").alias("churn"))
+    rows = split.oversample(df, "id", "churn").where("churn = 1").groupBy("id").agg(
+        F.count("copy").alias("n"), F.count_distinct("copy").alias("d"), F.max("copy").alias("last")
+    )
+    assert [tuple(r)[1:] for r in rows.collect()] == [(5000, 5000, 5000)] * 2
