@@ -50,6 +50,8 @@ def stratified_split(
     rows = df.where(F.col(label).isNotNull())
     keys = durable(rows.select(id, label, value.alias("_hash")))
     _require_unique(keys, id)
+    if set(df.columns) == {id, label}:
+        rows = keys.select(*df.columns)
     size = F.col("group_size")
     test_size = F.ceil(size * F.lit(test_share))
     ends = [test_size] + [test_size + F.ceil((size - test_size) * k / folds) for k in range(1, folds)]
