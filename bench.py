@@ -39,10 +39,16 @@ HEADLINE = [
     "threshold_sweep",
     "segment_rates",
     "at_risk_list",
+    "churn_after_rise",
+    "churn_by_volatility",
+    "oversample",
+    "synthetic_minority",
     "rf_predictions",
     "cv_auc",
+    "grid_search",
+    "permutation_importance",
 ]
-FITS = {"rf_predictions", "cv_auc"}
+FITS = {"rf_predictions", "cv_auc", "grid_search", "permutation_importance"}
 
 
 def run(spark, name: str, folder: str) -> float:
