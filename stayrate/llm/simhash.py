@@ -23,15 +23,22 @@ CROWD = 64
 _STEP = 65536
 
 
-def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
-    """The signed 64-bit fingerprint of a UTF-8 text; 0 without words."""
+def shingles(text: bytes, words: int) -> tuple[bytes, list[tuple[int, int]]]:
+    """The lower-cased words of a UTF-8 text, joined, and where each run of ``words`` of them lies; a shorter text is one run."""
     parts = text.lower().split()  # bytes: A-Z, and the white space \x20 \x09-\x0D alone
     if not parts:
-        return 0
+        return b"", []
     joined = b" ".join(parts)
     ends = [e - 1 for e in accumulate(len(p) + 1 for p in parts)]
     starts = [0, *(e + 1 for e in ends[:-1])]
-    spans = list(zip(starts, ends[words - 1 :])) or [(0, len(joined))]
+    return joined, list(zip(starts, ends[words - 1 :])) or [(0, len(joined))]
+
+
+def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
+    """The signed 64-bit fingerprint of a UTF-8 text; 0 without words."""
+    joined, spans = shingles(text, words)
+    if not spans:
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(spans), _STEP):
         hashes = np.fromiter((xxh64_intdigest(joined[s:e], seed) for s, e in spans[at : at + _STEP]), np.uint64)
