@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stayrate.llm.tables import SPACES, known
+from stayrate.llm.tables import SPACES, known, numbered
 from stayrate.session import durable
 
 LEAST, MOST = 256, 4096
@@ -112,6 +112,11 @@ def _ranked(cut: DataFrame, content: DataFrame, clashing: DataFrame, identify: C
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows of which an equal text stays; all columns are kept as they are."""
-    gone = groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    """``docs`` without the rows of which an equal text stays; all columns are kept as they are.
+
+    One row of each group stays: of those with the longest text, that with the smallest
+    id (a null id sorts first), and of rows that repeat an id the first of the stored rows.
+    """
+    stored, row, key = numbered(docs, F.col(id_col))
+    gone = groups(stored, key, text_col).where("not kept").select(F.col(f"{key}.row").alias(row))
+    return stored.join(gone, row, "left_anti").drop(row, key)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from stayrate.llm.components import components
-from stayrate.llm.tables import known
+from stayrate.llm.tables import known, numbered
 from stayrate.session import durable
 
 WORDS, SEED, DISTANCE = 3, 42, 2
@@ -123,8 +123,10 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each group of linked documents, all columns as they are."""
-    gone = (
-        linked(docs, id_col, text_col).where(f"{id_col} <> component_id").select(F.col(id_col).alias("_gone")).distinct()
-    )
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """One row of each group of linked documents, all columns as they are: that with the smallest id.
+
+    Of rows that repeat an id the first of the stored rows stays; null ids sort last.
+    """
+    stored, row, key = numbered(docs, F.col(id_col).isNull(), F.col(id_col))
+    gone = linked(stored, key, text_col).where(f"{key} <> component_id").select(F.col(f"{key}.row").alias(row))
+    return stored.join(gone, row, "left_anti").drop(row, key)

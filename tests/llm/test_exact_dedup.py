@@ -62,3 +62,15 @@ def test_chunks_cover_the_text_and_find_their_cuts_again(spark):
     assert "".join(a) == text and "".join(c) == "日本" * 9000
     assert max(map(len, a)) <= exact_dedup.MOST and len(a) > 8
     assert len(set(a) & set(b)) > 0.6 * len(a)
+
+
+def test_dedup_counts_rows_and_not_ids(spark, tmp_path):
+    rows = [(None, "a"), (1, " a"), (None, "b"), (2, "c"), (2, "d"), (3, "c c"), (4, "e"), (4, "e"), (4, None), (5, "cc ")]
+    for clash in ("", ", _row long, _key string"):
+        docs = spark.createDataFrame([(*r, *([None] * clash.count(","))) for r in rows], f"doc_id long, text string{clash}")
+        docs.write.parquet(f"{tmp_path}/docs{len(clash)}")
+        for table in (docs, spark.read.parquet(f"{tmp_path}/docs{len(clash)}")):
+            kept = exact_dedup.dedup(table)
+            assert kept.columns == docs.columns
+            found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+            assert found == sorted([(1, " a"), (None, "b"), (2, "c"), (2, "d"), (3, "c c"), (4, "e"), (4, None)], key=str)

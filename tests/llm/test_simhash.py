@@ -63,3 +63,9 @@ def test_empty_table_and_dedup(spark):
     kept = simhash.dedup(frame(spark, texts, CLASH))
     assert kept.columns == frame(spark, [], CLASH).columns
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+
+
+def test_dedup_counts_rows_and_not_ids(spark):
+    rows = [(None, words(50, 1)), (1, words(50, 1)), (None, words(50, 2)), (2, words(50, 1)), (2, words(50, 3)), (4, words(50, 4)), (4, words(50, 4))]
+    kept = simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted((rows[k] for k in (1, 2, 4, 5)), key=str)
