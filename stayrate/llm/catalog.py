@@ -40,9 +40,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directories are source/lang; a text whose first line is a notice alone speaks for its directory."""
-    opening = F.col("text").rlike(r"(?i)\A[^\n]{0,200}\blicen[sc]ed?\b[^\n]{0,200}(\n|\z)|\ASPDX-")
-    return licenses.scanned(read(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang"), opening)
+    """Directories are source/lang; a text with a notice in its header block speaks for its directory."""
+    return licenses.scanned(read(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,8 @@ TEMPLATES = {
 _WORD = "[a-z0-9]+"
 #: Ends of statements: line ends, and white space after a sentence's end.
 _ENDS = r"\n|(?<=[.!?])[\x20\x09\x0B-\x0D]+"
+#: What parts the header block from the rest: the first blank line, else the last line's or (in a single line) statement's start.
+_BLANK, _LAST, _END = r"\n[\x20\x09\x0B-\x0D]*\n", r"\n(?=[^\n]*\z)", r"(?<=[.!?])[\x20\x09\x0B-\x0D]+"
 
 
 class Weights:
@@ -127,24 +129,36 @@ def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def statements(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, name, score and whole of every statement, and every text as a whole, that is similar enough to a template."""
+    """id, name, score, whole and head of every statement, and every text as a whole, that is similar enough to a template.
+
+    head: the statement is in the text's header block, the lines up to its first blank line. A header is
+    followed by something: the last line of a text without blank lines (of a single line, its last statement) is in none.
+    """
     needed = "(?i)(?<![a-z0-9])(?:" + "|".join(weights.needed()) + ")(?![a-z0-9])"
     hit = docs.select(F.col(id_col).alias("id"), known(text_col).alias("text")).where(F.col("text").rlike(needed))
-    said = F.transform(F.filter(F.split("text", _ENDS), lambda x: x.rlike(needed)), lambda x: F.struct(x.alias("part"), F.lit(False).alias("whole")))
-    whole = F.array(F.struct(F.col("text").alias("part"), F.lit(True).alias("whole")))
-    every = hit.select("id", F.explode_outer(F.concat(said, whole)).alias("p")).select("id", "p.part", "p.whole")
-    return _similar(every, weights).select("id", "name", "score", "whole")
+    # Each of these ends a statement as well, so the two sides have the statements of the text.
+    trimmed = _held(hit, "trimmed", F.trim("text", F.lit(" \t\n\x0b\f\r")))
+    line = F.split("trimmed", _END)
+    single = F.array(F.array_join(F.slice(line, F.lit(1), F.size(line) - 1), " "), F.element_at(line, -1))
+    sides = F.when(F.col("trimmed").rlike(_BLANK), F.split("trimmed", _BLANK, 2)).when(F.col("trimmed").contains("\n"), F.split("trimmed", _LAST, 2))
+    sides = _held(trimmed, "sides", sides.otherwise(single))
+    item = lambda x, whole, head: F.struct(x.alias("part"), F.lit(whole).alias("whole"), F.lit(head).alias("head"))
+    said = lambda side, head: F.transform(F.filter(F.split(side, _ENDS), lambda x: x.rlike(needed)), lambda x: item(x, False, head))
+    parts = F.concat(said(F.get("sides", F.lit(0)), True), said(F.get("sides", F.lit(1)), False), F.array(item(F.col("text"), True, False)))
+    every = sides.select("id", F.explode_outer(parts).alias("p")).select("id", "p.part", "p.whole", "p.head")
+    return _similar(every, weights).select("id", "name", "score", "whole", "head")
 
 
 def scanned(
-    docs: DataFrame, directory: Column, statement_of_directory: Column, weights: Weights | None = None,
+    docs: DataFrame, directory: Column, statement_of_directory: Column | None = None, weights: Weights | None = None,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per document with its licence: its own, else that of the nearest directory above it.
 
     ``directory`` is the path of a document's directory, parts joined by '/';
     ``statement_of_directory`` says which documents' licence holds for their whole
-    directory (besides texts that are a licence as a whole). Where several do, the licence
+    directory (besides texts that are a licence as a whole); without it those do that have
+    a notice in their header block, with the most similar notice there. Where several do, the licence
     with the most of them holds, ties to the first name. A document with several notices
     has the most similar one, ties to the first name. Returns id_col, directory, own,
     own_score, license, license_directory ('' for the root) and basis ('own', 'inherited' or 'none'). Null texts
@@ -152,15 +166,18 @@ def scanned(
     An empty table gives no rows; other columns of ``docs`` play no part.
     """
     weights = weights or Weights(TEMPLATES)
+    ranked = F.struct((-F.col("score")).alias("minus"), "name")
     found = durable(
         statements(docs, weights, id_col, text_col)
         .groupBy("id")
-        .agg(F.min(F.struct((-F.col("score")).alias("minus"), "name")).alias("best"), F.max("whole").alias("whole"))
-        .select("id", F.col("best.name").alias("own"), (-F.col("best.minus")).alias("own_score"), "whole")
+        .agg(F.min(ranked).alias("best"), F.max("whole").alias("whole"), F.min(F.when(F.col("head"), ranked)).alias("top"))
+        .select("id", F.col("best.name").alias("own"), (-F.col("best.minus")).alias("own_score"), "whole", F.col("top.name").alias("top"))
     )
-    placed = docs.select(F.col(id_col).alias("id"), F.coalesce(directory, F.lit("")).alias("directory"), F.coalesce(statement_of_directory, F.lit(False)).alias("rules"))
+    rules = F.lit(None).cast("boolean") if statement_of_directory is None else F.coalesce(statement_of_directory, F.lit(False))
+    placed = docs.select(F.col(id_col).alias("id"), F.coalesce(directory, F.lit("")).alias("directory"), rules.alias("rules"))
     own = durable(placed.join(found, "id", "left"))
-    votes = own.where("own is not null and (rules or whole)").groupBy("directory", "own").agg(F.count("*").alias("n"))
+    voice = F.when(F.col("rules") | F.col("whole"), F.col("own")) if statement_of_directory is not None else F.coalesce("top", F.when(F.col("whole"), F.col("own")))
+    votes = own.select("directory", voice.alias("own")).where("own is not null").groupBy("directory", "own").agg(F.count("*").alias("n"))
     ruled = votes.groupBy("directory").agg(F.min(F.struct((-F.col("n")).alias("minus"), "own")).alias("best")).select(F.col("directory").alias("above"), F.col("best.own").alias("license"))
     # Every directory with each directory above it; the longest that rules is the nearest.
     parts = F.split("directory", "/")

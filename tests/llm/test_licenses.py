@@ -7,6 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from stayrate.llm import licenses
+from stayrate.llm.catalog import QUERIES
 from tests.llm.cases import awkward, frame, words
 
 W = licenses.Weights(licenses.TEMPLATES)
@@ -72,3 +73,19 @@ def test_nearest_directory_above_rules(spark):
     assert found[4] == found[6] == found[11] == (None, None, "none")
     assert found[10] == ("MIT", "m", "inherited") and found[14] == ("Apache-2.0", "t", "inherited") and found[None] == ("MIT", "a", "inherited")
     assert licenses.scanned(frame(spark, []), F.col("source"), F.lit(False)).collect() == []
+
+
+def test_a_notice_in_the_header_block_rules_the_directory(spark, tmp_path):
+    cc0, mit, apache = "Released under CC0 1.0.", "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    texts = {
+        "cc0": cc0 + "\n" + words(40, 1), "long": words(60, 2) + ". " + mit + " " + words(60, 3), "title": "\n \nThe title\nCopyright 2020 A.\n" + apache + "\n\n" + mit,
+        "below": "The title\n \n" + mit + "\n" + words(9, 4), "none": words(30, 5),
+        "foot": words(30, 6) + "\n" + words(30, 7) + "\n" + mit + " All rights reserved.\n", "end": words(30, 6) + ". " + mit,
+    }
+    rows = [(k, t, s, "en") for k, (s, t) in enumerate(texts.items())] + [(10 + k, "plain words", s, "en") for k, s in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.license, r.basis) for r in QUERIES["op7_licenses"](spark, str(tmp_path)).collect()}
+    assert [found[10 + k] for k in range(7)] == [
+        ("CC0-1.0", "inherited"), ("MIT", "inherited"), ("Apache-2.0", "inherited"), (None, "none"), (None, "none"), (None, "none"), (None, "none"),
+    ]
+    assert found[3] == found[5] == found[6] == ("MIT", "own")
