@@ -7,6 +7,7 @@ import json
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -20,8 +21,11 @@ from stayrate.llm.tables import known
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD = regex.compile(WORD_PATTERN)
 #: Runs between which WORD_PATTERN always parts: it looks no further back, and at most at the next space.
-_RUN = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Latin-1 letters are a run of their own before any other ASCII character, so that words recur whatever follows them.
+_RUN = regex.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-@\[-`{-\x7F]|\Z)| ?\S+|\s+(?!\S)|\s+")
 _CODERS: dict[str, Bpe] = {}
+#: What becomes of a run: how many ids, the ids as decimals, the bytes of their vocabulary strings.
+Coded = tuple[int, str, bytes]
 
 
 def byte_letters() -> list[str]:
@@ -44,33 +48,44 @@ class Bpe:
         byte_of = {c: b for b, c in enumerate(letters)}
         vocab = given["model"]["vocab"]
         self.of_byte = [vocab[c] for c in letters]
-        self.merges = {}
+        #: By rank: the two symbols and what they become; and the rank of two symbols, as one number.
+        self.joins, self.rank, self.size = [], {}, max(vocab.values()) + 1
         for rank, pair in enumerate(given["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.joins.append((vocab[a], vocab[b], vocab[a + b]))
+            self.rank[vocab[a] * self.size + vocab[b]] = rank
         self.bytes_of = {i: bytes(byte_of[c] for c in token) for token, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in given["added_tokens"]}
         self.bytes_of.update({i: content.encode() for content, i in self.special.items()})
         by_length = sorted(self.special, key=len, reverse=True)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")") if by_length else None
-        words = Recent(lambda keys: [tuple(self.merge(list(map(self.of_byte.__getitem__, k.encode())))) for k in keys])
+        symbols, spelled = self.of_byte.__getitem__, self.bytes_of.__getitem__
+        decimal = [str(i) for i in range(max(self.bytes_of) + 1)].__getitem__
 
-        def make(runs: list[str]) -> list[tuple[tuple[int, ...], str]]:
-            parts = [_WORD.findall(r) for r in runs]
-            flat = iter(words([w for part in parts for w in part]))
-            ids = [tuple(chain.from_iterable(next(flat) for _ in part)) for part in parts]
-            return [(x, ",".join(map(str, x))) for x in ids]
+        def code(word: str) -> list[int]:
+            return self.merge(list(map(symbols, word.encode())))
 
-        self.runs = Recent(make, 150_000)
+        words = Recent(lambda keys: list(map(code, keys)))
+
+        def make(runs: list[str]) -> list[Coded]:
+            # A run of Latin-1 letters, with or without a space before it, is one word; other runs share the words in them.
+            parts = [None if (r[1:] if r[0] == " " else r).isalpha() and max(r) <= "ÿ" else _WORD.findall(r) for r in runs]
+            flat = iter(words([w for part in parts if part for w in part]))
+            ids = [code(r) if part is None else list(chain.from_iterable([next(flat) for _ in part])) for r, part in zip(runs, parts)]
+            return [(len(x), ",".join(map(decimal, x)), b"".join(map(spelled, x))) for x in ids]
+
+        self.runs = Recent(make, 300_000)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Joins neighbours, the pair of lowest rank first and of equal ones the leftmost."""
-        n, find = len(symbols), self.merges.get
+        n, size, joins, find = len(symbols), self.size, self.joins, self.rank.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(*found, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (found := find((a, b)))]
+        # Rank and place as one number.
+        queue = [rank * n + i for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (rank := find(a * size + b)) is not None]
         heapify(queue)
         while queue:
-            _, joined, i, a, b = heappop(queue)
+            rank, i = divmod(heappop(queue), n)
+            a, b, joined = joins[rank]
             j = after[i]
             if symbols[i] != a or j == n or symbols[j] != b:
                 continue  # one of the two has been joined to another since
@@ -78,30 +93,32 @@ class Bpe:
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if found := find((joined, symbols[k])):
-                    heappush(queue, (*found, i, joined, symbols[k]))
-            if (h := before[i]) >= 0 and (found := find((symbols[h], joined))):
-                heappush(queue, (*found, h, symbols[h], joined))
+                if (rank := find(joined * size + symbols[k])) is not None:
+                    heappush(queue, rank * n + i)
+            if (h := before[i]) >= 0 and (rank := find(symbols[h] * size + joined)) is not None:
+                heappush(queue, rank * n + h)
         return [s for s in symbols if s >= 0]
 
-    def _pieces(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+    def _pieces(self, text: str) -> list[Coded]:
         if self.parts is None or not any(s in text for s in self.special):
             return self.runs(_RUN.findall(text))
-        found = []
+        found: list[Coded] = []
         for part in self.parts.split(text):
             if part in self.special:
-                found.append(((self.special[part],), str(self.special[part])))
+                at = self.special[part]
+                found.append((1, str(at), self.bytes_of[at]))
             else:
                 found += self.runs(_RUN.findall(part))
         return found
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self._pieces(text) for i in ids]
+        return [int(i) for _, said, _ in self._pieces(text) for i in said.split(",")]
 
-    def written(self, text: str) -> tuple[list[int], str]:
-        """The ids, and the ids as decimals with commas between."""
+    def round_trip(self, text: str) -> tuple[int, str, str]:
+        """How many ids a text has, the ids as decimals with commas between, and the text they decode to."""
         found = self._pieces(text)
-        return list(chain.from_iterable(ids for ids, _ in found)), ",".join([said for _, said in found])
+        n, said, spelled = (map(itemgetter(k), found) for k in range(3))
+        return sum(n), ",".join(said), b"".join(spelled).decode("utf-8", "replace")
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -115,7 +132,7 @@ def coder(path: str) -> Bpe:
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and the ids of every document; null texts are empty and have no ids."""
+    """id_col and the ids of every document; null texts are empty and have no ids. An empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
@@ -127,7 +144,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 
 def decoded(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """id_col and the text of every list of ids; a null list is empty."""
+    """id_col and the text of every list of ids; a null list is empty. An empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
@@ -154,10 +171,10 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             counts, first, second = [], [], []
             for text in batch.column("text").to_pylist():
-                ids, said = bpe.written(text)
-                counts.append(len(ids))
+                n, said, back = bpe.round_trip(text)
+                counts.append(n)
                 first.append(hashlib.sha256(said.encode()).hexdigest())
-                second.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+                second.append(hashlib.sha256(back.encode()).hexdigest())
             columns = [batch.column("id"), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
