@@ -114,9 +114,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Returns id_col, fingerprint (16 lowercase hex digits), component_id.
     """
     marked = durable(fingerprints(docs, id_col, text_col))
-    distinct = durable(marked.groupBy("fp").agg(F.min("id").alias("node")))
-    nodes = components(close_pairs(distinct.where("node is not null")))
-    roots = distinct.join(nodes, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    # Fingerprints are the nodes, so that rows without an id link others as any row does.
+    distinct = durable(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    nodes = components(close_pairs(distinct.select(F.col("fp").alias("node"), "fp"))).withColumnRenamed("node", "fp")
+    classes = durable(distinct.join(nodes, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root")))
+    first = durable(classes.groupBy("root").agg(F.min("least").alias("component_id")))
+    roots = classes.join(first, "root").select("fp", "component_id")
     return marked.join(roots, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -24,9 +24,9 @@ def known(text: str = "text") -> Column:
 def numbered(docs: DataFrame, *order: Column) -> tuple[DataFrame, str, str]:
     """``docs`` with two more columns, and their names: what tells a row from all others, and a key that no other row has.
 
-    A row of a table that is read from Parquet as it is stored has its place there (file and
-    row); other tables are stored with a number. The key is a struct that sorts by ``order``
-    and then by the first column, its last field, ``row``.
+    A row of a table that is read from Parquet as it is stored has its place there (a 64-bit
+    hash of the file's path, and the row); other tables are stored with a number. The key is a
+    struct that sorts by ``order`` and then by the first column, its last field, ``row``.
     """
     taken = {name.lower() for name in docs.columns}
     row, key = (next(x for k in range(len(taken) + 1) if (x := name + "_" * k) not in taken) for name in ("_row", "_key"))
@@ -44,7 +44,7 @@ def _placed(docs: DataFrame, row: str) -> DataFrame | None:
         return None
     try:
         meta = docs.metadataColumn("_metadata")
-        return docs.withColumn(row, F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("at")))
+        return docs.withColumn(row, F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("at")))
     except AnalysisException:
         return None
 
