@@ -3,7 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. A stage's result is written as Parquet and read
 again as the documents of the next. Null texts are empty texts: the classifier
-scores them, and of those that it keeps one stays. An empty table gives no rows.
+scores them, and of those that it keeps one stays. Rows count one by one: of repeated
+rows one stays, as of equal texts under one id; rows without an id are documents
+like others. No text is too long. An empty table gives no rows, and other columns
+go through all stages but the last untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stayrate.llm import exact_dedup, near_dedup, packing, pii, quality
+from stayrate.llm import exact_dedup, packing, pii, quality, simhash
 from stayrate.llm.tables import read
 from stayrate.session import durable
 
@@ -29,8 +32,8 @@ def unequal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles with a similarity of 0.8 or more."""
-    return near_dedup.dedup(docs)
+    """One document of each group whose fingerprints of word triples are linked: at most two differing bits."""
+    return simhash.dedup(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +42,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their token ids and their places in training sequences."""
+    """Pieces of documents with their token ids, as little-endian numbers, and their places in training sequences."""
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
