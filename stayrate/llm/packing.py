@@ -94,14 +94,21 @@ def encode_all(texts: list[str], words: Known) -> Iterator[bytes]:
             held, size = [], 0
 
 
+def id_type(path: str) -> str:
+    """The type of stored ids: 16 bits little-endian where every id of the tokenizer allows it, else 32."""
+    ids = Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()
+    return "<u2" if max(ids, default=0) < 1 << 16 else "<u4"
+
+
 def pieces(
     docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
 ) -> DataFrame:
     """Pieces of at most ``limit`` tokens of each document's ids and the end id 0.
 
-    Columns: id, piece, start, length, ids_crc32 and, if asked for, ids. Null texts
-    are empty: one piece of one token.
+    Columns: id, piece, start, length, ids_crc32 and, if asked for, ids (of ``id_type``, one
+    after the other). Null texts are empty: one piece of one token.
     """
+    kept = id_type(path) if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
@@ -111,18 +118,18 @@ def pieces(
                 ids = memoryview(packed_ids + END.to_bytes(4, "little"))
                 for piece, start in enumerate(range(0, len(ids) // 4, limit)):
                     cut = ids[4 * start : 4 * (start + limit)]
-                    rows.append((at, piece, start, len(cut) // 4, zlib.crc32(cut), np.frombuffer(cut, "<u4") if with_ids else None))
+                    rows.append((at, piece, start, len(cut) // 4, zlib.crc32(cut), np.frombuffer(cut, "<u4").astype(kept).tobytes() if with_ids else None))
             at, *columns, tokens = zip(*rows) if rows else [()] * 6
             arrays = [batch.column("id").take(pa.array(at, pa.int64()))]
             arrays += [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
             names = ["id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
-                arrays.append(pa.array([t.astype("int32") for t in tokens], pa.list_(pa.int32())))
+                arrays.append(pa.array(tokens, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
+    schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
     return docs.select(F.col(id_col).alias("id"), known(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -201,7 +208,7 @@ def packed(
     their own. Null and empty texts are one token, the end id. Rows that repeat an id
     are packed each for itself; a null id stays null. An empty table gives no rows;
     other columns of ``docs`` play no part. Returns id_col, piece, start, length,
-    ids_crc32, sequence_id, offset, and ids if asked for.
+    ids_crc32, sequence_id, offset, and ids if asked for (see ``pieces``).
     """
     stored = durable(pieces(docs, path, limit, id_col, text_col, with_ids).withColumn("item", F.monotonically_increasing_id()))
     # Places of items are below 2 ** 56, so a full piece's own number is no bin's.
@@ -216,6 +223,19 @@ def packed(
 
 
 def sequences(rows: DataFrame) -> DataFrame:
-    """The token ids of every sequence, from rows of ``packed(..., with_ids=True)``."""
-    held = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return rows.groupBy("sequence_id").agg(held.alias("held")).select("sequence_id", F.flatten("held.ids").alias("ids"))
+    """sequence_id and the token ids of every sequence, from rows of ``packed(..., with_ids=True)``.
+
+    Pieces follow each other by their offsets; no rows give none.
+    """
+    held = F.array_sort(F.collect_list(F.struct("offset", "ids", "length")))
+    joined = F.aggregate("held", F.lit(b""), lambda done, x: F.concat(done, x["ids"]))
+    width = F.octet_length(F.element_at("held.ids", 1)) / F.element_at("held.length", 1)
+    given = rows.groupBy("sequence_id").agg(held.alias("held")).select("sequence_id", joined.alias("ids"), width.cast("int").alias("width"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist())
+            ids = [np.frombuffer(data, f"<u{width}").astype(np.int32) for data, width in both]
+            yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), pa.array(ids, pa.list_(pa.int32()))], ["sequence_id", "ids"])
+
+    return given.mapInArrow(run, "sequence_id bigint, ids array<int>")
