@@ -9,11 +9,11 @@ difference that its vector makes between the two classes.
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import islice
-from operator import eq, itemgetter
+from itertools import accumulate, chain, islice
+from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,9 @@ def sample(
 
     Only of rows that may be learned from, and taken by the hash of the id, so alike on
     every run. Labels that are null, neither 0 nor 1, or contradict each other are left out.
+    Rows of equal id and text count once, so a table ingested twice gives the same sample; of
+    an id with several texts each is taken, with the label of the id. Null ids have no
+    label. No labels, or no documents, give no rows.
     """
     marks = (
         labels.where(~held_out(id_col) & F.col(label).isin(0, 1))
@@ -64,16 +67,18 @@ def sample(
     order = [F.xxhash64("_id"), F.col("_id")]
     # The ids first, so that no text moves but those of the sample.
     ids = texts.select("_id").join(marks, "_id").groupBy("_id").agg(F.min("_label").alias("_label")).orderBy(*order).limit(rows)
-    found = texts.join(F.broadcast(ids), "_id").orderBy(*order, "_text").limit(rows).collect()
+    found = texts.join(F.broadcast(ids), "_id").distinct().orderBy(*order, "_text").limit(rows).collect()
     return [(r["_text"], int(r["_label"])) for r in found]
 
 
 def word_buckets(word: str, t: Training) -> list[int]:
     """Buckets of the word and of the character n-grams in it, its ends marked."""
     marked = f"<{word}>"
-    sizes = range(t.shortest_gram, t.longest_gram + 1)
-    grams = [marked[i : i + n] for n in sizes for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode()) % t.buckets for g in (f"w{word}", *grams)]
+    data, n = marked.encode(), len(marked)
+    # Where each character begins in UTF-8.
+    at = range(n + 1) if len(data) == n else [0, *accumulate(len(c.encode()) for c in marked)]
+    grams = [data[at[i] : at[i + k]] for k in range(t.shortest_gram, t.longest_gram + 1) for i in range(n - k + 1)]
+    return [crc32(g) % t.buckets for g in (b"w" + data[1:-1], *grams)]
 
 
 def echoes(words: list[str], t: Training) -> list[int]:
@@ -82,7 +87,47 @@ def echoes(words: list[str], t: Training) -> list[int]:
 
 
 def echo_buckets(t: Training) -> list[int]:
-    return [zlib.crc32(b"echo %d" % k) % t.buckets for k in range(1, t.furthest + 1)]
+    return [crc32(b"echo %d" % k) % t.buckets for k in range(1, t.furthest + 1)]
+
+
+def _crc_table() -> np.ndarray:
+    """What a byte does to a CRC-32, by the rule of its polynomial."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def gram_sums(words: list[str], weights: np.ndarray, t: Training) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the sum of the weights of its ``word_buckets``, and how many these are: all words side by side."""
+    text = "".join([f"<{w}>" for w in words])
+    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    # Where each character begins, which word it is in, and how many characters of the word are left from it on.
+    at = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    of = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(of))
+    whole = np.fromiter((crc32(w.encode("utf-8", "replace"), _W) for w in words), np.int64, len(words))
+    total, count = weights[whole % t.buckets].astype(float), np.ones(len(words), np.int64)
+    for k in range(t.shortest_gram, t.longest_gram + 1):
+        first = np.flatnonzero(left >= k)
+        start, size = at[first], at[first + k] - at[first]
+        crc = np.full(len(first), 0xFFFFFFFF, np.uint32)
+        for step in range(size.max(initial=0)):
+            on = size > step
+            byte = data[np.minimum(start + step, len(data) - 1)]
+            crc = np.where(on, _CRC[(crc ^ byte) & 0xFF] ^ crc >> 8, crc)
+        total += np.bincount(of[first], weights[(~crc).astype(np.int64) % t.buckets], len(words))
+        count += np.bincount(of[first], minlength=len(words))
+    return total, count
+
+
+_W = crc32(b"w")
+#: Words that are looked up at once.
+_STEP = 50_000
 
 
 @dataclass(frozen=True)
@@ -93,23 +138,41 @@ class Model:
     bias: float
     training: Training
 
-    def scorer(self):
-        """A function from text to score that remembers words met lately."""
+    def scorer(self) -> Callable[[list[str]], list[float]]:
+        """A function from texts to scores that remembers words met lately."""
 
         def make(words: list[str]) -> list[tuple[float, int]]:
-            found = [word_buckets(w, self.training) for w in words]
-            return [(float(self.weights[b].sum()), len(b)) for b in found]
+            total, count = gram_sums(words, self.weights, self.training)
+            return list(zip(total.tolist(), count.tolist()))
 
         recent = Recent(make)
         marks = self.weights[echo_buckets(self.training)].astype(float)
 
-        def score(text: str) -> float:
-            words = text.split()
-            values = recent(words)
-            same = echoes(words, self.training)
-            n = sum(map(itemgetter(1), values)) + sum(same)
-            total = sum(map(itemgetter(0), values)) + float(marks @ same)
-            return float(1 / (1 + np.exp(-(self.bias + (total / n if n else 0.0)))))
+        def some(texts: list[list[str]]) -> Iterator[float]:
+            found = recent(list(chain.from_iterable(texts)))
+            values = np.array(found, float).reshape(-1, 2)
+            # Equal words have the same pair, and others have another.
+            same = np.fromiter(map(id, found), np.int64, len(found))
+            end = 0
+            for words in texts:
+                start, end = end, end + len(words)
+                own = same[start:end]
+                echo = np.array([np.count_nonzero(own[k:] == own[:-k]) for k in range(1, self.training.furthest + 1)])
+                total, n = values[start:end].sum(axis=0)
+                total, n = total + float(marks @ echo), n + echo.sum()
+                yield float(1 / (1 + np.exp(-(self.bias + (total / n if n else 0.0)))))
+
+        def score(texts: list[str]) -> list[float]:
+            scores: list[float] = []
+            held: list[list[str]] = []
+            size = 0
+            for at, text in enumerate(texts):
+                held.append(text.split())
+                size += len(held[-1])
+                if size >= _STEP or at == len(texts) - 1:
+                    scores += some(held)
+                    held, size = [], 0
+            return scores
 
         return score
 
@@ -162,7 +225,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in batches:
-            found = pa.array([score(x) for x in batch.column("text").to_pylist()], pa.float64())
+            found = pa.array(score(batch.column("text").to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), found], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -173,12 +236,16 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with a score of 0.5 or more, all columns as they are."""
+    """The documents with a score of 0.5 or more, all columns as they are.
+
+    Null texts are empty and get the score of the bias. Rows count one by one, so repeated
+    rows stay or go together; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            yield batch.filter(pa.array([score(x or "") >= 0.5 for x in texts], pa.bool_()))
+            scores = score([x or "" for x in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array([s >= 0.5 for s in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
