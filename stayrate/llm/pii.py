@@ -85,9 +85,10 @@ def written(spans: list[Span]) -> str:
 
 # --- Proposals ---------------------------------------------------------------
 
-_NUMBER = re.compile(r"(?<![0-9])[+(]?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,30}(?![0-9])")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,256}(?![A-Za-z0-9_+/=-])")
-_HIDDEN_AT = re.compile(r"(?<!\S)[A-Za-z0-9._+-]{1,64}\s?[\[(]\s?at\s?[\])]\s?[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[A-Za-z0-9-]{1,63}){1,4}")
+# None has a greatest length; runs are possessive, so time stays linear in them.
+_NUMBER = re.compile(r"(?<![0-9])[+(]?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,}+")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+")
+_HIDDEN_AT = re.compile(r"(?<!\S)[A-Za-z0-9._+-]++\s?[\[(]\s?at\s?[\])]\s?[A-Za-z0-9-]++(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[A-Za-z0-9-]++)+")
 _NEAR = 32
 
 # Words beside a span that speak for or against it.

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -106,3 +107,20 @@ def test_trees_learn_an_interaction():
     x = np.random.default_rng(1).uniform(-1, 1, (2000, 3))
     y = (x[:, 0] * x[:, 1] > 0).astype(float)
     assert ((boost(x[:1500], y[:1500]).probability(x[1500:]) >= 0.5) == y[1500:].astype(bool)).mean() > 0.9
+
+
+@pytest.mark.parametrize("size", [40, 256, 257, 300, 1000, 20_000])
+def test_long_secrets_are_redacted(model, size):
+    pick = np.random.default_rng(size)
+    key = "".join(pick.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), size))
+    text = f'the token = "{key}" is theirs'
+    assert pii.redact(text, model.spans(text)[1]) == 'the token = "[SECRET]" is theirs'
+    mail = f"{key} [at] {key}.org"
+    assert ("email", 6, 6 + len(mail)) in pii.proposals(f"reach {mail} now")
+
+
+def test_long_runs_take_linear_time(model):
+    for text in ("a1" * 500_000, "1" * 1_000_000, "1 2." * 250_000, "a1-" * 300_000 + " [at] b", "x@" * 300_000):
+        began = time.perf_counter()
+        model.spans(text)
+        assert time.perf_counter() - began < 20
