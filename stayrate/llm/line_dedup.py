@@ -12,8 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from stayrate.llm.tables import SPACES, known
+from stayrate.llm.tables import SPACES, known, numbered
 from stayrate.session import durable
 
 SHORT = 8
@@ -147,7 +148,7 @@ def within(a: str, b: str) -> Column:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines (id, at) that are not kept, and ``near``: whether an earlier line is equal (false) or within the bound.
 
-    Earlier is by id, then line number. A line goes if any earlier line is equal or
+    ``id_col`` must tell rows apart (see ``_told_apart``). Earlier is by id, then line number. A line goes if any earlier line is equal or
     within the bound, whether that one stays or not. Lines without words never go.
     """
     every = lines(docs, id_col, text_col)
@@ -168,28 +169,41 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def _told_apart(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, and its name: a struct of the id and of what tells rows of one id apart."""
+    stored, row, key = numbered(docs)
+    kind = stored.schema[row].dataType
+    parts = [F.col(f"{row}.{f}").alias(f) for f in kind.names] if isinstance(kind, StructType) else [F.col(row).alias("row")]
+    return stored.withColumn(key, F.struct(F.col(id_col).alias("id"), *parts)).drop(row), key
+
+
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: n_lines (with words), n_equal and n_near (lines that go), dropped (their numbers from 0).
 
-    Null and empty texts have no lines. Ids are taken to be unique and not null: rows with
-    a null id keep all lines, and rows that repeat an id share the numbers of what goes.
+    Null and empty texts have no lines. Rows count one by one: those that repeat an id
+    are in the order in which they are stored, and a null id comes before all others.
     An empty table gives no rows; other columns of ``docs`` play no part.
     """
-    ids = docs.select(F.col(id_col).alias("id"), F.size(F.filter(F.split(known(text_col), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"))
-    gone = repeats(docs.where(F.col(id_col).isNotNull()), id_col, text_col).distinct()
-    per = gone.groupBy("id").agg(
+    stored, key = _told_apart(docs, id_col)
+    n_lines = F.size(F.filter(F.split(known(text_col), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
+    rows = stored.select(F.col(key).alias("id"), n_lines.alias("n_lines"))
+    per = repeats(stored, key, text_col).groupBy("id").agg(
         F.count_if(~F.col("near")).alias("n_equal"), F.count_if("near").alias("n_near"), F.array_sort(F.collect_list("at")).alias("dropped")
     )
-    return ids.join(per, "id", "left").select(
-        F.col("id").alias(id_col), "n_lines", F.coalesce("n_equal", F.lit(0)).alias("n_equal"),
+    return rows.join(per, "id", "left").select(
+        F.col("id.id").alias(id_col), "n_lines", F.coalesce("n_equal", F.lit(0)).alias("n_equal"),
         F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"),
     )
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the texts of the lines that stay; other columns are kept as they are, null texts stay null."""
-    gone = repeats(docs.where(F.col(id_col).isNotNull()), id_col, text_col).groupBy(F.col("id").alias("_line_id")).agg(F.collect_set("at").alias("_line_gone"))
-    joined = docs.join(gone, docs[id_col] == gone["_line_id"], "left")
-    stay = F.filter(F.split(docs[text_col], "\n"), lambda x, i: ~F.array_contains(gone["_line_gone"], i))
-    text = F.when(gone["_line_gone"].isNull(), docs[text_col]).otherwise(F.array_join(stay, "\n"))
-    return joined.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
+    """``docs`` with the texts of the lines that stay; other columns are kept as they are, null texts stay null.
+
+    Rows count one by one, as in ``counted``: of a repeated row the lines of the first stay.
+    """
+    stored, key = _told_apart(docs, id_col)
+    gone = repeats(stored, key, text_col).groupBy(F.col("id").alias("_line_id")).agg(F.collect_set("at").alias("_line_gone"))
+    joined = stored.join(gone, stored[key] == gone["_line_id"], "left")
+    stay = F.filter(F.split(stored[text_col], "\n"), lambda x, i: ~F.array_contains(gone["_line_gone"], i))
+    text = F.when(gone["_line_gone"].isNull(), stored[text_col]).otherwise(F.array_join(stay, "\n"))
+    return joined.select(*(text.alias(c) if c == text_col else stored[c] for c in docs.columns))

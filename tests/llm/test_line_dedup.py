@@ -4,7 +4,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from stayrate.llm import line_dedup
 from tests.llm.cases import CLASH, awkward, frame, words
@@ -100,6 +99,24 @@ def test_texts_without_the_lines(spark):
     assert out.columns == docs.columns
     assert {r.doc_id: r.text for r in out.collect()} == {0: texts[0], 1: "y\n\nz", 2: None, 3: ""}
     assert line_dedup.counted(frame(spark, [])).collect() == []
-    null = spark.createDataFrame([(None, "a\na"), (1, "a")], "doc_id long, text string")
-    assert sorted(((r.doc_id, r.dropped) for r in line_dedup.counted(null).collect()), key=str) == [(1, ""), (None, "")]
-    assert line_dedup.dedup(null).where(F.col("doc_id").isNull()).first().text == "a\na"
+
+
+def test_rows_count_one_by_one(spark):
+    # A null id comes first; rows of one id in the order in which they are stored.
+    null = spark.createDataFrame([(1, "a"), (None, "a\na"), (None, "b")], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.dropped) for r in line_dedup.counted(null).collect()), key=str) == [(1, "0"), (None, ""), (None, "1")]
+    assert sorted((tuple(r) for r in line_dedup.dedup(null).collect()), key=str) == [(1, ""), (None, "a"), (None, "b")]
+    line, mine, own = "one two three four five six seven eight nine", "only here: four five six seven eight", "z y x w v u t s"
+    rows = [(1, f"{line}\n{mine}"), (2, f"{line}\nq"), (2, f"{own}\nr"), (2, f"{line}\nq")]
+    docs = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, id long").coalesce(1)
+    found = sorted((r.doc_id, r.n_lines, r.dropped) for r in line_dedup.counted(docs).collect())
+    assert found == [(1, 2, ""), (2, 2, ""), (2, 2, "0"), (2, 2, "0,1")]
+    assert sorted(r.text for r in line_dedup.dedup(docs).collect()) == sorted([rows[0][1], "q", rows[2][1], ""])
+
+
+def test_rows_of_files_count_one_by_one(spark, tmp_path):
+    docs = frame(spark, ["a\nb", "c"]).repartition(2)
+    for _ in range(2):
+        docs.write.mode("append").parquet(str(tmp_path / "twice"))
+    rows = line_dedup.counted(spark.read.parquet(str(tmp_path / "twice"))).collect()
+    assert sorted((r.doc_id, r.dropped) for r in rows) == [(0, ""), (0, "0,1"), (1, ""), (1, "0")]
