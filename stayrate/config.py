@@ -112,7 +112,10 @@ class Settings:
 
     reference_date: date = date(2016, 1, 1)
     min_category_count: int = 100
+    # The feature table has a column per frequent category up to this number (or as
+    # ``wide_categories`` says); beyond it the columns stay text, and models use vectors.
     max_categories: int = 1000
+    wide_categories: bool | None = None
     histogram_bins: int = 50
     log_bins: int = 30
     # Tenures with the highest churn rate that the feature job lists.

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import numeric, quoted
 from ..session import durable, pinned
+from .encode import Categories
 from .evaluate import binary_metrics, roc_auc
 from .ordered import ranks
 from .split import HASH_RANGE, with_class_weights
@@ -29,6 +30,7 @@ VECTOR = "features"
 WEIGHT = "weight"
 SCORE = "score"
 FOLD = "fold"
+NO_CATEGORIES = Categories([], [], [])
 
 
 def feature_names(df: DataFrame, exclude: Sequence[str]) -> list[str]:
@@ -81,24 +83,33 @@ def boosted_trees(label: str, rounds: int, max_depth: int, seed: int) -> GBTClas
     )
 
 
-def _with_inputs(df: DataFrame, features: Sequence[str]) -> DataFrame:
+def _with_inputs(
+    df: DataFrame, features: Sequence[str], categories: Categories = NO_CATEGORIES
+) -> DataFrame:
     """Add the features under plain names: category values can hold dots and spaces."""
-    return df.withColumns(
+    named = df.withColumns(
         {f"_in{i}": F.col(quoted(c)).cast("double") for i, c in enumerate(features)}
     )
+    return categories.with_texts(named) if categories.columns else named
 
 
 def fit(
-    train: DataFrame, features: Sequence[str], classifier, label: str, impute: bool = True
+    train: DataFrame,
+    features: Sequence[str],
+    classifier,
+    label: str,
+    impute: bool = True,
+    categories: Categories = NO_CATEGORIES,
 ) -> PipelineModel:
     """Fit on balanced class weights; nulls become training medians.
 
+    The places of ``categories`` follow the features in the vector, which stays sparse.
     With ``impute=False`` a null feature is an error. A tree fit passes over
     its input several times before it keeps its own copy, so the assembled
     vectors are kept for the length of the fit (spilling to disk, and rebuilt
     from the checkpointed rows if an executor is lost).
     """
-    prepared, weighted = _prepare(train, features, label, impute)
+    prepared, weighted = _prepare(train, features, label, impute, categories)
     vectors = prepared.transform(weighted).select(label, WEIGHT, VECTOR)
     vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -109,25 +120,36 @@ def fit(
 
 
 def _prepare(
-    train: DataFrame, features: Sequence[str], label: str, impute: bool = True
+    train: DataFrame,
+    features: Sequence[str],
+    label: str,
+    impute: bool = True,
+    categories: Categories = NO_CATEGORIES,
 ) -> tuple[PipelineModel, DataFrame]:
     """Stages from features to a vector, fitted on ``train``, and ``train`` with weights and inputs."""
     stages: list = []
     inputs = [f"_in{i}" for i in range(len(features))]
-    if impute:
+    if impute and inputs:
         filled = [f"_filled{i}" for i in range(len(features))]
         stages.append(
             Imputer(strategy="median", inputCols=inputs, outputCols=filled, relativeError=0.001)
         )
         inputs = filled
+    stages += categories.stages
+    inputs = [*inputs, *categories.vectors]
     stages.append(VectorAssembler(inputCols=inputs, outputCol=VECTOR, handleInvalid="error"))
-    weighted = with_class_weights(_with_inputs(train, features), label, WEIGHT)
+    weighted = with_class_weights(_with_inputs(train, features, categories), label, WEIGHT)
     return Pipeline(stages=stages).fit(weighted), weighted
 
 
-def score(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
+def score(
+    model: PipelineModel,
+    df: DataFrame,
+    features: Sequence[str],
+    categories: Categories = NO_CATEGORIES,
+) -> DataFrame:
     """``df`` with predicted class (``prediction``) and P(class 1) (``score``)."""
-    scored = model.transform(_with_inputs(df, features)).withColumn(SCORE, vector_to_array("probability").getItem(1))
+    scored = model.transform(_with_inputs(df, features, categories)).withColumn(SCORE, vector_to_array("probability").getItem(1))
     return scored.select(
         *[F.col(quoted(c)) for c in df.columns], F.col("prediction").cast("int"), SCORE
     )
@@ -142,7 +164,13 @@ class Fold:
 
 
 def fold_vectors(
-    train: DataFrame, features: Sequence[str], id: str, label: str, folds: int, parallelism: int = 5
+    train: DataFrame,
+    features: Sequence[str],
+    id: str,
+    label: str,
+    folds: int,
+    parallelism: int = 5,
+    categories: Categories = NO_CATEGORIES,
 ) -> list[Fold]:
     """Medians, weights and vectors of every fold, worked out once for all candidates.
 
@@ -151,8 +179,10 @@ def fold_vectors(
     """
 
     def one(k: int) -> Fold:
-        prepared, weighted = _prepare(train.where(F.col(FOLD) != k), features, label)
-        held_out = prepared.transform(_with_inputs(train.where(F.col(FOLD) == k), features))
+        outside = train.where(F.col(FOLD) != k)
+        prepared, weighted = _prepare(outside, features, label, categories=categories)
+        inside = _with_inputs(train.where(F.col(FOLD) == k), features, categories)
+        held_out = prepared.transform(inside)
         return Fold(
             pinned(prepared.transform(weighted).select(label, WEIGHT, VECTOR)),
             pinned(held_out.select(id, label, FOLD, VECTOR)),
@@ -196,9 +226,10 @@ def cross_validated_scores(
     label: str,
     folds: int,
     parallelism: int = 5,
+    categories: Categories = NO_CATEGORIES,
 ) -> DataFrame:
     """Score of every training row by the model that did not see its fold."""
-    vectors = fold_vectors(train, features, id, label, folds, parallelism)
+    vectors = fold_vectors(train, features, id, label, folds, parallelism, categories)
     return fold_scores(vectors, {"": classifier}, id, label, parallelism).drop("params")
 
 
@@ -210,9 +241,12 @@ def cross_validate(
     label: str,
     folds: int,
     parallelism: int = 5,
+    categories: Categories = NO_CATEGORIES,
 ) -> DataFrame:
     """(fold, n_pos, n_neg, auc) rows."""
-    scores = cross_validated_scores(train, features, classifier, id, label, folds, parallelism)
+    scores = cross_validated_scores(
+        train, features, classifier, id, label, folds, parallelism, categories
+    )
     return roc_auc(scores, label, SCORE, [FOLD])
 
 
@@ -223,10 +257,15 @@ def fold_summary(per_fold: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def importances(model: PipelineModel, features: Sequence[str], df: DataFrame) -> DataFrame:
+def importances(
+    model: PipelineModel,
+    features: Sequence[str],
+    df: DataFrame,
+    categories: Categories = NO_CATEGORIES,
+) -> DataFrame:
     """(feature, importance): mean decrease in impurity, one row per feature."""
     values = model.stages[-1].featureImportances.toArray()
-    rows = [(name, float(v)) for name, v in zip(features, values)]
+    rows = [(name, float(v)) for name, v in zip([*features, *categories.names], values)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
@@ -241,10 +280,13 @@ def compare_models(
     classifiers: Mapping[str, object],
     id: str,
     label: str,
+    categories: Categories = NO_CATEGORIES,
 ) -> DataFrame:
     """Threshold measures and AUC of several classifiers on the same split."""
     parts = [
-        score(fit(train, features, classifier, label), test, features).select(
+        score(
+            fit(train, features, classifier, label, categories=categories), test, features, categories
+        ).select(
             F.lit(name).alias("model"), id, label, "prediction", SCORE
         )
         for name, classifier in classifiers.items()
@@ -264,6 +306,7 @@ def grid_search(
     label: str,
     folds: int,
     parallelism: int = 5,
+    categories: Categories = NO_CATEGORIES,
 ) -> DataFrame:
     """Cross-validated AUC per parameter map, best first.
 
@@ -274,7 +317,7 @@ def grid_search(
         ", ".join(f"{p.name}={v}" for p, v in sorted(params.items(), key=lambda i: i[0].name)): classifier.copy(params)
         for params in param_maps
     }
-    vectors = fold_vectors(train, features, id, label, folds, parallelism)
+    vectors = fold_vectors(train, features, id, label, folds, parallelism, categories)
     scored = fold_scores(vectors, candidates, id, label, parallelism)
     per_fold = roc_auc(scored, label, SCORE, ["params", FOLD])
     return fold_summary(per_fold, ["params"]).orderBy(F.desc("auc_mean"), F.asc("params"))

@@ -12,7 +12,7 @@ from ..config import Layout, Settings
 from ..functions.columns import present, quoted, with_prefix
 from ..functions.encode import flag, log10p1, tenure_years, whole_months_until
 from ..operators.distribution import auto_bins, density, histogram
-from ..operators.encode import category_lists, one_hot_wide
+from ..operators.encode import category_lists, frequent_categories, one_hot_wide
 from ..operators.price import price_features
 from ..operators.profile import rate_by, rate_by_descending
 from ..session import durable
@@ -52,18 +52,29 @@ def build_features(
 
     ``stage`` writes the joined table once: the list of frequent categories and
     the final projection both read it, and categories are counted after the
-    join has dropped customers without prices.
+    join has dropped customers without prices. With more frequent categories than
+    ``max_categories`` (or where the settings say so) their columns stay text, one
+    value a row; the model job makes sparse vectors of them.
     """
     joined = stage(clients.join(price_features(prices, layout), layout.id))
+    encoded = flag_features(date_features(joined, layout, settings), layout)
     columns = present(joined, layout.category_columns)
-    categories = category_lists(
-        joined, columns, settings.min_category_count, settings.max_categories
-    )
-    dated = date_features(joined, layout, settings)
-    encoded = one_hot_wide(flag_features(dated, layout), categories)
+    if _wide(joined, columns, settings):
+        categories = category_lists(
+            joined, columns, settings.min_category_count, settings.max_categories
+        )
+        encoded = one_hot_wide(encoded, categories)
     return _doubles(log_features(encoded, layout).drop(*layout.redundant_columns))
 
 
+def _wide(joined: DataFrame, columns: list[str], settings: Settings) -> bool:
+    """Whether the categories become columns: as set, else while there are few enough."""
+    if settings.wide_categories is not None:
+        return settings.wide_categories
+    frequent = frequent_categories(joined, columns, settings.min_category_count)
+    return frequent.limit(settings.max_categories + 1).count() <= settings.max_categories
+
+
 def descriptions(
     features: DataFrame, layout: Layout = Layout(), settings: Settings = Settings()
 ) -> dict[str, DataFrame]:
@@ -71,7 +82,7 @@ def descriptions(
     logs = present(features, layout.density_columns)
     flags = present(features, layout.flag_columns)
     tables = {
-        "feature_summary": feature_summary(features, layout),
+        "feature_summary": feature_summary(features, layout, settings),
         "rate_by_tenure": rate_by_descending(
             features, layout.tenure, layout.label, top=settings.top_tenures
         ),
@@ -84,20 +95,27 @@ def descriptions(
     return tables
 
 
-def feature_summary(features: DataFrame, layout: Layout = Layout()) -> DataFrame:
-    """One row: rows, columns and how many features each step has added."""
+def feature_summary(
+    features: DataFrame, layout: Layout = Layout(), settings: Settings = Settings()
+) -> DataFrame:
+    """One row: rows, columns and how many features each step has added.
+
+    Frequent categories of columns that are still text count as the dummies they become.
+    """
     price_names = [
         *layout.first_last_features.values(),
         *[f"{s}_mean_diff" for s in layout.spreads],
         *[f"{s}_max_monthly_diff" for s in layout.spreads],
     ]
     dummies = [c for p in layout.category_columns for c in with_prefix(features, f"{p}_")]
+    texts = present(features, layout.category_columns)
+    more = frequent_categories(features, texts, settings.min_category_count).count() if texts else 0
     counts = {
         "n_columns": len(features.columns),
         "n_price_features": len(present(features, price_names)),
         "n_month_features": len(present(features, layout.month_features)),
         "n_log_features": len(present(features, layout.log_columns)),
-        "n_dummies": len(dummies),
+        "n_dummies": len(dummies) + more,
     }
     return features.agg(
         F.count(F.lit(1)).alias("n_rows"),

@@ -7,11 +7,15 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import Layout, Settings
+from ..functions.columns import present
 from ..operators import evaluate
+from ..operators.encode import Categories, category_vectors
 from ..operators.model import (
     FOLD,
+    NO_CATEGORIES,
     SCORE,
     cross_validate,
     feature_names,
@@ -27,11 +31,17 @@ from ..session import durable
 
 @dataclass(frozen=True)
 class Prepared:
-    """Split feature rows and the names of the features."""
+    """Split feature rows, the names of the features, and category columns that become vectors."""
 
     train: DataFrame
     test: DataFrame
     features: list[str]
+    categories: Categories = NO_CATEGORIES
+
+    @property
+    def columns(self) -> list[str]:
+        """The columns that the vectors are made of."""
+        return [*self.features, *self.categories.columns]
 
 
 @dataclass(frozen=True)
@@ -47,16 +57,21 @@ def prepare(
     settings: Settings = Settings(),
     hash: Column | None = None,
 ) -> Prepared:
+    """Split and place the rows. Category columns that are still text become sparse vectors."""
     features = features.drop(layout.index_artefact)
     names = feature_names(features, [layout.id, layout.label])
+    texts = [c for c in present(features, layout.category_columns) if features.schema[c].dataType == StringType()]
+    categories = category_vectors(features, texts, settings.min_category_count) if texts else NO_CATEGORIES
     parts = stratified_split(
         features, layout.id, layout.label, settings.test_share, settings.folds, hash
     )
-    table = training_table(parts, layout.id, [layout.label, "split", FOLD], names)
+    keep = [layout.label, "split", FOLD, *categories.columns]
+    table = training_table(parts, layout.id, keep, names)
     return Prepared(
         table.where(F.col("split") == "train").drop("split"),
         table.where(F.col("split") == "test").drop("split", FOLD),
         names,
+        categories,
     )
 
 
@@ -74,11 +89,12 @@ def fit_and_score(
     The scored rows are written once, because every curve and measure reads
     them.
     """
-    model = fit(parts.train, parts.features, classifier(layout, settings), layout.label)
+    chosen = classifier(layout, settings)
+    model = fit(parts.train, parts.features, chosen, layout.label, categories=parts.categories)
     return Fitted(
         model,
-        durable(score(model, parts.test, parts.features)),
-        importances(model, parts.features, parts.train),
+        durable(score(model, parts.test, parts.features, parts.categories)),
+        importances(model, parts.features, parts.train, parts.categories),
     )
 
 
@@ -92,6 +108,7 @@ def cross_validation(
         layout.id,
         layout.label,
         settings.folds,
+        categories=parts.categories,
     )
 
 

@@ -92,7 +92,7 @@ def run_model(
     parts = modelling.prepare(table, layout, settings)
     fitted = modelling.fit_and_score(parts, layout, settings)
     per_fold = durable(modelling.cross_validation(parts, layout, settings))
-    predictions = prediction_table(fitted.scored, layout.label, parts.features, layout.id)
+    predictions = prediction_table(fitted.scored, layout.label, parts.columns, layout.id)
     write_predictions(predictions, f"{out}/{PREDICTIONS}")
     tables = modelling.evaluation_tables(fitted.scored, layout, settings)
     tables |= {
