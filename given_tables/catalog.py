@@ -230,6 +230,13 @@ def one_hot_wide(spark: SparkSession, folder: str) -> DataFrame:
     return encode.one_hot_wide(found, lists)
 
 
+def category_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The names of the 1s in the sparse vectors of each customer."""
+    found = durable(clients(spark, folder, margin=False).select(ID, *LAYOUT.category_columns))
+    made = encode.category_vectors(found, LAYOUT.category_columns, SETTINGS.min_category_count)
+    return encode.active_categories(found, ID, made)
+
+
 def log10p1(spark: SparkSession, folder: str) -> DataFrame:
     found = clients(spark, folder, margin=False).select(ID, *LAYOUT.log_columns)
     return rounded(feature_plan.log_features(found, LAYOUT), *LAYOUT.log_columns)
@@ -281,8 +288,10 @@ def kde_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def corr_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    columns = ["cons_balance", "cons_12m", "pow_max", "nb_prod_act", "num_years_antig", "net_margin"]
-    return rounded(distribution.correlations(clients(spark, folder), columns), "corr")
+    """Every pair of numeric features of the feature table, in the order of their names."""
+    found = durable(_features(spark, folder))
+    names = sorted(model.feature_names(found, [ID, LABEL]))
+    return rounded(distribution.correlations(found, names), "corr")
 
 
 # --- split and evaluation --------------------------------------------------
@@ -303,9 +312,11 @@ def oversample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def synthetic_minority(spark: SparkSession, folder: str) -> DataFrame:
-    features = ["pow_max", "nb_prod_act", "net_margin"]
-    found = durable(clients(spark, folder).select(ID, LABEL, *features))
-    return split.synthetic_minority(found, ID, LABEL, features, hash=id_hash())
+    """New customers from all features of the feature table; gaps are 0."""
+    found = feature_table(spark, folder)
+    features = sorted(model.feature_names(found, [ID, LABEL]))
+    filled = durable(found.select(ID, LABEL, *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(c) for c in features]))
+    return split.synthetic_minority(filled, ID, LABEL, features, hash=id_hash())
 
 
 def confusion(spark: SparkSession, folder: str) -> DataFrame:
@@ -551,6 +562,30 @@ def importance_total(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+VECTOR_SETTINGS = replace(SETTINGS, wide_categories=False)
+
+
+def _vector_fit(spark: SparkSession, folder: str) -> tuple[modelling.Prepared, modelling.Fitted]:
+    """The forest on the same features, their categories in sparse vectors instead of columns."""
+    built = feature_plan.build_features(clients(spark, folder), prices(spark, folder), LAYOUT, VECTOR_SETTINGS)
+    parts = modelling.prepare(durable(built), LAYOUT, VECTOR_SETTINGS, id_hash())
+    return parts, modelling.fit_and_score(parts, LAYOUT, VECTOR_SETTINGS)
+
+
+def vector_importance_total(spark: SparkSession, folder: str) -> DataFrame:
+    _, fitted = _vector_fit(spark, folder)
+    return rounded(
+        fitted.importance.agg(F.count("feature").alias("n_features"), F.sum("importance").alias("total")), "total"
+    )
+
+
+def vector_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Test rows with the category that each has, as text, and whether the score is a probability."""
+    parts, fitted = _vector_fit(spark, folder)
+    found = prediction_table(fitted.scored, LABEL, parts.columns, ID)
+    return found.select(ID, *LAYOUT.category_columns, F.col("churn_probability").between(0, 1).cast("int").alias("in_range"))
+
+
 def model_classes(spark: SparkSession, folder: str) -> DataFrame:
     found = model_compare(spark, folder)
     return found.select(
@@ -603,6 +638,7 @@ QUERIES: dict[str, Query] = {
         category_frequency,
         one_hot_long,
         one_hot_wide,
+        category_vectors,
         log10p1,
         log_invalid,
         feature_table,
@@ -650,6 +686,8 @@ QUERIES: dict[str, Query] = {
         rf_rows,
         cv_folds,
         importance_total,
+        vector_importance_total,
+        vector_predictions,
         model_classes,
         grid_candidates,
         permutation_base,

@@ -230,8 +230,6 @@ def _split(source: str) -> str:
     return _SPLIT.format(hash=HASH, source=source)
 
 
-_SEEDED = random.Random(42)
-_WEIGHTS = [round(_SEEDED.gauss(0, 1), 3) for _ in range(3)]
 HASH = "((id % 2147483648) * 2654435761) % 4294967296"
 CLIENT_COLUMNS = (
     "id channel_sales origin_up cons_balance date_activ date_end date_modif_prod date_renewal "
@@ -245,7 +243,6 @@ MEANS = {
     "nb_prod_act": "nb_prod_act",
     "num_years_antig": "num_years_antig",
 }
-CORR = ["cons_balance", "cons_12m", "pow_max", "nb_prod_act", "num_years_antig", "net_margin"]
 
 
 def _nulls(table: str, columns: list[str]) -> str:
@@ -450,6 +447,12 @@ SELECT COUNT(*) AS n_rows, CAST({14 + 1 + 4 + 2 + 1 + 3 + 3 + len(SEGMENTS) + le
   CAST(14 AS BIGINT) AS n_price_features, CAST(4 AS BIGINT) AS n_month_features,
   CAST(3 AS BIGINT) AS n_log_features, CAST({len(SEGMENTS) + len(NATIONS)} AS BIGINT) AS n_dummies
 FROM client WHERE id IN (SELECT id FROM price)""",
+    "category_vectors": f"""WITH {CLIENT}
+SELECT id, 'channel_sales_' || channel_sales AS feature FROM client WHERE channel_sales IN
+  (SELECT channel_sales FROM client GROUP BY channel_sales HAVING COUNT(*) >= 60)
+UNION ALL
+SELECT id, 'origin_up_' || origin_up FROM client WHERE origin_up IN
+  (SELECT origin_up FROM client GROUP BY origin_up HAVING COUNT(*) >= 60)""",
     "histogram50": f"WITH {CLIENT}, "
     + _histogram("client", ["cons_12m", "cons_last_month", "net_margin", "pow_max"], 50, True),
     "histogram_log": f"SELECT variable, bin, n, round(bin_start, 6) + 0.0 AS bin_start FROM (WITH {LOGGED}, "
@@ -457,13 +460,6 @@ FROM client WHERE id IN (SELECT id FROM price)""",
     + ")",
     "histogram_bins": f"WITH {CLIENT} " + " UNION ALL ".join(map(_auto_bins, LOGS)),
     "kde_log": _KDE,
-    "corr_matrix": f"WITH {CLIENT} "
-    + " UNION ALL ".join(
-        f"SELECT '{a}' AS column_a, '{b}' AS column_b, "
-        f"round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) + 0.0 AS corr FROM client"
-        for i, a in enumerate(CORR)
-        for b in CORR[i + 1 :]
-    ),
     "stratified_split": f"WITH {CLIENT}, {_split('client')} SELECT * FROM parted",
     "class_weights": f"""WITH {CLIENT}
 SELECT churn, COUNT(*) AS n, (SELECT COUNT(*) FROM client) / (2 * COUNT(*)) AS weight FROM client GROUP BY churn""",
@@ -476,33 +472,6 @@ needed AS (
   SELECT id, churn, CASE WHEN churn = 1
     THEN floor(largest / size) + CASE WHEN r <= largest % size THEN 1 ELSE 0 END ELSE 1 END AS times FROM ranked)
 SELECT id, churn, CAST(unnest(generate_series(1, CAST(times AS BIGINT))) AS INTEGER) AS copy FROM needed""",
-    "synthetic_minority": f"""WITH {CLIENT},
-few AS (
-  SELECT id, pow_max AS x, CAST(nb_prod_act AS DOUBLE) AS y, CAST(net_margin AS DOUBLE) AS z
-  FROM client WHERE churn = 1),
-stats AS (
-  SELECT avg(x) AS mx, stddev_samp(x) AS sx, avg(y) AS my, stddev_samp(y) AS sy,
-    avg(z) AS mz, stddev_samp(z) AS sz FROM few),
-placed AS (
-  SELECT id, x, y, z, COUNT(*) OVER () AS total,
-    row_number() OVER (ORDER BY (x - mx) / sx * {_WEIGHTS[0]} + (y - my) / sy * {_WEIGHTS[1]}
-      + (z - mz) / sz * {_WEIGHTS[2]}, {HASH}, id) - 1 AS place
-  FROM few, stats),
-sized AS (
-  SELECT *, row_number() OVER (ORDER BY {HASH}, id) AS r,
-    (SELECT COUNT(*) FROM client WHERE churn = 0) AS largest FROM placed),
-copies AS (
-  SELECT *, unnest(generate_series(2, CAST(floor(largest / total) AS BIGINT)
-    + CASE WHEN r <= largest % total THEN 1 ELSE 0 END)) AS copy FROM sized),
-moved AS (
-  SELECT id, x, y, z, copy, (place + (copy - 2) % 5 + 1) % total AS other,
-    ({HASH}) * (2 * copy + 1) % 4294967296 / 4294967296 AS part FROM copies)
-SELECT id, churn, pow_max, CAST(nb_prod_act AS DOUBLE) AS nb_prod_act,
-  CAST(net_margin AS DOUBLE) AS net_margin, CAST(1 AS INTEGER) AS copy FROM client
-UNION ALL
-SELECT moved.id, 1, moved.x + part * (placed.x - moved.x), moved.y + part * (placed.y - moved.y),
-  moved.z + part * (placed.z - moved.z), CAST(copy AS INTEGER)
-FROM moved JOIN placed ON placed.place = moved.other""",
     "confusion": f"""WITH {SCORED}
 SELECT actual, predicted, (SELECT COUNT(*) FROM scored WHERE label = actual AND prediction = predicted) AS n
 FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS grid(actual, predicted)""",
@@ -605,6 +574,10 @@ SELECT fold, COUNT(*) FILTER (WHERE churn = 1) AS n_pos, COUNT(*) FILTER (WHERE
 FROM parted WHERE split = 'train' GROUP BY fold""",
     "importance_total": f"""WITH {CLIENT}
 SELECT CAST({_N_FEATURES} AS BIGINT) AS n_features, CAST(1 AS DOUBLE) AS total""",
+    "vector_importance_total": f"""WITH {CLIENT}
+SELECT CAST({_N_FEATURES} AS BIGINT) AS n_features, CAST(1 AS DOUBLE) AS total""",
+    "vector_predictions": f"""WITH {PRICE}, {CLIENT}, priced AS (SELECT * FROM client WHERE id IN (SELECT id FROM price)), {_split("priced")}
+SELECT id, channel_sales, origin_up, 1 AS in_range FROM parted JOIN client USING (id) WHERE split = 'test'""",
     "model_classes": f"""WITH {PRICE}, {CLIENT}, priced AS (SELECT * FROM client WHERE id IN (SELECT id FROM price)), {_split("priced")}
 SELECT model, COUNT(*) FILTER (WHERE churn = 1) AS n_pos, COUNT(*) FILTER (WHERE churn = 0) AS n_neg
 FROM parted, (VALUES ('random_forest'), ('boosted_trees')) AS models(model) WHERE split = 'test' GROUP BY model""",
@@ -616,3 +589,44 @@ SELECT CAST({_N_FEATURES} AS BIGINT) AS n_features, CAST(1 AS BIGINT) AS n_bases
   CASE WHEN o_orderstatus <> 'P' THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS lenient,
   CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS strict FROM orders""",
 }
+
+
+ORACLE["corr_matrix"] = f"""WITH features AS MATERIALIZED ({ORACLE["feature_table"]}),
+long AS (UNPIVOT (SELECT * EXCLUDE (churn) FROM features) ON COLUMNS(* EXCLUDE (id)) INTO NAME variable VALUE value)
+SELECT a.variable AS column_a, b.variable AS column_b, round(corr(a.value, b.value), 6) + 0.0 AS corr
+FROM long AS a JOIN long AS b ON a.id = b.id AND a.variable < b.variable GROUP BY a.variable, b.variable"""
+
+FEATURES = sorted(
+    [*PRICE_NAMES, "tenure", *_MONTHS, "has_gas", *LOGS, "pow_max", "nb_prod_act", "net_margin"]
+    + [f"channel_sales_{v}" for v in SEGMENTS]
+    + [f"origin_up_{v}" for v in NATIONS]
+)
+_SEEDED = random.Random(42)
+_PROJECTION = " + ".join(
+    ["0.0::DOUBLE"]
+    + [
+        f"CASE WHEN s{i} > 0 THEN ({c} - m{i}) / s{i} * {round(_SEEDED.gauss(0, 1), 3)}::DOUBLE ELSE 0 END"
+        for i, c in enumerate(FEATURES)
+    ]
+)
+ORACLE["synthetic_minority"] = f"""WITH features AS MATERIALIZED (
+  SELECT id, churn, {", ".join(f"coalesce({c}, 0.0::DOUBLE) AS {c}" for c in FEATURES)} FROM ({ORACLE["feature_table"]})),
+few AS (SELECT * FROM features WHERE churn = 1),
+stats AS (SELECT {", ".join(f"avg({c}) AS m{i}, stddev_samp({c}) AS s{i}" for i, c in enumerate(FEATURES))} FROM few),
+placed AS MATERIALIZED (
+  SELECT few.*, COUNT(*) OVER () AS total,
+    row_number() OVER (ORDER BY {_PROJECTION}, {HASH}, id) - 1 AS place
+  FROM few, stats),
+sized AS (
+  SELECT *, row_number() OVER (ORDER BY {HASH}, id) AS r,
+    (SELECT COUNT(*) FROM features WHERE churn = 0) AS largest FROM placed),
+copies AS (
+  SELECT *, unnest(generate_series(2, CAST(floor(largest / total) AS BIGINT)
+    + CASE WHEN r <= largest % total THEN 1 ELSE 0 END)) AS copy FROM sized),
+moved AS (
+  SELECT *, (place + (copy - 2) % 5 + 1) % total AS other,
+    ({HASH}) * (2 * copy + 1) % 4294967296 / 4294967296 AS part FROM copies)
+SELECT id, churn, {", ".join(FEATURES)}, CAST(1 AS INTEGER) AS copy FROM features
+UNION ALL
+SELECT moved.id, 1, {", ".join(f"moved.{c} + part * (placed.{c} - moved.{c})" for c in FEATURES)}, CAST(copy AS INTEGER)
+FROM moved JOIN placed ON placed.place = moved.other"""

@@ -181,10 +181,12 @@ def synthetic_minority(
     pick = random.Random(seed)
     projection = F.lit(0.0)
     for i, f in enumerate(features):
+        weight = round(pick.gauss(0, 1), 3)
+        # A feature that does not vary in this class tells no rows apart.
         if stats[f"s{i}"]:
-            scaled = (F.col(quoted(f)) - stats[f"m{i}"]) / stats[f"s{i}"]
-            projection += scaled * round(pick.gauss(0, 1), 3)
-    projected = few.withColumns({"_p": projection, "_hash": value})
+            projection += (F.col(quoted(f)) - stats[f"m{i}"]) / stats[f"s{i}"] * weight
+    # Stored: the cuts and the buckets read the projection, a sum over all features.
+    projected = durable(few.withColumns({"_p": projection, "_hash": value}))
     bucketed = with_even_bucket(projected, "_p", "_hash", HASH_RANGE)
     placed = running_totals(bucketed, ["_p", "_hash", id], {"rows": F.lit(1)}).select(
         id, *[quoted(f) for f in features], F.col("rows_before").alias("_place"), "rows_total"
