@@ -169,12 +169,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def _told_apart(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
-    """``docs`` with one more column, and its name: a struct of the id and of what tells rows of one id apart."""
+def _told_apart(docs: DataFrame, id_col: str) -> tuple[DataFrame, str, Column]:
+    """``docs`` with a column that tells rows apart and sorts by id, its name, and the id in a column ``id`` of such values.
+
+    Where ids do so, it is the id itself; else a struct of the id and the place of the row.
+    """
+    ids = docs.select(F.col(id_col).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    if ids.where("n > 1 or id is null").isEmpty():
+        return docs, id_col, F.col("id")
     stored, row, key = numbered(docs)
     kind = stored.schema[row].dataType
     parts = [F.col(f"{row}.{f}").alias(f) for f in kind.names] if isinstance(kind, StructType) else [F.col(row).alias("row")]
-    return stored.withColumn(key, F.struct(F.col(id_col).alias("id"), *parts)).drop(row), key
+    return stored.withColumn(key, F.struct(F.col(id_col).alias("id"), *parts)).drop(row), key, F.col("id.id")
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,14 +190,14 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     are in the order in which they are stored, and a null id comes before all others.
     An empty table gives no rows; other columns of ``docs`` play no part.
     """
-    stored, key = _told_apart(docs, id_col)
+    stored, key, own = _told_apart(docs, id_col)
     n_lines = F.size(F.filter(F.split(known(text_col), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
     rows = stored.select(F.col(key).alias("id"), n_lines.alias("n_lines"))
     per = repeats(stored, key, text_col).groupBy("id").agg(
         F.count_if(~F.col("near")).alias("n_equal"), F.count_if("near").alias("n_near"), F.array_sort(F.collect_list("at")).alias("dropped")
     )
     return rows.join(per, "id", "left").select(
-        F.col("id.id").alias(id_col), "n_lines", F.coalesce("n_equal", F.lit(0)).alias("n_equal"),
+        own.alias(id_col), "n_lines", F.coalesce("n_equal", F.lit(0)).alias("n_equal"),
         F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"),
     )
 
@@ -201,7 +207,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Rows count one by one, as in ``counted``: of a repeated row the lines of the first stay.
     """
-    stored, key = _told_apart(docs, id_col)
+    stored, key, _ = _told_apart(docs, id_col)
     gone = repeats(stored, key, text_col).groupBy(F.col("id").alias("_line_id")).agg(F.collect_set("at").alias("_line_gone"))
     joined = stored.join(gone, stored[key] == gone["_line_id"], "left")
     stay = F.filter(F.split(stored[text_col], "\n"), lambda x, i: ~F.array_contains(gone["_line_gone"], i))
