@@ -16,7 +16,7 @@ from stayrate.operators import distribution, encode, evaluate, model, price, pro
 from stayrate.plans import eda, modelling, report
 from stayrate.plans import features as feature_plan
 from stayrate.session import durable, shared_folder
-from stayrate.sinks.files import prediction_table, write_features
+from stayrate.sinks.files import prediction_table, write_counted, write_features
 from stayrate.sources.files import client_schema, drop_artefact, parse_dates, read_csv
 
 from .views import LAYOUT, SNAPSHOT, bills, clients, discounts, prices, scored, table
@@ -413,6 +413,17 @@ def feature_file(spark: SparkSession, folder: str) -> DataFrame:
     return write_features(price.price_features(prices(spark, folder), LAYOUT), path)
 
 
+def written_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and gaps of the customer table, counted while it is written."""
+    return write_counted(clients(spark, folder), f"{shared_folder(spark)}/customers-{uuid.uuid4()}").gaps()
+
+
+def written_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """What the feature job says of its table, with the rows counted while it is written."""
+    written = write_counted(_features(spark, folder), f"{shared_folder(spark)}/features-{uuid.uuid4()}")
+    return feature_plan.feature_summary(written.table, LAYOUT, SETTINGS, written.rows)
+
+
 def report_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The rate tables of the report, line by line."""
     tables = eda.explore(clients(spark, folder), prices(spark, folder), LAYOUT, SETTINGS)
@@ -668,6 +679,8 @@ QUERIES: dict[str, Query] = {
         csv_round_trip,
         csv_undeclared,
         feature_file,
+        written_gaps,
+        written_summary,
         report_lines,
         date_parse,
         fold_auc,

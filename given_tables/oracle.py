@@ -630,3 +630,7 @@ SELECT id, churn, {", ".join(FEATURES)}, CAST(1 AS INTEGER) AS copy FROM feature
 UNION ALL
 SELECT moved.id, 1, {", ".join(f"moved.{c} + part * (placed.{c} - moved.{c})" for c in FEATURES)}, CAST(copy AS INTEGER)
 FROM moved JOIN placed ON placed.place = moved.other"""
+
+# The same tables, counted in the pass that writes them.
+ORACLE["written_gaps"] = ORACLE["column_gaps"]
+ORACLE["written_summary"] = ORACLE["feature_summary"]

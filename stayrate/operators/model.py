@@ -113,7 +113,8 @@ def fit(
     vectors = prepared.transform(weighted).select(label, WEIGHT, VECTOR)
     vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fitted = classifier.fit(vectors)
+        # A copy is without the training summary, which would go to every task that scores.
+        fitted = classifier.fit(vectors).copy()
     finally:
         vectors.unpersist()
     return PipelineModel(stages=[*prepared.stages, fitted])
@@ -203,7 +204,7 @@ def fold_scores(
 
     def one(task: tuple[str, Fold]) -> DataFrame:
         name, fold = task
-        scored = candidates[name].fit(fold.fit_on).transform(fold.held_out)
+        scored = candidates[name].fit(fold.fit_on).copy().transform(fold.held_out)
         return scored.select(
             F.lit(name).alias("params"),
             id,

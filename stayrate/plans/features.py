@@ -76,13 +76,16 @@ def _wide(joined: DataFrame, columns: list[str], settings: Settings) -> bool:
 
 
 def descriptions(
-    features: DataFrame, layout: Layout = Layout(), settings: Settings = Settings()
+    features: DataFrame,
+    layout: Layout = Layout(),
+    settings: Settings = Settings(),
+    rows: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Name -> table that describes a stored feature table."""
+    """Name -> table that describes a stored feature table of ``rows`` rows (counted if not known)."""
     logs = present(features, layout.density_columns)
     flags = present(features, layout.flag_columns)
     tables = {
-        "feature_summary": feature_summary(features, layout, settings),
+        "feature_summary": feature_summary(features, layout, settings, rows),
         "rate_by_tenure": rate_by_descending(
             features, layout.tenure, layout.label, top=settings.top_tenures
         ),
@@ -96,11 +99,15 @@ def descriptions(
 
 
 def feature_summary(
-    features: DataFrame, layout: Layout = Layout(), settings: Settings = Settings()
+    features: DataFrame,
+    layout: Layout = Layout(),
+    settings: Settings = Settings(),
+    rows: int | None = None,
 ) -> DataFrame:
     """One row: rows, columns and how many features each step has added.
 
     Frequent categories of columns that are still text count as the dummies they become.
+    With ``rows`` known from the write, nothing is scanned for the rest.
     """
     price_names = [
         *layout.first_last_features.values(),
@@ -117,7 +124,8 @@ def feature_summary(
         "n_log_features": len(present(features, layout.log_columns)),
         "n_dummies": len(dummies) + more,
     }
-    return features.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[F.lit(n).cast("bigint").alias(name) for name, n in counts.items()],
-    )
+    numbers = [F.lit(n).cast("bigint").alias(name) for name, n in counts.items()]
+    if rows is not None:
+        one = features.sparkSession.range(1)
+        return one.select(F.lit(rows).cast("bigint").alias("n_rows"), *numbers)
+    return features.agg(F.count(F.lit(1)).alias("n_rows"), *numbers)

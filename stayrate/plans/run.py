@@ -18,8 +18,14 @@ from pyspark.sql.types import StructType
 from ..config import Layout, Settings
 from ..operators.evaluate import retention_list
 from ..operators.model import SCORE, fold_summary, top_importances
-from ..session import build_session, durable
-from ..sinks.files import prediction_table, write_features, write_predictions, write_report
+from ..session import build_session, durable, tables_removed
+from ..sinks.files import (
+    prediction_table,
+    write_counted,
+    write_features,
+    write_predictions,
+    write_report,
+)
 from ..sources import files
 from . import eda, features, modelling, report, sensitivity
 
@@ -78,10 +84,11 @@ def run_features(
     """Write the feature table, and beside it what describes it."""
     clients = read_clients(spark, data, CLEAN, layout, fmt)
     built = features.build_features(clients, read_prices(spark, data, layout, fmt), layout, settings)
-    written = write_features(built, f"{out}/{FEATURES}")
-    for name, table in features.descriptions(written, layout, settings).items():
+    written = write_counted(built, f"{out}/{FEATURES}")
+    tables = features.descriptions(written.table, layout, settings, written.rows)
+    for name, table in {**tables, "column_gaps": written.gaps()}.items():
         write_features(table, f"{out}/features/{name}")
-    return written
+    return written.table
 
 
 def run_model(
@@ -116,14 +123,15 @@ def run_all(
     settings: Settings = Settings(),
     fmt: str = "csv",
 ) -> str:
-    """All stages; returns the text of the report."""
-    explored = run_eda(spark, data, out, layout, settings, fmt)
-    run_sensitivity(spark, data, out, layout, settings, fmt)
-    run_features(spark, data, out, layout, settings, fmt)
-    metrics, importance = run_model(spark, out, layout, settings)
-    rates = {name: table for name, table in explored.items() if name.startswith("rate_by_")}
-    text = report.render(metrics, importance, rates, settings)
-    write_report(spark, text, f"{out}/{SUMMARY}")
+    """All stages; returns the text of the report. What was stored on the way is removed at the end."""
+    with tables_removed(spark):
+        explored = run_eda(spark, data, out, layout, settings, fmt)
+        run_sensitivity(spark, data, out, layout, settings, fmt)
+        run_features(spark, data, out, layout, settings, fmt)
+        metrics, importance = run_model(spark, out, layout, settings)
+        rates = {name: table for name, table in explored.items() if name.startswith("rate_by_")}
+        text = report.render(metrics, importance, rates, settings)
+        write_report(spark, text, f"{out}/{SUMMARY}")
     return text
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +49,27 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_MADE: list[str] = []
+
+
+@contextmanager
+def tables_removed(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that ``durable`` stores inside, when the block ends well or ill.
+
+    Results that outlive the block must have been written elsewhere, and nothing else
+    may store tables in this process meanwhile. A job that was killed leaves its tables;
+    they are in ``shared_folder``, named table-*.
+    """
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        made, _MADE[before:] = _MADE[before:], []
+        for path in made:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table to the shared folder and go on from there.
 
@@ -56,6 +79,7 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4()}"
+    _MADE.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

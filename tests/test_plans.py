@@ -13,6 +13,7 @@ from tests.helpers import plan_of
 
 # Fits scan rows that Spark ML has checkpointed.
 FITTED = {"rf_rows", "cv_folds", "importance_total", "model_classes", "grid_candidates", "permutation_base"}
+FITTED |= {"vector_importance_total", "vector_predictions"}
 
 
 @pytest.mark.parametrize("name", sorted(set(ORACLE) - FITTED))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import glob
+import os
 import random
 from dataclasses import replace
 from datetime import date, timedelta
@@ -12,6 +14,8 @@ import pytest
 from stayrate.config import Layout, Settings
 from stayrate.operators import profile
 from stayrate.plans import features, run
+from stayrate.session import durable, tables_removed
+from stayrate.sinks.files import write_counted
 from tests.helpers import by_key, plan_of
 
 LAYOUT = Layout()
@@ -142,3 +146,34 @@ def test_every_stage_leaves_its_tables(spark, finished):
     }
     assert all(rows.values())
     assert rows["features/rate_by_tenure"] <= 5
+
+
+def stored(spark):
+    return set(glob.glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/table-*"))
+
+
+def test_stored_tables_are_removed_when_the_block_ends(spark):
+    kept = durable(spark.range(3))
+    before = stored(spark)
+    with pytest.raises(RuntimeError), tables_removed(spark):
+        durable(spark.range(5))
+        assert len(stored(spark)) == len(before) + 1
+        raise RuntimeError
+    assert stored(spark) == before and kept.count() == 3
+
+
+def test_a_whole_run_leaves_no_stored_table(spark, folder, tmp_path):
+    before = stored(spark)
+    run.run_all(spark, str(folder), str(tmp_path / "out"), LAYOUT, SETTINGS)
+    assert stored(spark) == before
+    assert os.path.isdir(tmp_path / "out" / "features" / "column_gaps")
+
+
+def test_a_table_is_counted_while_it_is_written(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, "x"), (2, None, None), (None, None, "y")], "a int, `b c` double, d string").repartition(3)
+    written = write_counted(df, str(tmp_path / "t"))
+    assert (written.rows, written.nulls) == (3, {"a": 1, "b c": 3, "d": 1})
+    assert sorted(map(tuple, written.gaps().collect())) == [(3, "a", 1), (3, "b c", 3), (3, "d", 1)]
+    assert written.table.count() == 3
+    empty = write_counted(df.limit(0), str(tmp_path / "none"))
+    assert (empty.rows, set(empty.nulls.values())) == (0, {0})
