@@ -26,9 +26,9 @@ LIMIT = 2048
 END = 0
 #: Items that one task packs; a bin that lacks fewer tokens than SLACK is final.
 GROUP, SLACK = 20_000, 16
-#: str.split() also parts words at these, which the tokenizer does not count as white space.
-_NOT_SPACE = re.compile("[\x1c-\x1f]")
-_PARTS = re.compile(r"[^ \t\n\r\f\v]+")
+#: Words between white space; letters of Latin-1 before another printable ASCII character are a word of
+#: their own, as the tokenizer parts there, so that words recur whatever follows them.
+_WORDS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-@\[-`{-~])|[^ \t\n\r\f\v]+")
 #: Words of printable Latin-1, of which normalising does no more than lower them,
 #: and their parts: letters, single digits and the like, and runs of other signs.
 _LATIN = re.compile("[!-~¡-ÿ]+")
@@ -59,7 +59,12 @@ def encoder(path: str) -> Known:
         known = Known(symbols)
 
         def make(words: list[str]) -> list[bytes]:
-            cut = [_LATIN_PARTS.findall(w.lower()) if _LATIN.fullmatch(w) and "<|" not in w else None for w in words]
+            cut = [
+                [w.lower()] if w.isalpha() and max(w) <= "ÿ"
+                else _LATIN_PARTS.findall(w.lower()) if _LATIN.fullmatch(w) and "<|" not in w
+                else None
+                for w in words
+            ]
             known.learn([c for c in cut if c])
             other = tokenizer.encode_batch_fast([w for w, c in zip(words, cut) if c is None], add_special_tokens=False)
             rest = iter(_as_bytes(x.ids for x in other))
@@ -85,7 +90,7 @@ def encode_all(texts: list[str], words: Known) -> Iterator[bytes]:
     held: list[list[str]] = []
     size = 0
     for at, text in enumerate(texts):
-        held.append(_PARTS.findall(text) if _NOT_SPACE.search(text) else text.split())
+        held.append(_WORDS.findall(text))
         size += len(held[-1])
         if size >= _STEP or at == len(texts) - 1:
             words.learn(held)
