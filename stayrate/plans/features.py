@@ -59,20 +59,22 @@ def build_features(
     joined = stage(clients.join(price_features(prices, layout), layout.id))
     encoded = flag_features(date_features(joined, layout, settings), layout)
     columns = present(joined, layout.category_columns)
-    if _wide(joined, columns, settings):
-        categories = category_lists(
-            joined, columns, settings.min_category_count, settings.max_categories
-        )
+    categories = _wide(joined, columns, settings)
+    if categories is not None:
         encoded = one_hot_wide(encoded, categories)
     return _doubles(log_features(encoded, layout).drop(*layout.redundant_columns))
 
 
-def _wide(joined: DataFrame, columns: list[str], settings: Settings) -> bool:
-    """Whether the categories become columns: as set, else while there are few enough."""
-    if settings.wide_categories is not None:
-        return settings.wide_categories
-    frequent = frequent_categories(joined, columns, settings.min_category_count)
-    return frequent.limit(settings.max_categories + 1).count() <= settings.max_categories
+def _wide(joined: DataFrame, columns: list[str], settings: Settings) -> dict[str, list[str]] | None:
+    """The categories that become columns; none where the settings, or their number, forbid that."""
+    if settings.wide_categories is False:
+        return None
+    try:
+        return category_lists(joined, columns, settings.min_category_count, settings.max_categories)
+    except ValueError:
+        if settings.wide_categories:
+            raise
+        return None
 
 
 def descriptions(
