@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stayrate.config import Settings
 from stayrate.functions.encode import flag, tenure_years, whole_months_until
-from stayrate.operators import distribution, encode, evaluate, model, price, profile, segments, split
+from stayrate.operators import distribution, encode, evaluate, model, neighbours, price, profile, segments, split
 from stayrate.plans import eda, modelling, report
 from stayrate.plans import features as feature_plan
 from stayrate.session import durable, shared_folder
@@ -311,14 +311,25 @@ def oversample(spark: SparkSession, folder: str) -> DataFrame:
     return split.oversample(found, ID, LABEL, hash=id_hash())
 
 
-def synthetic_minority(spark: SparkSession, folder: str) -> DataFrame:
-    """New customers from all features of the feature table; gaps are 0."""
+def _filled(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    """All features of the feature table; gaps are 0."""
     found = feature_table(spark, folder)
     features = sorted(model.feature_names(found, [ID, LABEL]))
-    filled = durable(found.select(ID, LABEL, *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(c) for c in features]))
+    return durable(found.select(ID, LABEL, *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(c) for c in features])), features
+
+
+def synthetic_minority(spark: SparkSession, folder: str) -> DataFrame:
+    """New customers from all features of the feature table."""
+    filled, features = _filled(spark, folder)
     return split.synthetic_minority(filled, ID, LABEL, features, hash=id_hash())
 
 
+def minority_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five churned customers nearest to each churned one."""
+    filled, features = _filled(spark, folder)
+    return neighbours.nearest(filled.where(F.col(LABEL) == 1), ID, features, id_hash(), split.HASH_RANGE)
+
+
 def confusion(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.confusion(scored(spark, folder), "label", "prediction")
 
@@ -663,6 +674,7 @@ QUERIES: dict[str, Query] = {
         class_weights,
         oversample,
         synthetic_minority,
+        minority_neighbours,
         confusion,
         binary_metrics,
         class_report,

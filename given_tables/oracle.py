@@ -7,7 +7,6 @@ scored views.
 
 from __future__ import annotations
 
-import random
 
 PERIODS = {"off_peak": "A", "peak": "N", "mid_peak": "R"}
 PRICES = [f"price_{p}_{k}" for k in ("var", "fix") for p in PERIODS]
@@ -601,35 +600,35 @@ FEATURES = sorted(
     + [f"channel_sales_{v}" for v in SEGMENTS]
     + [f"origin_up_{v}" for v in NATIONS]
 )
-_SEEDED = random.Random(42)
-_PROJECTION = " + ".join(
-    ["0.0::DOUBLE"]
-    + [
-        f"CASE WHEN s{i} > 0 THEN ({c} - m{i}) / s{i} * {round(_SEEDED.gauss(0, 1), 3)}::DOUBLE ELSE 0 END"
-        for i, c in enumerate(FEATURES)
-    ]
-)
-ORACLE["synthetic_minority"] = f"""WITH features AS MATERIALIZED (
+# Distances in whole steps of 1/1024 deviation, so that no order of sums changes them.
+_NEAR = f"""features AS MATERIALIZED (
   SELECT id, churn, {", ".join(f"coalesce({c}, 0.0::DOUBLE) AS {c}" for c in FEATURES)} FROM ({ORACLE["feature_table"]})),
 few AS (SELECT * FROM features WHERE churn = 1),
 stats AS (SELECT {", ".join(f"avg({c}) AS m{i}, stddev_samp({c}) AS s{i}" for i, c in enumerate(FEATURES))} FROM few),
-placed AS MATERIALIZED (
-  SELECT few.*, COUNT(*) OVER () AS total,
-    row_number() OVER (ORDER BY {_PROJECTION}, {HASH}, id) - 1 AS place
+steps AS MATERIALIZED (
+  SELECT id, {HASH} AS hash, {", ".join(f"CASE WHEN s{i} > 0 THEN CAST(floor(({c} - m{i}) / s{i} * 1024) AS BIGINT) ELSE 0 END AS v{i}" for i, c in enumerate(FEATURES))}
   FROM few, stats),
+distances AS (
+  SELECT a.id, b.id AS neighbour, b.hash, CAST({" + ".join(f"(a.v{i} - b.v{i}) * (a.v{i} - b.v{i})" for i, _ in enumerate(FEATURES))} AS BIGINT) AS distance
+  FROM steps AS a JOIN steps AS b ON a.id <> b.id),
+near AS MATERIALIZED (
+  SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, hash, neighbour) AS INTEGER) AS rank, neighbour, distance
+  FROM distances QUALIFY rank <= 5)"""
+ORACLE["minority_neighbours"] = f"WITH {_NEAR} SELECT id, rank, neighbour, distance FROM near"
+ORACLE["synthetic_minority"] = f"""WITH {_NEAR},
 sized AS (
-  SELECT *, row_number() OVER (ORDER BY {HASH}, id) AS r,
-    (SELECT COUNT(*) FROM features WHERE churn = 0) AS largest FROM placed),
+  SELECT *, row_number() OVER (ORDER BY {HASH}, id) AS r, COUNT(*) OVER () AS total,
+    (SELECT COUNT(*) FROM features WHERE churn = 0) AS largest FROM few),
 copies AS (
   SELECT *, unnest(generate_series(2, CAST(floor(largest / total) AS BIGINT)
     + CASE WHEN r <= largest % total THEN 1 ELSE 0 END)) AS copy FROM sized),
 moved AS (
-  SELECT *, (place + (copy - 2) % 5 + 1) % total AS other,
+  SELECT *, (copy - 2) % least(5, total - 1) + 1 AS rank,
     ({HASH}) * (2 * copy + 1) % 4294967296 / 4294967296 AS part FROM copies)
 SELECT id, churn, {", ".join(FEATURES)}, CAST(1 AS INTEGER) AS copy FROM features
 UNION ALL
-SELECT moved.id, 1, {", ".join(f"moved.{c} + part * (placed.{c} - moved.{c})" for c in FEATURES)}, CAST(copy AS INTEGER)
-FROM moved JOIN placed ON placed.place = moved.other"""
+SELECT moved.id, 1, {", ".join(f"moved.{c} + part * (few.{c} - moved.{c})" for c in FEATURES)}, CAST(copy AS INTEGER)
+FROM moved JOIN near ON near.id = moved.id AND near.rank = moved.rank JOIN few ON few.id = near.neighbour"""
 
 # The same tables, counted in the pass that writes them.
 ORACLE["written_gaps"] = ORACLE["column_gaps"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import quoted
 from ..session import durable
-from .ordered import ranks, running_totals, with_even_bucket
+from .neighbours import nearest
+from .ordered import ranks
 
 HASH_RANGE = 2**32
 #: Repeats of a row that one task makes at a time.
@@ -161,10 +161,10 @@ def synthetic_minority(
 ) -> DataFrame:
     """Even out the classes with new minority rows between neighbouring ones.
 
-    Neighbours are the next rows in the order of a random projection of the
-    standardised features (of equal ones, in hash order), so each new row costs two joins on a key and no
-    pairs are compared. A new row lies at a random place on the line from its
-    origin (``id``) to the neighbour; ``copy`` is 1 for given rows. Features
+    Neighbours are the nearest rows of the class by all standardised features, as
+    ``neighbours.nearest`` finds them: exact for a class that fits a block. A new row lies
+    at a random place on the line from its origin (``id``) to the neighbour, which the copies
+    take in turn; ``copy`` is 1 for given rows. A class of a single row repeats it. Features
     must not be null. ``df`` is read several times, so pass a stored table.
     """
     value = text_hash(id) if hash is None else hash
@@ -172,34 +172,16 @@ def synthetic_minority(
         id, label, *[F.col(quoted(f)).cast("double").alias(f) for f in features]
     )
     few = rows.where(F.col(label) == minority)
-
-    # One row: mean and deviation per feature.
-    stats = few.agg(
-        *[F.avg(quoted(f)).alias(f"m{i}") for i, f in enumerate(features)],
-        *[F.stddev_samp(quoted(f)).alias(f"s{i}") for i, f in enumerate(features)],
-    ).first()
-    pick = random.Random(seed)
-    projection = F.lit(0.0)
-    for i, f in enumerate(features):
-        weight = round(pick.gauss(0, 1), 3)
-        # A feature that does not vary in this class tells no rows apart.
-        if stats[f"s{i}"]:
-            projection += (F.col(quoted(f)) - stats[f"m{i}"]) / stats[f"s{i}"] * weight
-    # Stored: the cuts and the buckets read the projection, a sum over all features.
-    projected = durable(few.withColumns({"_p": projection, "_hash": value}))
-    bucketed = with_even_bucket(projected, "_p", "_hash", HASH_RANGE)
-    placed = running_totals(bucketed, ["_p", "_hash", id], {"rows": F.lit(1)}).select(
-        id, *[quoted(f) for f in features], F.col("rows_before").alias("_place"), "rows_total"
-    )
+    found = durable(nearest(few, id, features, value, HASH_RANGE, neighbours, seed=seed))
 
     missing = oversample(df.select(id, label), id, label, minority, value).where(F.col("copy") > 1)
-    reach = F.greatest(F.least(F.lit(neighbours), F.col("rows_total") - 1), F.lit(1))
-    step = F.pmod(F.col("copy") - 2, reach) + 1
-    origins = missing.join(placed, id).withColumn(
-        "_other", F.pmod(F.col("_place") + step, F.col("rows_total"))
-    )
-    others = placed.select(
-        F.col("_place").alias("_other"),
+    # A row has as many neighbours as the class has others, or as were asked for.
+    lists = found.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour"))).alias("_near"))
+    step = F.pmod(F.col("copy") - 2, F.size("_near"))
+    other = F.coalesce(F.when(F.col("_near").isNotNull(), F.get("_near", step)["neighbour"]), F.col(id))
+    origins = missing.join(few.drop(label), id).join(lists, id, "left").withColumn("_other", other).drop("_near")
+    others = few.select(
+        F.col(id).alias("_other"),
         *[F.col(quoted(f)).alias(f"_o{i}") for i, f in enumerate(features)],
     )
     # Odd multiples of the id's hash spread the copies of a row along the line.
