@@ -1,9 +1,10 @@
 """Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
 Weights come from the templates: a word in few templates weighs much, a word in none
-as much as one in a single template. Every statement of a text (a sentence or line)
-and the text as a whole are compared. Words that any similar statement must have
-find the few texts worth comparing; that loses none (see ``needed``).
+as much as one in a single template. Every statement of a text (a sentence or line, or a
+sentence that runs over lines, as in licence files and comments) and the text as a whole are
+compared. A statement with fewer than two words of templates is similar to none. Words that any
+similar statement must have find the few texts worth comparing; that loses none (see ``needed``).
 """
 
 from __future__ import annotations
@@ -22,29 +23,98 @@ THRESHOLD = 0.8
 #: Scores are rounded to six digits; bounds on them allow for that.
 _SLACK = 1e-6
 
-# Usual notices of licences, by their SPDX names.
+# Usual notices, headers, and titles and telling sentences of licence files, by their SPDX names.
 TEMPLATES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"),
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT"),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "SPDX-License-Identifier: Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        "This project is licensed under the Apache License 2.0.",
+    ),
+    "MIT": (
+        "Released under the MIT License.",
+        "Licensed under the MIT License.",
+        "SPDX-License-Identifier: MIT",
+        "The MIT License (MIT)",
+        "This software is released under the MIT License, see LICENSE.",
+        "This project is licensed under the MIT License.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU General Public License v3.0.",
         "SPDX-License-Identifier: GPL-3.0-only",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    ),
+    "AGPL-3.0": (
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    ),
+    "LGPL-3.0": (
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
+    "LGPL-2.1": (
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
     ),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"),
-    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"),
-    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0"),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
-    "CC0-1.0": ("Released under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause", "BSD 2-Clause License"),
+    "BSD-3-Clause": (
+        "Licensed under the BSD 3-Clause License.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "BSD 3-Clause License",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission.",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
+        "Mozilla Public License Version 2.0",
+    ),
+    "CC-BY-4.0": (
+        "Licensed under CC BY 4.0.",
+        "SPDX-License-Identifier: CC-BY-4.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "Creative Commons Attribution 4.0 International",
+    ),
+    "CC-BY-SA-4.0": (
+        "Licensed under CC BY-SA 4.0.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "Creative Commons Attribution-ShareAlike 4.0 International",
+    ),
+    "CC-BY-NC-4.0": (
+        "Licensed under CC BY-NC 4.0.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "Creative Commons Attribution-NonCommercial 4.0 International",
+    ),
+    "CC0-1.0": ("Released under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", "CC0 1.0 Universal"),
 }
 
 _WORD = "[a-z0-9]+"
 #: Ends of statements: line ends, and white space after a sentence's end.
 _ENDS = r"\n|(?<=[.!?])[\x20\x09\x0B-\x0D]+"
+#: Ends of sentences that run over lines: lines without letters or digits, and white space after a sentence's end.
+_RUNS = r"\n(?:[^A-Za-z0-9\n]*\n)+|(?<=[.!?])[\x20\x09-\x0D]+"
 #: What parts the header block from the rest: the first blank line, else the last line's or (in a single line) statement's start.
 _BLANK, _LAST, _END = r"\n[\x20\x09\x0B-\x0D]*\n", r"\n(?=[^\n]*\z)", r"(?<=[.!?])[\x20\x09\x0B-\x0D]+"
 
@@ -64,12 +134,13 @@ class Weights:
         """Words of which every statement that is similar enough to a template has one.
 
         A statement with none of some words of a template has a cosine of at most what the
-        other words make of the template's length. Any words will do; long ones are rare.
+        other words make of the template's length. Any words will do: first those of templates
+        before, then the rarest of at least five letters, which are seldom common words.
         """
         found = set()
         for (_, counts), norm in zip(self.rows, self.norms):
             rest = norm**2
-            for w, c in sorted(counts.items(), key=lambda x: (len(x[0]), x[0]), reverse=True):
+            for w, c in sorted(counts.items(), key=lambda x: (x[0] not in found, len(x[0]) < 5, -self.idf[x[0]], x[0])):
                 if math.sqrt(max(rest, 0)) < self.threshold * norm:
                     break
                 found.add(w)
@@ -96,7 +167,7 @@ def _similar(parts: DataFrame, weights: Weights) -> DataFrame:
     cut = _held(parts, "words", F.regexp_extract_all(F.lower("part"), F.lit(_WORD), F.lit(0)))
     counted = F.transform(F.array_intersect("words", vocabulary), lambda w: F.struct(w.alias("w"), times(w).alias("n"), idf[w].alias("idf")))
     cut = _held(cut, "term", F.transform(counted, lambda t: F.struct(t["w"].alias("w"), t["n"].alias("n"), (t["n"] * t["idf"]).alias("v"))))
-    cut = _held(cut, "inside", total(F.col("term"), lambda t: t["v"] * t["v"])).where("inside > 0")
+    cut = _held(cut.where(F.size("term") > 1), "inside", total(F.col("term"), lambda t: t["v"] * t["v"]))
     others = F.size("words") - total(F.col("term"), lambda t: t["n"])
     cut = _held(cut, "least", F.col("inside") + weights.unseen**2 * others * others / F.greatest(F.size(F.array_except("words", vocabulary)), F.lit(1)))
     cut = cut.where(F.col("inside") >= (weights.threshold - _SLACK) ** 2 * F.col("least"))
@@ -131,6 +202,8 @@ def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
 def statements(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, name, score, whole and head of every statement, and every text as a whole, that is similar enough to a template.
 
+    A sentence that runs over lines is compared besides its lines.
+
     head: the statement is in the text's header block, the lines up to its first blank line. A header is
     followed by something: the last line of a text without blank lines (of a single line, its last statement) is in none.
     """
@@ -144,7 +217,11 @@ def statements(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_c
     sides = _held(trimmed, "sides", sides.otherwise(single))
     item = lambda x, whole, head: F.struct(x.alias("part"), F.lit(whole).alias("whole"), F.lit(head).alias("head"))
     said = lambda side, head: F.transform(F.filter(F.split(side, _ENDS), lambda x: x.rlike(needed)), lambda x: item(x, False, head))
-    parts = F.concat(said(F.get("sides", F.lit(0)), True), said(F.get("sides", F.lit(1)), False), F.array(item(F.col("text"), True, False)))
+    runs = lambda side, head: F.transform(F.filter(F.split(side, _RUNS), lambda x: x.contains("\n") & x.rlike(needed)), lambda x: item(x, False, head))
+    first, second = F.get("sides", F.lit(0)), F.get("sides", F.lit(1))
+    none = F.array().cast("array<struct<part:string,whole:boolean,head:boolean>>")
+    either = [F.coalesce(x, none) for x in (said(first, True), runs(first, True), said(second, False), runs(second, False))]
+    parts = F.concat(*either, F.array(item(F.col("text"), True, False)))
     every = sides.select("id", F.explode_outer(parts).alias("p")).select("id", "p.part", "p.whole", "p.head")
     return _similar(every, weights).select("id", "name", "score", "whole", "head")
 

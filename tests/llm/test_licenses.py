@@ -25,8 +25,22 @@ def brute_best(text):
     return name, -low
 
 
+def known(text):
+    return len(set(re.findall("[a-z0-9]+", text.lower())) & set(W.idf))
+
+
+def sides(text):
+    text = text.strip(" \t\n\x0b\f\r")
+    if re.search(r"\n[\x20\x09\x0B-\x0D]*\n", text):
+        return re.split(r"\n[\x20\x09\x0B-\x0D]*\n", text, maxsplit=1)
+    return text.rsplit("\n", 1)
+
+
 def brute(text):
-    found = [s for s in re.split(r"\n|(?<=[.!?])[\x20\x09\x0B-\x0D]+", text or "") + [text or ""] if re.search("[A-Za-z0-9]", s)]
+    text = text or ""
+    # The operator's statements end where the header block does as well: a single break before the last line.
+    runs = [s for side in sides(text) for s in re.split(r"\n(?:[^A-Za-z0-9\n]*\n)+|(?<=[.!?])[\x20\x09-\x0D]+", side) if "\n" in s]
+    found = [s for s in re.split(r"\n|(?<=[.!?])[\x20\x09\x0B-\x0D]+", text) + runs + [text] if known(s) > 1]
     similar = [(n, s) for n, s in map(brute_best, found) if s >= W.threshold]
     return min(similar, key=lambda x: (-x[1], x[0]), default=None)
 
@@ -54,7 +68,8 @@ def test_every_template_finds_itself_and_the_filter_loses_no_similar_statement()
     for (name, counts), norm in zip(W.rows, W.norms):
         rest = math.sqrt(sum((c * W.idf[w]) ** 2 for w, c in counts.items() if w not in needed))
         assert rest < W.threshold * norm
-    assert len(needed) < 40
+    # The search for them grows with their number; there were 17 templates for the bound of 40 words, now there are more.
+    assert len(needed) * 17 < 40 * len(W.rows) and not needed & {"the", "with", "and", "this"}
 
 
 def test_nearest_directory_above_rules(spark):
@@ -89,3 +104,71 @@ def test_a_notice_in_the_header_block_rules_the_directory(spark, tmp_path):
         ("CC0-1.0", "inherited"), ("MIT", "inherited"), ("Apache-2.0", "inherited"), (None, "none"), (None, "none"), (None, "none"), (None, "none"),
     ]
     assert found[3] == found[5] == found[6] == ("MIT", "own")
+
+
+FILES = {
+    "MIT": """The MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files, to deal in the Software.
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.
+""",
+    "GPL-3.0": """# A program for something.
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful.
+
+import something
+""",
+    "LGPL-2.1": """/* This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ */
+
+int x;
+""",
+    "Apache-2.0": """
+                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+""",
+    "AGPL-3.0": "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n Preamble\n\n Words of it.",
+    "BSD-3-Clause": """Some conditions are met:
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+""",
+    "CC-BY-4.0": "Title\n\nThis work is licensed under a Creative Commons Attribution 4.0 International License.\nMore.",
+}
+SAID = {
+    "The MIT License (MIT)": "MIT", "This software is released under the MIT License, see LICENSE.": "MIT", "MIT": None, "mit": None,
+    "This work is licensed under a\nCreative Commons Attribution-ShareAlike 4.0\nInternational License.\nEnd.": "CC-BY-SA-4.0",
+    "The museum got a license for its software from the general public, and apache helicopters are under version 2 of a plan.": None,
+    "We compare the MIT License with the Apache License and the GNU General Public License in the next chapter of this book.": None,
+    "Er kommt mit dem Zug, mit dem Rad oder\nmit dem Bus.\nEnde": None,
+}
+
+
+def test_licence_files_headers_over_lines_and_prose(spark):
+    texts = [*FILES.values(), *SAID]
+    rows = {r.doc_id: r for r in licenses.scanned(frame(spark, texts), F.lit("d"), F.lit(False)).collect()}
+    assert [rows[i].own for i in range(len(texts))] == [*FILES, *SAID.values()]
+    for i, text in enumerate(texts):
+        assert (rows[i].own, rows[i].own_score) == (brute(text) or (None, None)), text
+    assert [r.license for r in licenses.scanned(frame(spark, [FILES["GPL-3.0"], "plain"]), F.lit("d")).orderBy("doc_id").collect()] == ["GPL-3.0"] * 2
