@@ -17,7 +17,7 @@ from stayrate.plans import eda, modelling, report
 from stayrate.plans import features as feature_plan
 from stayrate.session import durable, shared_folder
 from stayrate.sinks.files import prediction_table, write_counted, write_features
-from stayrate.sources.files import client_schema, drop_artefact, parse_dates, read_csv
+from stayrate.sources.files import client_schema, drop_artefact, parse_dates, read_csv, scan_csv
 
 from .views import LAYOUT, SNAPSHOT, bills, clients, discounts, prices, scored, table
 
@@ -418,6 +418,28 @@ def csv_undeclared(spark: SparkSession, folder: str) -> DataFrame:
     return scanned.select(ID, *model.feature_names(scanned, [ID, LABEL]))
 
 
+def csv_mixed_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers from files with their columns in two orders, one of them without balances."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4()}"
+    source, odd = table(spark, folder, "customer"), F.col("c_custkey") % 2 == 1
+    columns = ["c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"]
+    source.where(~odd).select(*columns).write.option("header", True).csv(f"{path}/even")
+    source.where(odd).select(*columns[2::-1]).write.option("header", True).csv(f"{path}/odd")
+    return scan_csv(spark, [f"{path}/even", f"{path}/odd"], source.select(*columns).schema).table.select(*columns)
+
+
+def csv_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers with broken cells and short or long records: those that cannot be read, and why."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4()}"
+    source, kind = table(spark, folder, "customer"), F.col("c_custkey") % 9
+    key = F.when(kind == 1, F.concat("c_custkey", F.lit(".5"))).otherwise(F.col("c_custkey").cast("string"))
+    nation = F.when(kind.isin(1, 2), "x").when(kind == 3, "NA").when(kind == 4, F.concat("c_nationkey", F.lit(".0"))).otherwise(F.col("c_nationkey").cast("string"))
+    line = F.when(kind == 5, key).when(kind == 6, F.concat_ws(",", key, nation, "c_mktsegment", F.lit("more"))).otherwise(F.concat_ws(",", key, nation, "c_mktsegment"))
+    rows = source.select(line.alias("c_custkey,c_nationkey,c_mktsegment"))
+    rows.write.options(header=True, quote="", escapeQuotes=False, sep="\x01").csv(path)
+    return scan_csv(spark, path, source.select("c_custkey", "c_nationkey", "c_mktsegment").schema).rejects.select("record", "reason")
+
+
 def feature_file(spark: SparkSession, folder: str) -> DataFrame:
     """The price features, written as the feature job does and read back."""
     path = f"{shared_folder(spark)}/features-{uuid.uuid4()}"
@@ -690,6 +712,8 @@ QUERIES: dict[str, Query] = {
         at_risk_list,
         csv_round_trip,
         csv_undeclared,
+        csv_mixed_headers,
+        csv_rejects,
         feature_file,
         written_gaps,
         written_summary,

@@ -633,3 +633,11 @@ FROM moved JOIN near ON near.id = moved.id AND near.rank = moved.rank JOIN few O
 # The same tables, counted in the pass that writes them.
 ORACLE["written_gaps"] = ORACLE["column_gaps"]
 ORACLE["written_summary"] = ORACLE["feature_summary"]
+
+ORACLE["csv_mixed_headers"] = """SELECT c_custkey, c_nationkey, c_mktsegment,
+  CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS c_acctbal FROM customer"""
+ORACLE["csv_rejects"] = """SELECT
+  CASE c_custkey % 9 WHEN 1 THEN c_custkey || '.5,x,' || c_mktsegment WHEN 2 THEN c_custkey || ',x,' || c_mktsegment
+    WHEN 5 THEN CAST(c_custkey AS VARCHAR) ELSE c_custkey || ',' || c_nationkey || ',' || c_mktsegment || ',more' END AS record,
+  CASE c_custkey % 9 WHEN 1 THEN 'c_custkey: ' || c_custkey || '.5; c_nationkey: x' WHEN 2 THEN 'c_nationkey: x' ELSE 'number of cells' END AS reason
+FROM customer WHERE c_custkey % 9 IN (1, 2, 5, 6)"""

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -16,6 +23,7 @@ from pyspark.sql.types import (
 )
 
 from ..config import Layout
+from ..session import durable
 
 # The cell texts that users' CSV files use for a missing value.
 MISSING_TOKENS = (
@@ -110,6 +118,93 @@ def _numeric_fields(raw: DataFrame, names: list[str]) -> dict[str, StructField]:
     return {c: StructField(c, DoubleType()) for i, c in enumerate(names) if fit[f"c{i}"]}
 
 
+@dataclass(frozen=True)
+class Scanned:
+    """Rows of a scan, and the records that could not be read: (file, record, reason)."""
+
+    table: DataFrame
+    rejects: DataFrame
+
+
+def scan_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType | None = None) -> Scanned:
+    """Scan CSV files with unlike headers, and set broken records aside.
+
+    Files are grouped by their header and read by name, so each may order its columns
+    in its own way; a column that a file lacks is null there. A record with too few or too many
+    cells, or with a cell that its declared type does not take, is a reject with its reason,
+    as many as there are, and no row. Types of undeclared columns are decided from the
+    good records, as in ``read_csv``. One pass finds the headers, one parses and
+    stores the cells. Without a file that has a header the table has the declared columns and no rows.
+    """
+    declared = {f.name: f for f in (schema.fields if schema else [])}
+    groups = _headers(spark, path)
+    names = list(dict.fromkeys(c for header, _ in groups for c in header))
+    if not groups:
+        empty = spark.createDataFrame([], schema or StructType([]))
+        return Scanned(empty, spark.createDataFrame([], "file string, record string, reason string"))
+    line, file = (_free(c, names) for c in ("_line", "_file"))
+    cells = durable(
+        reduce(
+            lambda a, b: a.unionByName(b, allowMissingColumns=True),
+            [_cells(spark, header, files, line, file) for header, files in groups],
+        )
+    )
+    wrong = {c: _wrong(c, declared[c]) for c in names if c in declared and not isinstance(declared[c].dataType, StringType)}
+    notes = [F.when(F.col(f"`{line}`").isNotNull(), "number of cells")]
+    notes += [F.when(F.col(f"`{line}`").isNull() & w, F.concat(F.lit(f"{c}: "), F.col(f"`{c}`"))) for c, w in wrong.items()]
+    good = cells.where(F.col(f"`{line}`").isNull() & ~reduce(Column.__or__, wrong.values(), F.lit(False)))
+    if schema is not None:
+        declared |= _numeric_fields(good, [c for c in names if c not in declared])
+    table = good.select(*[_typed(c, declared.get(c)) for c in names])
+    record = F.coalesce(F.col(f"`{line}`"), F.to_csv(F.struct(*[F.col(f"`{c}`") for c in names]), {"escape": '"'}))
+    rejects = cells.select(F.col(f"`{file}`").alias("file"), record.alias("record"), F.concat_ws("; ", *notes).alias("reason"))
+    return Scanned(table, rejects.where("reason <> ''"))
+
+
+def _free(name: str, names: Sequence[str]) -> str:
+    taken = {c.lower() for c in names}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _headers(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[list[str], list[str]]]:
+    """Each header with its files, in the order of the files' names. The driver lists the files of any scan."""
+    lines = spark.read.text(path if isinstance(path, str) else list(path)).select(
+        "value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place")
+    )
+    # The ids grow along a file's first block.
+    first = lines.where("file_block_start = 0 and value <> ''").groupBy("file_path").agg(F.min_by("value", "place").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for row in first.orderBy("file_path").collect():
+        groups.setdefault(row["header"], []).append(row["file_path"])
+    parsed = [(next(csv.reader([header.lstrip("\ufeff").rstrip("\r")])), files) for header, files in groups.items()]
+    for header, files in parsed:
+        if len({c.lower() for c in header}) < len(header):
+            raise ValueError(f"{files[0]} names a column twice")
+    return parsed
+
+
+def _cells(spark: SparkSession, header: list[str], files: list[str], line: str, file: str) -> DataFrame:
+    """The cells of files of one header as text; ``line`` holds a record that has another number of them."""
+    fields = StructType([StructField(c, StringType()) for c in [*header, line]])
+    reader = spark.read.schema(fields).options(header=True, mode="PERMISSIVE", escape='"', columnNameOfCorruptRecord=line)
+    # The metadata names files as URLs; a reader takes paths, and patterns among them.
+    plain = [re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(f)) for f in files]
+    return reader.csv(plain).select("*", F.col("_metadata.file_path").alias(file))
+
+
+def _wrong(name: str, field: StructField) -> Column:
+    """Whether a cell holds a text that its type does not take."""
+    column = F.col(f"`{name}`")
+    text = F.when(~F.trim(column).isin(*MISSING_TOKENS), column)
+    taken = text.try_cast(field.dataType)
+    if isinstance(field.dataType, IntegralType):
+        number = text.try_cast("decimal(38,10)")
+        taken = F.when(number == F.floor(number), number.try_cast(field.dataType))
+    return text.isNotNull() & taken.isNull()
+
+
 def read_parquet(
     spark: SparkSession, path: str, schema: StructType | str | None = None
 ) -> DataFrame:

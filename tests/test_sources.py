@@ -126,3 +126,30 @@ def test_undeclared_numbers_are_typed_and_reach_the_model(spark, tmp_path):
     assert dict(df.dtypes)["empty"] == "string" and dict(df.dtypes)["mixed"] == "string"
     assert feature_names(df, ["id", "churn"]) == ["amount"]
     assert [r["amount"] for r in df.collect()] == [7.25, None, -3.0]
+
+
+def test_unlike_headers_are_read_by_name_and_broken_records_set_aside(spark, tmp_path):
+    folder = tmp_path / "a b%20 {c}"
+    folder.mkdir()
+    write(folder / "1.csv", 'id,x,note\na,1,"p, ""q"""\nb,oops,n\nc,3\nd,4,n,more\n')
+    write(folder / "2.csv", '"note","x","id"\nn,2.0,e\nn,2.5,f\nn,NA,g\n')
+    write(folder / "3.csv", "id,_line\nh,7\n")
+    write(folder / "4.csv", "")
+    found = files.scan_csv(spark, str(folder).replace("{", "\\{").replace("}", "\\}"), StructType().add("id", "string").add("x", "integer"))
+    assert dict(found.table.dtypes) == {"id": "string", "x": "int", "note": "string", "_line": "double"}
+    assert sorted(map(tuple, found.table.collect())) == [
+        ("a", 1, 'p, "q"', None), ("e", 2, "n", None), ("g", None, "n", None), ("h", None, None, 7.0),
+    ]
+    rejects = {r["record"]: (r["file"][-5:], r["reason"]) for r in found.rejects.collect()}
+    assert rejects["c,3"] == ("1.csv", "number of cells") and rejects["d,4,n,more"] == ("1.csv", "number of cells")
+    assert sorted(v for v in rejects.values() if v[1] != "number of cells") == [("1.csv", "x: oops"), ("2.csv", "x: 2.5")]
+    assert len(rejects) == 4
+
+
+def test_a_scan_without_rows_and_a_column_named_twice(spark, tmp_path):
+    found = files.scan_csv(spark, write(tmp_path / "a.csv", "id,x\n"), StructType().add("x", "integer"))
+    assert (found.table.count(), found.rejects.count(), found.table.columns) == (0, 0, ["id", "x"])
+    empty = files.scan_csv(spark, write(tmp_path / "b.csv", ""), StructType().add("x", "integer"))
+    assert (empty.table.columns, empty.table.count(), empty.rejects.count()) == (["x"], 0, 0)
+    with pytest.raises(ValueError, match="names a column twice"):
+        files.scan_csv(spark, write(tmp_path / "c.csv", "id,ID\na,b\n"))
