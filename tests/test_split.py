@@ -125,3 +125,14 @@ def test_many_copies_of_few_rows_come_in_blocks(spark):
         F.count("copy").alias("n"), F.count_distinct("copy").alias("d"), F.max("copy").alias("last")
     )
     assert [tuple(r)[1:] for r in rows.collect()] == [(5000, 5000, 5000)] * 2
+
+
+@pytest.mark.parametrize("few", [0, 1, 2])
+def test_a_class_of_few_rows_is_evened_out_as_well(spark, few):
+    rows = [(i, int(i < few), float(i), 1.0) for i in range(8)]
+    df = spark.createDataFrame(rows, "id int, churn int, x double, y double")
+    found = split.synthetic_minority(df, "id", "churn", ["x", "y"]).collect()
+    assert sum(r["churn"] == 1 for r in found) == (8 - few if few else 0)
+    assert len({(r["id"], r["copy"]) for r in found}) == len(found)
+    # One row is repeated; new ones between two lie on the line from 0 to 1.
+    assert all(0 <= r["x"] <= max(few - 1, 0) and r["y"] == 1.0 for r in found if r["copy"] > 1)
